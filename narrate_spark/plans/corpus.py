@@ -74,7 +74,7 @@ def chapter_title(doc: Column, text: Column) -> Column:
     first = ustrip(F.substring_index(text, "\n", 1))
     return (
         F.when(doc % 7 == 0, F.concat(F.lit("Section "), (doc + 1).cast("string")))
-        .when(doc % 3 == 0, F.upper(first))
+        .when(doc % 3 == 0, F.lower(first))
         .otherwise(F.concat(F.lit("Text "), doc.cast("string")))
     )
 
