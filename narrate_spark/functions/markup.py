@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from narrate_spark.functions.unicode import BLANK, ustrip
 
@@ -36,7 +37,7 @@ _COMMON = {
 _OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e in _COMMON) + ");)[#A-Za-z]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_any(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 

@@ -14,6 +14,7 @@ from narrate_spark.functions.normalize import (
 )
 from narrate_spark.functions.sentences import chunk_array, split_sentences
 from narrate_spark.functions.unicode import BLANK, count_words, ustrip
+from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.segments import CHAPTER_KEY
 
 
@@ -100,9 +101,9 @@ def chapter_warnings(analysis: DataFrame) -> DataFrame:
             ),
         ),
     )
-    rows = analysis.select(*CHAPTER_KEY, F.posexplode(rules).alias("pos", "warning"))
+    rows = explode_rows(analysis, CHAPTER_KEY, rules, "pos", "warning")
     return rows.where(F.col("warning").isNotNull()).select(
-        *CHAPTER_KEY, (F.col("pos") + 1).cast("bigint").alias("rule_no"), "warning"
+        *CHAPTER_KEY, (F.col("pos") + 1).alias("rule_no"), "warning"
     )
 
 
@@ -121,14 +122,9 @@ def _numbered(chapters: DataFrame, nested: Column) -> DataFrame:
         ),
     )
     flat = chapters.select(*keep, F.flatten(tagged).alias("items"))
-    rows = flat.select(
-        *keep,
-        F.size("items").cast("bigint").alias("n_items"),
-        F.posexplode("items").alias("item_no", "item"),
-    )
-    return rows.select(
-        *keep, "n_items", F.col("item_no").cast("bigint").alias("item_no"), "item.*"
-    )
+    flat = flat.withColumn("n_items", F.size("items").cast("bigint"))
+    rows = explode_rows(flat, [*keep, "n_items"], "items", "item_no", "item")
+    return rows.select(*keep, "n_items", "item_no", "item.*")
 
 
 def sentences(chapters: DataFrame) -> DataFrame:

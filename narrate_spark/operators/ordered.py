@@ -12,6 +12,9 @@ so the scans here work in blocks of consecutive order values:
 4. the carried-in value joins back on (group, block) and completes the scan
    inside each block.
 
+How many levels are needed follows from the planner's size of the input
+(``scan_depth``); a small input takes the plain window.
+
 The order column is an integer, unique within the group up to small ties.
 Blocks come from the value alone, so a lost executor recomputes the same rows.
 """
@@ -24,7 +27,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 12
-DEPTH = 2
+# Planner size up to which one plain window is enough.
+PLAIN_BYTES = 64 << 20
+
+
+def scan_depth(df: DataFrame, bits: int = BITS) -> int:
+    """Levels of blocking for an input, from the planner's size of it."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    depth, limit = 0, PLAIN_BYTES
+    while size > limit and depth < 3:
+        depth, limit = depth + 1, limit << bits
+    return depth
 
 
 def _scan(
@@ -78,7 +91,7 @@ def sum_before(
     value: Column,
     out: str,
     bits: int = BITS,
-    depth: int = DEPTH,
+    depth: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group (0 for the first)."""
     zero = F.lit(0).cast("bigint")
@@ -88,7 +101,7 @@ def sum_before(
         [order],
         out,
         bits,
-        depth,
+        scan_depth(df, bits) if depth is None else depth,
         summary=lambda _: F.sum("__value"),
         exclusive=lambda v, w: F.coalesce(F.sum(v).over(w), zero),
         combine=lambda carry, inside: F.coalesce(carry, zero) + inside,
@@ -103,7 +116,7 @@ def last_before(
     value: Column,
     out: str,
     bits: int = BITS,
-    depth: int = DEPTH,
+    depth: int | None = None,
 ) -> DataFrame:
     """Last non-null ``value`` among all earlier rows of the group.
 
@@ -122,7 +135,7 @@ def last_before(
         cols,
         out,
         bits,
-        depth,
+        scan_depth(df, bits) if depth is None else depth,
         summary=newest,
         exclusive=lambda v, w: F.last(v, ignorenulls=True).over(w),
         combine=lambda carry, inside: F.coalesce(inside, carry),

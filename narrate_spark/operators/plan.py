@@ -19,6 +19,7 @@ from narrate_spark.functions.normalize import normalize
 from narrate_spark.functions.sentences import HARD, pack_marked
 from narrate_spark.functions.unicode import fold_case, unify_line_ends, ustrip
 from narrate_spark.functions.units import artifact_name
+from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.ordered import last_before
 
 
@@ -99,14 +100,11 @@ def synthesis_plan(
     )
     keep = [c for c in chapters.columns if c not in ("segs", "seg_offset", "text")]
     offset = ["seg_offset"] if "seg_offset" in chapters.columns else []
-    segments = staged.select(
-        *keep,
-        *offset,
-        "_letters",
-        F.size("segs").alias("_n"),
-        F.posexplode("_packs").alias("seg_pos", "_pack"),
+    staged = staged.withColumn("_n", F.size("segs"))
+    segments = explode_rows(
+        staged, [*keep, *offset, "_letters", "_n"], "_packs", "seg_pos", "_pack"
     )
-    letter = F.substr("_letters", F.col("seg_pos") + 1, F.lit(1))
+    letter = F.substr("_letters", (F.col("seg_pos") + 1).cast("int"), F.lit(1))
     is_last = F.col("seg_pos") == F.col("_n") - 1
     segments = segments.withColumn("_letter", letter)
     segments = segments.where(F.col("_letter").isin("P", "T"))
@@ -115,12 +113,13 @@ def synthesis_plan(
         .when(F.col("_letter") == "P", F.lit(0))
         .otherwise(F.lit(prosody.paragraph_ms))
     )
-    events = segments.select(
-        *keep,
-        *offset,
-        "seg_pos",
-        seg_pause.cast("bigint").alias("seg_pause_ms"),
-        F.posexplode(F.split("_pack", HARD, -1)).alias("event_idx", "_event"),
+    segments = segments.withColumn("seg_pause_ms", seg_pause.cast("bigint"))
+    events = explode_rows(
+        segments,
+        [*keep, *offset, "seg_pos", "seg_pause_ms"],
+        F.split("_pack", HARD, -1),
+        "event_idx",
+        "_event",
     )
     pause = (
         F.when(F.col("_event") == K.SCENE_BREAK_MARKER, prosody.scene_ms)
@@ -130,9 +129,9 @@ def synthesis_plan(
     is_pause = F.col("_event").isin(K.SCENE_BREAK_MARKER, K.CHAPTER_TITLE_MARKER)
     plan = events.select(
         *keep,
-        F.col("seg_pos").cast("bigint").alias("seg_pos"),
+        "seg_pos",
         *([(F.col("seg_offset") + F.col("seg_pos")).alias("seg_idx")] if offset else []),
-        F.col("event_idx").cast("bigint").alias("event_idx"),
+        "event_idx",
         F.when(is_pause, "pause").otherwise("text").alias("kind"),
         F.when(is_pause, F.lit("")).otherwise(F.col("_event")).alias("text"),
         pause.cast("bigint").alias("pause_ms"),

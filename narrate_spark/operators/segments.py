@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrate_spark.functions.unicode import split_lines, ustrip
+from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.ordered import sum_before
 
 CHAPTER_KEY = ["book_id", "chapter_idx"]
@@ -38,12 +39,12 @@ def with_segments(
 ) -> DataFrame:
     """Replace the chapter text with its ``segs`` array; empty chapters go.
 
-    The generator keeps the array only where it has elements.  A filter would
-    do the same, but it would be pushed below and split every text twice.
+    A generator keeps the array only where it has elements.  A plain filter
+    would be pushed below and split every text twice.
     """
     keep = [c for c in chapters.columns if c != text_col]
     held = F.filter(F.array(split(F.col(text_col))), lambda s: F.size(s) > 0)
-    return chapters.select(*keep, F.explode(held).alias("segs"))
+    return explode_rows(chapters, keep, held, "_pos", "segs").drop("_pos")
 
 
 def with_segment_offset(chapters: DataFrame) -> DataFrame:
@@ -55,11 +56,12 @@ def with_segment_offset(chapters: DataFrame) -> DataFrame:
 
 def explode_segments(chapters: DataFrame) -> DataFrame:
     """One row per segment; ``seg_idx`` is added where the offset is known."""
-    rows = chapters.select("*", F.posexplode("segs").alias("seg_pos", "seg_text"))
+    keep = [c for c in chapters.columns if c != "segs"]
+    rows = explode_rows(chapters, keep, "segs", "seg_pos", "seg_text")
     if "seg_offset" in chapters.columns:
         rows = rows.withColumn("seg_idx", F.col("seg_offset") + F.col("seg_pos"))
         rows = rows.drop("seg_offset")
-    return rows.drop("segs").withColumn("seg_pos", F.col("seg_pos").cast("bigint"))
+    return rows
 
 
 def select_chapters(chapters: DataFrame, selection: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from narrate_spark.plans import text_queries
+from narrate_spark.plans import page_queries, plan_queries, text_queries
 
-_MODULES = (text_queries,)
+_MODULES = (text_queries, page_queries, plan_queries)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -11,6 +11,7 @@ from narrate_spark.functions.unicode import split_lines
 from narrate_spark.functions.units import format_range
 from narrate_spark.operators import analyze as A
 from narrate_spark.operators import segments as G
+from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.plans import sql
 from narrate_spark.plans.corpus import document_chapters, narration_chapters, spread, table
 
@@ -51,12 +52,9 @@ def q_whitespace(spark, sf_dir):
 
 
 def q_classify(spark, sf_dir):
-    lines = narration_chapters(spark, sf_dir).select(
-        *KEY, F.posexplode(split_lines(F.col("text"))).alias("pos", "line")
-    )
-    return lines.select(
-        *KEY, F.col("pos").cast("bigint").alias("line_no"), N.line_kind(F.col("line")).alias("kind")
-    )
+    chapters = narration_chapters(spark, sf_dir)
+    lines = explode_rows(chapters, KEY, split_lines(F.col("text")), "line_no", "line")
+    return lines.select(*KEY, "line_no", N.line_kind(F.col("line")).alias("kind"))
 
 
 def q_dialogue(spark, sf_dir):
@@ -66,10 +64,9 @@ def q_dialogue(spark, sf_dir):
 
 
 def q_normalize(spark, sf_dir):
-    rows = segmented(spark, sf_dir).select(
-        *KEY, F.posexplode(F.transform("segs", N.normalize)).alias("pos", "norm")
-    )
-    return rows.select(*KEY, F.col("pos").cast("bigint").alias("seg_pos"), shown(F.col("norm")).alias("norm"))
+    norms = F.transform("segs", N.normalize)
+    rows = explode_rows(segmented(spark, sf_dir), KEY, norms, "seg_pos", "norm")
+    return rows.select(*KEY, "seg_pos", shown(F.col("norm")).alias("norm"))
 
 
 def q_sentences(spark, sf_dir):
