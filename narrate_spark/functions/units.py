@@ -58,7 +58,7 @@ def with_acoustic_tail(frames: Column, rate: Column) -> Column:
 
 def chapter_spec_error(spec: Column) -> Column:
     """Message for an unreadable chapter specification, else null."""
-    part = r"\s*\d+\s*(?:-\s*-?\d+\s*)?"
+    part = r"\s*\+?\d+\s*(?:-\s*[+-]?\d+\s*)?"
     return F.when(
         ~spec.rlike(rf"\A{part}(?:,{part})*\z"),
         F.lit("Invalid chapter specification."),
@@ -72,8 +72,8 @@ def parse_chapter_spec(spec: Column) -> Column:
     """
 
     def indices(part: Column) -> Column:
-        first = F.trim(F.regexp_extract(part, r"\A\s*(\d+)", 1)).cast("int")
-        last_text = F.trim(F.regexp_extract(part, r"-\s*(-?\d+)\s*\z", 1))
+        first = F.trim(F.regexp_extract(part, r"\A\s*\+?(\d+)", 1)).cast("int")
+        last_text = F.trim(F.regexp_extract(part, r"-\s*\+?(-?\d+)\s*\z", 1))
         last = F.when(last_text == "", first).otherwise(last_text.cast("int"))
         none = F.array().cast("array<int>")
         return F.when(last < first, none).otherwise(

@@ -89,7 +89,7 @@ def q_failures(spark, sf_dir):
 
 
 def q_silent(spark, sf_dir):
-    outputs = table(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 40")
+    outputs = table(spark, sf_dir, "events").where("event_type = 'purchase' AND value > 150")
     return J.silent_outputs(_jobs(spark, sf_dir), outputs.select(F.col("user_id").alias("job_id")))
 
 
@@ -151,7 +151,7 @@ ORACLES = {
     "WHERE event_type = 'error' GROUP BY user_id) SELECT job_id, CASE WHEN m IS NOT NULL AND state IN ('analyzing', 'ready', 'synthesizing', "
     "'assembling') THEN 'failed' ELSE state END AS state, coalesce(m, '') AS error_message FROM jobs LEFT JOIN er USING (job_id)",
     "job_silent_output": f"WITH {_JOBS} SELECT job_id, CASE WHEN total = 0 THEN 'no text' ELSE 'no file' END AS reason FROM jobs "
-    "WHERE state = 'completed' AND (total = 0 OR job_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 40))",
+    "WHERE state = 'completed' AND (total = 0 OR job_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 150))",
     "throughput_hourly": f"WITH {LOG} SELECT strftime(date_trunc('hour', ts), {_STAMP}) AS window_start, count(*) AS completions FROM log "
     "WHERE state = 'completed' GROUP BY 1",
     "rtf_report": "WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'cpu' WHEN 'click' THEN 'cuda' ELSE 'other' END AS device, value FROM events), "
