@@ -21,8 +21,10 @@ from narrate_spark.functions.unicode import (
     chain,
     drop_final_newline,
     guarded,
+    replaced,
     unify_separators,
     ustrip,
+    where_contains,
 )
 
 
@@ -42,10 +44,6 @@ def _replace(old: str, new: str):
     return lambda t: F.replace(t, F.lit(old), F.lit(new))
 
 
-def _regex(pattern: str, new: str):
-    return lambda t: F.regexp_replace(t, pattern, new)
-
-
 def _lead(text: Column) -> Column:
     return F.concat(F.lit("\n"), text)
 
@@ -56,14 +54,14 @@ def _unlead(text: Column) -> Column:
 
 WHITESPACE_STEPS = (
     _replace("\t", " "),
-    _regex(" {2,}", " "),
-    _regex("\n{2,}", "\n"),
+    where_contains("  ", replaced(" {2,}", " ")),
+    where_contains("\n\n", replaced("\n{2,}", "\n")),
     ustrip,
 )
 
 # Strip every line of a newline-separated text; the line count stays.
 INLINE_STEPS = (
-    _regex(rf"\n{INLINE}++", "\n"),
+    replaced(rf"\n{INLINE}++", "\n"),
     guarded(rf"\n(?<={INLINE}\n)", rf"{INLINE}++\n", "\n"),
 )
 
@@ -73,9 +71,9 @@ LINE_STEPS = (
     lambda t: F.concat(F.lit("\n"), t, F.lit("\n")),
     *INLINE_STEPS,
     drop_final_newline,
-    _regex(_SCENE, "\n" + K.SCENE_BREAK_MARKER),
-    _regex(_TITLE, "\n" + K.CHAPTER_TITLE_MARKER),
-    _regex(_NOISE, ""),
+    replaced(_SCENE, "\n" + K.SCENE_BREAK_MARKER),
+    replaced(_TITLE, "\n" + K.CHAPTER_TITLE_MARKER),
+    replaced(_NOISE, ""),
     _unlead,
 )
 
@@ -88,12 +86,16 @@ DIALOGUE_STEPS = (
     _replace("”", '"'),
     _replace("‘", "'"),
     _replace("’", "'"),
-    _regex(rf"(?md)^[-–]{BLANK}*+", "— "),
-    guarded(rf"{_LONE_DASH}{BLANK}", rf"{BLANK}+[-–]{BLANK}+", " — "),
-    guarded(rf"{_LONE_DASH}[.!?]", rf"{BLANK}+[-–]([.!?])", " —$1"),
-    _regex(rf"([¿¡]){BLANK}++", "$1"),
-    _regex(r"\.{3,}", "..."),
-    _regex(rf"(?:\.{BLANK}+){{2,}}\.", "..."),
+    where_contains(("-", "–"), replaced(rf"(?md)^[-–]{BLANK}*+", "— ")),
+    where_contains(
+        ("-", "–"), guarded(rf"{_LONE_DASH}{BLANK}", rf"{BLANK}+[-–]{BLANK}+", " — ")
+    ),
+    where_contains(
+        ("-", "–"), guarded(rf"{_LONE_DASH}[.!?]", rf"{BLANK}+[-–]([.!?])", " —$1")
+    ),
+    where_contains(("¿", "¡"), replaced(rf"([¿¡]){BLANK}++", "$1")),
+    where_contains("....", replaced(r"\.{4,}", "...")),
+    replaced(rf"(?:\.{BLANK}+){{2,}}\.", "..."),
 )
 
 NORMALIZE_STEPS = (

@@ -28,6 +28,7 @@ from narrate_spark.functions.unicode import (
     LINE_END,
     chain,
     guarded,
+    replaced,
     where_contains,
 )
 
@@ -61,7 +62,7 @@ def _trim_marks(text: Column) -> Column:
 
 
 MARK_STEPS = (
-    lambda t: F.regexp_replace(t, _STOP, f"$0{SOFT}"),
+    replaced(_STOP, f"$0{SOFT}"),
     guarded(rf"[.!?](?<=(?:{_MARKS}|\A)[.!?])", _LEADING_STOP, "$1$2"),
     _trim_marks,
     # blanks between a sentence and its boundary, nearly always just one
@@ -85,9 +86,10 @@ def split_sentences(text: Column) -> Column:
 _MARKER = f"{K.SCENE_BREAK_MARKER}|{K.CHAPTER_TITLE_MARKER}"
 # Hard boundaries around marker lines; only texts with markers pay for it.
 _ISLAND_STEPS = (
-    where_contains("\x00", LINE_END, "\n"),
+    where_contains("\x00", replaced(LINE_END, "\n")),
     where_contains(
-        "\x00", rf"(?<=\n|\A){INLINE}*+({_MARKER}){INLINE}*+(?=\n|\z)", f"{HARD}$1{HARD}"
+        "\x00",
+        replaced(rf"(?<=\n|\A){INLINE}*+({_MARKER}){INLINE}*+(?=\n|\z)", f"{HARD}$1{HARD}"),
     ),
     lambda t: F.replace(t, F.lit(f"\n{HARD}"), F.lit(HARD)),
     lambda t: F.replace(t, F.lit(f"{HARD}\n"), F.lit(HARD)),
@@ -111,7 +113,7 @@ def pack_steps(max_chars: int | Column = K.DEFAULT_MAX_CHARS):
     return (
         *_ISLAND_STEPS,
         *MARK_STEPS,
-        where_contains(HARD, rf"{_EDGE}*{HARD}{_EDGE}*+", HARD),
+        where_contains(HARD, replaced(rf"{_EDGE}*{HARD}{_EDGE}*+", HARD)),
         lambda t: F.regexp_replace(t, pattern, F.lit(f"$1{HARD}")),
         lambda t: F.rtrim(t, F.lit(HARD)),
         lambda t: F.replace(t, F.lit(SOFT), F.lit(" ")),

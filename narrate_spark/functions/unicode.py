@@ -59,11 +59,25 @@ def guarded(guard: str, pattern: str, replacement: str) -> Step:
     ).otherwise(t)
 
 
-def where_contains(literal: str, pattern: str, replacement: str) -> Step:
-    """A replacement that only runs on texts holding a literal."""
-    return lambda t: F.when(
-        F.contains(t, F.lit(literal)), F.regexp_replace(t, pattern, replacement)
-    ).otherwise(t)
+def where_contains(literals: str | tuple[str, ...], step: Step) -> Step:
+    """A step that only runs on texts holding one of some literals.
+
+    Finding a literal is a byte comparison, far cheaper than any pattern.
+    """
+    wanted = (literals,) if isinstance(literals, str) else literals
+
+    def run(text: Column) -> Column:
+        found = F.contains(text, F.lit(wanted[0]))
+        for literal in wanted[1:]:
+            found = found | F.contains(text, F.lit(literal))
+        return F.when(found, step(text)).otherwise(text)
+
+    return run
+
+
+def replaced(pattern: str, replacement: str) -> Step:
+    """A pattern replacement as a step."""
+    return lambda t: F.regexp_replace(t, pattern, replacement)
 
 
 def ustrip(text: Column) -> Column:

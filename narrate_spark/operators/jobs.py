@@ -21,15 +21,15 @@ def transitions(spark: SparkSession) -> DataFrame:
 
 
 def check_transitions(log: DataFrame, depth: int | None = None) -> DataFrame:
-    """Every log row with the state before it and whether the step is legal."""
+    """State steps of every job: job_id, seq, before, state, legal."""
     allowed = transitions(log.sparkSession).select(
         F.col("from_state").alias("before"), F.col("to_state").alias("state"), F.lit(True).alias("_ok")
     )
     stepped = last_before(log, ["job_id"], "seq", F.col("state"), "before", depth=depth)
-    joined = stepped.join(F.broadcast(allowed), ["before", "state"], "left")
+    joined = stepped.withColumnRenamed("value", "state").join(F.broadcast(allowed), ["before", "state"], "left")
     legal = F.coalesce("_ok", F.lit(False)) | F.col("before").isNull()
     return joined.select(
-        *log.columns, F.coalesce("before", F.lit("")).alias("before"), legal.alias("legal")
+        "job_id", "seq", F.coalesce("before", F.lit("")).alias("before"), "state", legal.alias("legal")
     )
 
 

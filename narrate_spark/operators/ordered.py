@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BITS = 12
@@ -41,46 +41,66 @@ def scan_depth(df: DataFrame, bits: int = BITS) -> int:
 
 
 def _scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str,
+    rows: DataFrame,
+    keys: list[str],
+    order: list[str],
     bits: int,
     depth: int,
     summary: Callable[[Sequence[str]], Column],
-    exclusive: Callable[[Column, Window], Column],
+    exclusive: Callable[[Column, WindowSpec], Column],
     combine: Callable[[Column, Column], Column],
-    value: Column,
 ) -> DataFrame:
-    """Exclusive scan of ``value`` in ``order`` within ``keys``."""
-    work = df.withColumn("__value", value)
+    """Add ``__out``, the exclusive scan of ``__value``, to narrow rows."""
     if depth == 0:
-        rows = Window.partitionBy(*keys).orderBy(*order)
-        before = rows.rowsBetween(Window.unboundedPreceding, -1)
-        return work.withColumn(out, exclusive(F.col("__value"), before)).drop("__value")
-
-    block_col = f"__block{depth}"
-    block_id = F.shiftright(F.col(order[0]).cast("bigint"), bits)
-    placed = work.withColumn(block_col, block_id).repartition(*keys, block_col)
-    totals = placed.groupBy(*keys, block_col).agg(summary(order).alias("__total"))
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        before = whole.rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("__out", exclusive(F.col("__value"), before))
+
+    block = f"__block{depth}"
+    placed = rows.withColumn(block, F.shiftright(F.col(order[0]).cast("bigint"), bits))
+    placed = placed.repartition(*keys, block)
+    # the order columns are kept in use on this side too: both sides then read
+    # the same exchange, and what comes before it is computed once
+    totals = placed.groupBy(*keys, block).agg(
+        summary(order).alias("__value"), F.max(F.struct(*order)).alias("__last")
+    )
     carried = _scan(
-        totals,
-        keys,
-        [block_col],
-        f"__carry{depth}",
-        bits,
-        depth - 1,
-        summary,
-        exclusive,
-        combine,
-        F.col("__total"),
-    ).drop("__total")
-    local = Window.partitionBy(*keys, block_col).orderBy(*order)
+        totals, keys, [block, "__last"], bits, depth - 1, summary, exclusive, combine
+    )
+    carried = carried.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        F.col(block).alias("__b"),
+        F.col("__last").alias("__end"),
+        F.col("__out").alias("__carry"),
+    )
+    local = Window.partitionBy(*keys, block).orderBy(*order)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
     inside = placed.withColumn("__inside", exclusive(F.col("__value"), before))
-    joined = inside.join(carried, [*keys, block_col], "left")
-    return joined.withColumn(out, combine(F.col(f"__carry{depth}"), F.col("__inside"))).drop(
-        "__value", "__inside", f"__carry{depth}", block_col
+    same = F.col(block).eqNullSafe(F.col("__b")) & (F.struct(*order) <= F.col("__end"))
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
+    joined = inside.join(carried, same, "left")
+    return joined.select(
+        *rows.columns, combine(F.col("__carry"), F.col("__inside")).alias("__out")
+    )
+
+
+def _run(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str | Sequence[str],
+    value: Column,
+    out: str,
+    bits: int,
+    depth: int | None,
+    **rules: Callable,
+) -> DataFrame:
+    cols = [order] if isinstance(order, str) else list(order)
+    rows = df.select(*keys, *cols, value.alias("__value"))
+    levels = scan_depth(df, bits) if depth is None else depth
+    scanned = _scan(rows, list(keys), cols, bits, levels, **rules)
+    return scanned.select(
+        *keys, *cols, F.col("__value").alias("value"), F.col("__out").alias(out)
     )
 
 
@@ -93,19 +113,22 @@ def sum_before(
     bits: int = BITS,
     depth: int | None = None,
 ) -> DataFrame:
-    """Sum of ``value`` over all earlier rows of the group (0 for the first)."""
+    """Sum of ``value`` over all earlier rows of the group (0 for the first).
+
+    The result has the keys, the order column, ``value`` and ``out``.
+    """
     zero = F.lit(0).cast("bigint")
-    return _scan(
+    return _run(
         df,
         keys,
-        [order],
+        order,
+        value.cast("bigint"),
         out,
         bits,
-        scan_depth(df, bits) if depth is None else depth,
+        depth,
         summary=lambda _: F.sum("__value"),
         exclusive=lambda v, w: F.coalesce(F.sum(v).over(w), zero),
         combine=lambda carry, inside: F.coalesce(carry, zero) + inside,
-        value=value.cast("bigint"),
     )
 
 
@@ -120,24 +143,24 @@ def last_before(
 ) -> DataFrame:
     """Last non-null ``value`` among all earlier rows of the group.
 
-    With a value that is never null this is ``lag``; the first order column
-    makes the blocks, the others break ties inside them.
+    With a value that is never null this is ``lag``.  The first order column
+    makes the blocks, the others break ties inside them.  The result has the
+    keys, the order columns, ``value`` and ``out``.
     """
-    cols = [order] if isinstance(order, str) else list(order)
 
     def newest(by: Sequence[str]) -> Column:
         known = F.when(F.col("__value").isNotNull(), F.struct(*by))
         return F.max_by("__value", known)
 
-    return _scan(
+    return _run(
         df,
         keys,
-        cols,
+        order,
+        value,
         out,
         bits,
-        scan_depth(df, bits) if depth is None else depth,
+        depth,
         summary=newest,
         exclusive=lambda v, w: F.last(v, ignorenulls=True).over(w),
         combine=lambda carry, inside: F.coalesce(inside, carry),
-        value=value,
     )

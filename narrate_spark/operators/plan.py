@@ -166,25 +166,23 @@ def plan_progress(plan: DataFrame, done: DataFrame) -> DataFrame:
 def pause_formats(events: DataFrame) -> DataFrame:
     """PCM format of every pause: that of the latest earlier text in the book.
 
-    ``events`` holds book_id, chapter_idx, seg_pos, event_idx, kind and, for
-    text, rate, channels and width.  The look-back crosses chapters, so it runs
+    ``events`` holds book_id, chapter_idx, seg_pos, event_idx and, for texts
+    only, rate, channels and width.  The look-back crosses chapters, so it runs
     as a blocked scan and not as one window per book.
     """
-    known = F.when(
-        (F.col("kind") == "text") & F.col("rate").isNotNull(),
-        F.struct("rate", "channels", "width"),
-    )
-    seen = last_before(
-        events, ["book_id"], ["chapter_idx", "seg_pos", "event_idx"], known, "_ref"
-    )
+    own = F.when(F.col("rate").isNotNull(), F.struct("rate", "channels", "width"))
+    order = ["chapter_idx", "seg_pos", "event_idx"]
+    seen = last_before(events, ["book_id"], order, own, "_ref")
 
     def pick(name: str, default: int) -> Column:
-        inherited = F.coalesce(F.col(f"_ref.{name}"), F.lit(default))
-        return F.when(F.col("kind") == "text", F.col(name)).otherwise(inherited)
+        value = F.coalesce(F.col(f"value.{name}"), F.col(f"_ref.{name}"), F.lit(default))
+        return value.cast("bigint").alias(name)
 
     return seen.select(
-        *[c for c in events.columns if c not in ("rate", "channels", "width")],
-        pick("rate", K.DEFAULT_RATE).cast("bigint").alias("rate"),
-        pick("channels", K.DEFAULT_CHANNELS).cast("bigint").alias("channels"),
-        pick("width", K.DEFAULT_WIDTH).cast("bigint").alias("width"),
+        "book_id",
+        *order,
+        F.when(F.col("value").isNull(), "pause").otherwise("text").alias("kind"),
+        pick("rate", K.DEFAULT_RATE),
+        pick("channels", K.DEFAULT_CHANNELS),
+        pick("width", K.DEFAULT_WIDTH),
     )

@@ -51,7 +51,7 @@ def with_segment_offset(chapters: DataFrame) -> DataFrame:
     """Add ``seg_offset``: segments in earlier chapters of the book."""
     counts = chapters.select(*CHAPTER_KEY, F.size("segs").alias("n"))
     offsets = sum_before(counts, ["book_id"], "chapter_idx", F.col("n"), "seg_offset")
-    return chapters.join(offsets.drop("n"), CHAPTER_KEY)
+    return chapters.join(offsets.drop("value"), CHAPTER_KEY)
 
 
 def explode_segments(chapters: DataFrame) -> DataFrame:

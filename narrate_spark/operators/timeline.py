@@ -54,7 +54,7 @@ def chapter_markers(durations: DataFrame, titles: DataFrame) -> DataFrame:
         *CHAPTER_KEY,
         F.coalesce("title", default).alias("title"),
         "start_ms",
-        (F.col("start_ms") + F.col("duration_ms")).alias("end_ms"),
+        (F.col("start_ms") + F.col("value")).alias("end_ms"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from narrate_spark import constants as K
 from narrate_spark.functions.units import (
+    artifact_name,
     index_from_name,
     ms_to_frames,
     ms_to_timestamp,
@@ -45,7 +46,6 @@ def _format(events: DataFrame) -> DataFrame:
         *KEY,
         "seg_pos",
         "event_idx",
-        "kind",
         known(rate.otherwise(24000)).alias("rate"),
         known(F.col("seg_pos") % 2 + 1).alias("channels"),
         known(F.lit(2)).alias("width"),
@@ -72,10 +72,14 @@ def markers(spark, sf_dir) -> DataFrame:
     return T.chapter_markers(T.chapter_durations(segments), titles.select(*KEY, "title"))
 
 
-def _done(spark, sf_dir, plan: DataFrame) -> DataFrame:
-    """Artifacts that exist already: those of the labelled documents."""
+def _done(spark, sf_dir) -> DataFrame:
+    """Artifacts that exist already: three per segment of the labelled documents."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chapter_idx"))
-    return plan.join(labels, "chapter_idx", "left_semi").select("book_id", "artifact")
+    chapters = G.with_segment_offset(segmented(spark, sf_dir))
+    rows = G.explode_segments(chapters.join(labels, "chapter_idx", "left_semi"))
+    made = rows.select(*KEY, "seg_idx", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("event"))
+    name = artifact_name(F.col("chapter_idx"), F.col("seg_idx"), F.col("event"))
+    return made.select("book_id", name.alias("artifact"))
 
 
 def q_events(spark, sf_dir):
@@ -103,13 +107,12 @@ def q_anchor(spark, sf_dir):
 
 
 def q_pending(spark, sf_dir):
-    plan = full_plan(spark, sf_dir)
-    return P.pending_work(plan, _done(spark, sf_dir, plan)).select("book_id", "artifact", "kind")
+    pending = P.pending_work(full_plan(spark, sf_dir), _done(spark, sf_dir))
+    return pending.select("book_id", "artifact", "kind")
 
 
 def q_progress(spark, sf_dir):
-    plan = full_plan(spark, sf_dir)
-    return P.plan_progress(plan, _done(spark, sf_dir, plan))
+    return P.plan_progress(full_plan(spark, sf_dir), _done(spark, sf_dir))
 
 
 def q_pause_formats(spark, sf_dir):
@@ -245,7 +248,7 @@ def _events(max_chars: int, scene: int, title: int, paragraph: int, chapter: int
 
 
 _PLAN = _events(500, 1500, 1200, 700, 2500)
-_DONE = "done AS (SELECT book_id, artifact FROM ev WHERE chapter_idx IN (SELECT doc_id FROM labels))"
+_DONE = "done AS (SELECT book_id, artifact FROM ev WHERE chapter_idx IN (SELECT doc_id FROM labels) AND event_idx < 3)"
 _AUDIO = (
     f"{_PLAN}, au AS (SELECT *, CASE WHEN kind = 'text' THEN length(text) * {FRAMES_PER_CHAR} + 1920 "
     "ELSE trunc(24000 * (pause_ms / 1000.0::DOUBLE))::BIGINT END AS frames FROM ev), "
@@ -278,7 +281,7 @@ ORACLES = {
     "sum(length(text))::BIGINT AS chars FROM ev GROUP BY ALL",
     "plan_pending": f"WITH {_PLAN}, {_DONE} SELECT book_id, artifact, kind FROM ev ANTI JOIN done USING (book_id, artifact)",
     "plan_progress": f"WITH {_PLAN} SELECT book_id, count(*) AS total_segments, count(*) FILTER (chapter_idx IN "
-    "(SELECT doc_id FROM labels)) AS completed_segments FROM ev WHERE kind = 'text' GROUP BY book_id",
+    "(SELECT doc_id FROM labels) AND event_idx < 3) AS completed_segments FROM ev WHERE kind = 'text' GROUP BY book_id",
     "pause_formats": f"WITH {_FORMATS} SELECT * FROM pf",
     "synthesize": f"WITH {_PLAN}, t AS (SELECT *, [1.0, 0.5, 2.0, 2.5][seg_idx % 4 + 1] AS speed FROM ev WHERE kind = 'text') "
     "SELECT book_id, artifact, CASE WHEN speed <= 2 THEN 24000 ELSE 0 END::BIGINT AS rate, "
