@@ -46,7 +46,7 @@ def _either_case(word: str) -> str:
 
 _ABBREVIATION = "|".join(_either_case(w) for w in K.ABBREVIATIONS)
 _ABBREVIATED = rf"(?:{BLANK}|{HARD}|\A)(?:{_ABBREVIATION})"
-_STOP = (
+STOP = (
     r"[.!?](?<![.!?]{2})"
     rf"(?<!{_ABBREVIATED}[.!?])"
     rf"(?:(?<![{_TRAILERS}][.!?])|(?<!{_ABBREVIATED}[{_TRAILERS}]{{1,64}}[.!?]))"
@@ -54,7 +54,7 @@ _STOP = (
     rf"(?:{BLANK}++(?!(?:[—–\-]{BLANK}*+)?[{K.CONTINUATION_LETTERS}])|(?={HARD}|\z))"
 )
 _RUN = rf"[.!?]++[{_CLOSERS}]*+{BLANK}*+"
-_LEADING_STOP = rf"(?=[.!?])(?<={_MARKS}|\A)({_RUN}){SOFT}({_RUN}{SOFT})?"
+LEADING_STOP = rf"(?=[.!?])(?<={_MARKS}|\A)({_RUN}){SOFT}({_RUN}{SOFT})?"
 
 
 def _trim_marks(text: Column) -> Column:
@@ -62,8 +62,8 @@ def _trim_marks(text: Column) -> Column:
 
 
 MARK_STEPS = (
-    replaced(_STOP, f"$0{SOFT}"),
-    guarded(rf"[.!?](?<=(?:{_MARKS}|\A)[.!?])", _LEADING_STOP, "$1$2"),
+    replaced(STOP, f"$0{SOFT}"),
+    guarded(rf"[.!?](?<=(?:{_MARKS}|\A)[.!?])", LEADING_STOP, "$1$2"),
     _trim_marks,
     # blanks between a sentence and its boundary, nearly always just one
     lambda t: F.replace(t, F.lit(f" {SOFT}"), F.lit(SOFT)),

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrate_spark import constants as K
-from narrate_spark import schemas
 from narrate_spark.operators.ordered import last_before
 
 
 def transitions(spark: SparkSession) -> DataFrame:
     """Legal transitions as rows (a fixed, tiny table)."""
-    rows = [(a, b) for a, targets in K.TRANSITIONS.items() for b in targets]
-    return spark.createDataFrame(rows, schemas.TRANSITIONS)
+    steps = [(a, b) for a, targets in K.TRANSITIONS.items() for b in targets]
+    rows = ",".join(f"('{a}', '{b}')" for a, b in steps)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(from_state, to_state)")
 
 
 def check_transitions(log: DataFrame, depth: int | None = None) -> DataFrame:

@@ -12,8 +12,8 @@ so the scans here work in blocks of consecutive order values:
 4. the carried-in value joins back on (group, block) and completes the scan
    inside each block.
 
-How many levels are needed follows from the planner's size of the input
-(``scan_depth``); a small input takes the plain window.
+How many levels are needed follows from the bytes read (``scan_depth``); a
+small input takes the plain window.
 
 The order column is an integer, unique within the group up to small ties.
 Blocks come from the value alone, so a lost executor recomputes the same rows.
@@ -26,17 +26,22 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from narrate_spark.operators.sizes import input_bytes
+
 BITS = 12
-# Planner size up to which one plain window is enough.
+# Input bytes up to which one plain window is enough.
 PLAIN_BYTES = 64 << 20
 
 
 def scan_depth(df: DataFrame, bits: int = BITS) -> int:
-    """Levels of blocking for an input, from the planner's size of it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    depth, limit = 0, PLAIN_BYTES
-    while size > limit and depth < 3:
-        depth, limit = depth + 1, limit << bits
+    """Levels of blocking, from the bytes the rows are made from.
+
+    A row is made from at least one byte, so a group has no more rows than the
+    input has bytes.
+    """
+    size, depth = input_bytes(df), 0
+    while size > PLAIN_BYTES << (bits * depth) and depth < 3:
+        depth += 1
     return depth
 
 

@@ -10,27 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrate_spark import constants as K
-from narrate_spark import schemas
 from narrate_spark.functions.languages import (
     checkpoint_language,
     language_error,
     prefix_language_name,
     voice_language,
 )
-
-BROADCAST_BYTES = 8 << 20
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose planned size is small; leave others to the planner."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+from narrate_spark.operators.sizes import small
 
 
 def prefix_catalog(spark: SparkSession) -> DataFrame:
     """The published prefix-coded voices: pos, voice, language."""
-    rows = [(i, v, K.VOICE_PREFIX_LANGUAGE[v[0]]) for i, v in enumerate(K.PREFIX_VOICES)]
-    return spark.createDataFrame(rows, schemas.VOICES)
+    rows = ",".join(f"({i}L, '{v}')" for i, v in enumerate(K.PREFIX_VOICES))
+    ids = spark.sql(f"SELECT * FROM VALUES {rows} AS t(pos, voice)")
+    return ids.withColumn("language", voice_language(F.col("voice")))
 
 
 def catalog_from_ids(ids: DataFrame) -> DataFrame:

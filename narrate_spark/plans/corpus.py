@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from narrate_spark.functions.unicode import ustrip
+from narrate_spark.operators.sizes import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Below this many bytes per core a scan is spread before text work.
-SPREAD_BYTES_PER_CORE = 64 << 20
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small input over all cores.
-
-    A file with one row group is read by one task, which is fine to read and
-    slow to analyse.  The shuffle is only added when the planner's size of the
-    input is small; a large input has enough row groups and stays where it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < cores * SPREAD_BYTES_PER_CORE:
-        return df.repartition(cores * 3, key)
-    return df
-
-
 def _written_line(line: Column, doc: Column, i: Column) -> Column:
     rule = (doc * 31 + i * 7) % 23
     number = (i % 40).cast("string")

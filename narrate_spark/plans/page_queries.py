@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from narrate_spark.functions import markup as M
 from narrate_spark.operators import segments as G
 from narrate_spark.operators.arrays import explode_rows
+from narrate_spark.operators.sizes import spread
 from narrate_spark.plans import sql
-from narrate_spark.plans.corpus import document_chapters, spread, table
+from narrate_spark.plans.corpus import document_chapters, table
 from narrate_spark.sources import covers, epub, wav
 from narrate_spark.sources import markup as S
 
@@ -155,16 +156,15 @@ def epub_books(spark, sf_dir) -> DataFrame:
 
 
 def q_epub(spark, sf_dir):
-    entries = epub.explode_archives(epub_books(spark, sf_dir))
-    pkgs = epub.packages(entries)
-    chapters = S.page_chapters(epub.spine_pages(pkgs, entries))
+    pkgs = epub.packages(epub.read_archives(epub_books(spark, sf_dir)))
+    chapters = S.page_chapters(epub.spine_pages(pkgs))
     rows = G.explode_segments(chapters)
     return rows.select(*KEY, "title", "source_file", "seg_pos", F.col("seg_text").alias("text"))
 
 
 def q_epub_metadata(spark, sf_dir):
     books = epub_books(spark, sf_dir)
-    return epub.metadata(books, epub.packages(epub.explode_archives(books)))
+    return epub.metadata(books, epub.packages(epub.read_archives(books)))
 
 
 def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -12,8 +12,9 @@ from narrate_spark.functions.units import format_range
 from narrate_spark.operators import analyze as A
 from narrate_spark.operators import segments as G
 from narrate_spark.operators.arrays import explode_rows
+from narrate_spark.operators.sizes import spread
 from narrate_spark.plans import sql
-from narrate_spark.plans.corpus import document_chapters, narration_chapters, spread, table
+from narrate_spark.plans.corpus import document_chapters, narration_chapters, table
 
 KEY = ["book_id", "chapter_idx"]
 

@@ -4,21 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-VOICES = T.StructType(
-    [
-        T.StructField("pos", T.LongType(), False),
-        T.StructField("voice", T.StringType(), False),
-        T.StructField("language", T.StringType(), True),
-    ]
-)
-
-TRANSITIONS = T.StructType(
-    [
-        T.StructField("from_state", T.StringType(), False),
-        T.StructField("to_state", T.StringType(), False),
-    ]
-)
-
 JOB = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -45,14 +30,3 @@ JOB = T.StructType(
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
-
-EVENTS = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("user_id", T.LongType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-        T.StructField("props", T.StringType()),
-    ]
-)

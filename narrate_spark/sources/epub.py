@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from narrate_spark import constants as K
 from narrate_spark.functions.unicode import ustrip
+from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.sources.files import decode_markup, suffix_of
 
 _CONTAINER = "META-INF/container.xml"
@@ -23,25 +24,38 @@ _OPF = "{http://www.idpf.org/2007/opf}"
 _NCX = "{http://www.daisy.org/z3986/2005/ncx/}"
 
 
-def explode_archives(books: DataFrame) -> DataFrame:
-    """One row per archive entry; an unreadable archive is one error row."""
+def read_archives(books: DataFrame, images: bool = False) -> DataFrame:
+    """One row per archive with its ``entries``; ``error`` where it is unreadable.
 
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["book_id", "entry", "content", "error"]
+    Each archive is opened once and stays one row, so all that follows is row
+    work without joins.  Image entries are only read when asked for.
+    """
+
+    def read(content: bytes) -> list[dict]:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            return [
+                {"entry": info.filename, "content": archive.read(info)}
+                for info in archive.infolist()
+                if not info.is_dir()
+                and (images or not info.filename.lower().endswith(K.IMAGE_SUFFIXES))
+            ]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for book_id, content in zip(batch["book_id"], batch["content"], strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for info in archive.infolist():
-                            if not info.is_dir():
-                                row = (book_id, info.filename, archive.read(info), None)
-                                yield pd.DataFrame([row], columns=names)
+                    row = (book_id, read(content), None)
                 except (zipfile.BadZipFile, zipfile.LargeZipFile, RuntimeError, ValueError) as exc:
-                    row = (book_id, None, None, f"Corrupt or invalid ZIP: {exc}")
-                    yield pd.DataFrame([row], columns=names)
+                    row = (book_id, None, f"Corrupt or invalid ZIP: {exc}")
+                yield pd.DataFrame([row], columns=["book_id", "entries", "error"])
+
+    schema = "book_id string, entries array<struct<entry string, content binary>>, error string"
+    return books.select("book_id", "content").mapInPandas(run, schema)
 
-    schema = "book_id string, entry string, content binary, error string"
-    return books.select("book_id", "content").mapInPandas(entries, schema)
+
+def _content(path: Column) -> Column:
+    """Content of the entry with a path, null when there is none."""
+    return F.get(F.filter("entries", lambda e: e["entry"] == path), F.lit(0))["content"]
 
 
 _STRINGS = T.ArrayType(T.StringType())
@@ -124,17 +138,18 @@ def ncx_entries(xml: pd.Series) -> pd.Series:
     return xml.map(read)
 
 
-def packages(entries: DataFrame) -> DataFrame:
-    """Package per book: ``opf_dir`` and the parsed ``pkg``."""
-    named = entries.where(F.col("entry") == _CONTAINER).select(
-        "book_id",
-        F.regexp_extract(decode_markup(F.col("content")), r'full-path="([^"]+)"', 1).alias("entry"),
+def packages(archives: DataFrame) -> DataFrame:
+    """Add ``opf_dir`` and the parsed ``pkg`` to readable archives."""
+    container = decode_markup(_content(F.lit(_CONTAINER)))
+    named = archives.where(F.col("error").isNull()).withColumn(
+        "_opf", F.regexp_extract(container, r'full-path="([^"]+)"', 1)
     )
-    opf = entries.join(named, ["book_id", "entry"], "left_semi")
-    return opf.select(
+    parsed = named.withColumn("_xml", decode_markup(_content(F.col("_opf"))))
+    return parsed.select(
         "book_id",
-        F.regexp_extract("entry", r"\A(.*/)", 1).alias("opf_dir"),
-        opf_package(decode_markup(F.col("content"))).alias("pkg"),
+        "entries",
+        F.regexp_extract("_opf", r"\A(.*/)", 1).alias("opf_dir"),
+        opf_package(F.col("_xml")).alias("pkg"),
     )
 
 
@@ -164,35 +179,49 @@ def _entry_path(opf_dir: Column, href: Column) -> Column:
 
 
 def manifest(pkgs: DataFrame) -> DataFrame:
-    """Manifest rows with their archive path."""
-    rows = pkgs.select("book_id", "opf_dir", F.posexplode("pkg.items").alias("pos", "item"))
+    """Manifest rows with their content, for cover selection."""
+    rows = explode_rows(pkgs, ["book_id", "opf_dir", "entries"], "pkg.items", "pos", "item")
+    rows = rows.withColumn("entry", _entry_path(F.col("opf_dir"), F.col("item.href")))
+    properties = F.coalesce("item.properties", F.lit(""))
     return rows.select(
         "book_id",
-        F.col("pos").cast("bigint").alias("pos"),
+        "pos",
         F.col("item.id").alias("item_id"),
         F.col("item.href").alias("name"),
         F.coalesce("item.media_type", F.lit("")).alias("media_type"),
-        F.contains(F.coalesce("item.properties", F.lit("")), F.lit("cover-image")).alias("is_cover"),
-        _entry_path(F.col("opf_dir"), F.col("item.href")).alias("entry"),
+        F.contains(properties, F.lit("cover-image")).alias("is_cover"),
+        "entry",
+        _content(F.col("entry")).alias("content"),
     )
 
 
-def spine_pages(pkgs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Spine positions joined to their pages; missing items are skipped."""
-    kept = F.filter("pkg.spine", lambda i: ~i.isin(*K.SPINE_SKIP_IDS))
-    spine = pkgs.select("book_id", F.posexplode(kept).alias("pos", "item_id"))
-    documents = manifest(pkgs).where(
-        F.col("media_type").isin("application/xhtml+xml", "text/html")
-        | suffix_of(F.col("name")).isin(*K.HTML_SUFFIXES)
-    )
-    pages = spine.join(documents.drop("pos"), ["book_id", "item_id"])
-    pages = pages.join(entries.select("book_id", "entry", "content"), ["book_id", "entry"])
-    return pages.select(
-        "book_id",
-        F.col("pos").cast("bigint").alias("chapter_idx"),
-        F.col("name").alias("source_file"),
-        decode_markup(F.col("content")).alias("markup"),
+def cover_ids(pkgs: DataFrame) -> DataFrame:
+    """Cover ids named in the package metadata."""
+    rows = explode_rows(pkgs, ["book_id"], "pkg.covers", "meta_pos", "item_id")
+    return rows.where(F.col("item_id").isNotNull())
+
+
+def _is_document(item: Column) -> Column:
+    return item["media_type"].isin("application/xhtml+xml", "text/html") | suffix_of(
+        item["href"]
+    ).isin(*K.HTML_SUFFIXES)
+
+
+def spine_pages(pkgs: DataFrame) -> DataFrame:
+    """Spine positions with their pages; missing items are skipped.
+
+    An item and its content are looked up inside the archive's row.
+    """
+    spine = F.filter("pkg.spine", lambda i: ~i.isin(*K.SPINE_SKIP_IDS))
+    rows = explode_rows(pkgs, ["book_id", "opf_dir", "entries", "pkg"], spine, "chapter_idx", "id")
+    same = F.filter("pkg.items", lambda item: (item["id"] == F.col("id")) & _is_document(item))
+    # of items with one id the last one counts
+    rows = rows.withColumn("source_file", F.try_element_at(same, F.lit(-1))["href"])
+    path = _entry_path(F.col("opf_dir"), F.col("source_file"))
+    rows = rows.select(
+        "book_id", "chapter_idx", "source_file", decode_markup(_content(path)).alias("markup")
     )
+    return rows.where(F.col("markup").isNotNull())
 
 
 def kindle_metadata(books: DataFrame) -> DataFrame:

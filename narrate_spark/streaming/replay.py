@@ -22,7 +22,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set")
         root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/narrate-{uuid.uuid4().hex}"
 
 
