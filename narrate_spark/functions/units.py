@@ -72,9 +72,9 @@ def parse_chapter_spec(spec: Column) -> Column:
     """
 
     def indices(part: Column) -> Column:
-        first = F.trim(F.regexp_extract(part, r"\A\s*\+?(\d+)", 1)).cast("int")
-        last_text = F.trim(F.regexp_extract(part, r"-\s*\+?(-?\d+)\s*\z", 1))
-        last = F.when(last_text == "", first).otherwise(last_text.cast("int"))
+        first = F.regexp_extract(part, r"\A\s*\+?(\d+)", 1).try_cast("int")
+        last_text = F.regexp_extract(part, r"-\s*\+?(-?\d+)\s*\z", 1)
+        last = F.when(last_text == "", first).otherwise(last_text.try_cast("int"))
         none = F.array().cast("array<int>")
         return F.when(last < first, none).otherwise(
             F.sequence(first, F.greatest(first, last))
@@ -118,7 +118,7 @@ def index_from_name(name: Column) -> Column:
     """Number after the first underscore of a name; 0 when there is none."""
     digits = F.regexp_extract(ustrip(name), r"\A[^_]*_\s*([+-]?\d+(?:_\d+)*)\s*\z", 1)
     return F.coalesce(
-        F.nullif(F.replace(digits, F.lit("_"), F.lit("")), F.lit("")).cast("bigint"),
+        F.replace(digits, F.lit("_"), F.lit("")).try_cast("bigint"),
         F.lit(0).cast("bigint"),
     )
 

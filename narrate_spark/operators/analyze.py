@@ -192,40 +192,34 @@ def fingerprints(chunk_rows: DataFrame) -> DataFrame:
     )
 
 
-def word_differences(
-    chapters: DataFrame, max_chars: int = K.DEFAULT_MAX_CHARS
-) -> DataFrame:
-    """Words that chunking lost or invented, per chapter; empty when it is sound.
+def word_check(chapters: DataFrame, max_chars: int = K.DEFAULT_MAX_CHARS) -> DataFrame:
+    """Words before and after chunking, and whether they are the same words.
 
-    Counts are compared inside each chapter row: a sorted word list of the
-    normalized text against the sorted word list of the chunks.
+    The comparison stays inside each chapter row: the sorted word list of the
+    normalized text against that of the chunks.
     """
 
     def words(texts: Column) -> Column:
         parts = F.transform(texts, lambda t: F.split(ustrip(t), f"{BLANK}+", -1))
         return F.array_sort(F.filter(F.flatten(parts), lambda w: w != ""))
 
-    with_norms = with_normalized(chapters).withColumn(
-        "packed",
-        F.flatten(F.transform("norms", lambda n: _text_chunks(n, max_chars))),
-    )
-    compared = with_norms.select(
+    packed = F.flatten(F.transform("norms", lambda n: _text_chunks(n, max_chars)))
+    lists = with_normalized(chapters).select(
         *CHAPTER_KEY,
         words(F.transform("norms", drop_markers)).alias("before"),
-        words(F.col("packed")).alias("after"),
+        words(packed).alias("after"),
     )
-    return compared.where(F.col("before") != F.col("after")).select(
+    return lists.select(
         *CHAPTER_KEY,
         F.size("before").cast("bigint").alias("words_before"),
         F.size("after").cast("bigint").alias("words_after"),
+        (F.col("before") == F.col("after")).alias("same"),
     )
 
 
-def capability_languages(voices: DataFrame) -> DataFrame:
-    """Voices and languages per backend catalog."""
-    return voices.where(F.col("language").isNotNull()).groupBy("language").agg(
-        F.count(F.lit(1)).alias("n_voices")
-    )
+def word_differences(chapters: DataFrame, max_chars: int = K.DEFAULT_MAX_CHARS) -> DataFrame:
+    """Chapters in which chunking lost or invented words; empty when it is sound."""
+    return word_check(chapters, max_chars).where(~F.col("same")).drop("same")
 
 
 def chunk_lengths_ok(chunk_rows: DataFrame, max_chars: int) -> DataFrame:
@@ -238,7 +232,6 @@ def chunk_lengths_ok(chunk_rows: DataFrame, max_chars: int) -> DataFrame:
 __all__ = [
     "analyze_chapters",
     "book_totals",
-    "capability_languages",
     "chapter_warnings",
     "chunk_lengths_ok",
     "chunks",
@@ -247,5 +240,6 @@ __all__ = [
     "preview",
     "sentences",
     "with_normalized",
+    "word_check",
     "word_differences",
 ]

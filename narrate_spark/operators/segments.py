@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from narrate_spark.functions.unicode import split_lines, ustrip
 from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.ordered import sum_before
+from narrate_spark.operators.sizes import small
 
 CHAPTER_KEY = ["book_id", "chapter_idx"]
 
@@ -76,4 +77,4 @@ def missing_chapters(chapters: DataFrame, selection: DataFrame) -> DataFrame:
     )
     absent = selection.select(*CHAPTER_KEY).distinct()
     absent = absent.join(chapters.select(*CHAPTER_KEY), CHAPTER_KEY, "left_anti")
-    return absent.join(ranges, "book_id", "left")
+    return absent.join(small(ranges), "book_id", "left")

@@ -128,12 +128,10 @@ def q_missing(spark, sf_dir):
 
 
 def q_words_kept(spark, sf_dir):
-    different = A.word_differences(segmented(spark, sf_dir)).groupBy("book_id").agg(
-        F.count(F.lit(1)).alias("n_different")
-    )
-    totals = A.book_totals(analysis(spark, sf_dir)).select("book_id", "chapters", "words")
-    return totals.join(different, "book_id", "left").select(
-        "book_id", "chapters", "words", F.coalesce("n_different", F.lit(0)).cast("bigint").alias("n_different")
+    return A.word_check(segmented(spark, sf_dir)).groupBy("book_id").agg(
+        F.count(F.lit(1)).alias("chapters"),
+        F.sum("words_before").alias("words"),
+        F.count(F.when(~F.col("same"), 1)).alias("n_different"),
     )
 
 

@@ -28,7 +28,8 @@ def read_archives(books: DataFrame, images: bool = False) -> DataFrame:
     """One row per archive with its ``entries``; ``error`` where it is unreadable.
 
     Each archive is opened once and stays one row, so all that follows is row
-    work without joins.  Image entries are only read when asked for.
+    work without joins.  Image entries are only read when asked for.  Straight
+    after a file scan the batches are as small as the scan's partitions.
     """
 
     def read(content: bytes) -> list[dict]:
@@ -172,7 +173,7 @@ def metadata(books: DataFrame, pkgs: DataFrame, use_stem: bool = False) -> DataF
 
 
 def _entry_path(opf_dir: Column, href: Column) -> Column:
-    plain = F.url_decode(F.replace(href, F.lit("+"), F.lit("%2B")))
+    plain = F.coalesce(F.try_url_decode(F.replace(href, F.lit("+"), F.lit("%2B"))), href)
     path = F.concat(opf_dir, plain)
     path = F.regexp_replace(path, r"(?<=\A|/)\./", "")
     return F.regexp_replace(path, r"(?<=\A|/)[^/]+/\.\./", "")
