@@ -27,14 +27,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if planned_bytes(df) <= BROADCAST_BYTES else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, like: DataFrame | None = None) -> DataFrame:
     """Spread a small input over all cores.
 
     A file with one row group is read by one task, which is fine to read and
     slow to analyse.  The shuffle is only added while the input is small; a
-    large input has enough row groups and stays where it is.
+    large input has enough row groups and stays where it is.  A stream is sized
+    by the table it replays (``like``).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if input_bytes(df) < cores * SPREAD_BYTES_PER_CORE:
+    if input_bytes(like or df) < cores * SPREAD_BYTES_PER_CORE:
         return df.repartition(cores * 3, key)
     return df

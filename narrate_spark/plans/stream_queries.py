@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from narrate_spark.operators.segments import paragraph_segments
+from narrate_spark.operators.sizes import spread
 from narrate_spark.plans import sql
 from narrate_spark.plans.corpus import chapter_title, narration_text, table
 from narrate_spark.plans.job_queries import LOG, log_of
@@ -31,6 +32,7 @@ def _events(spark, sf_dir):
 
 def q_intake(spark, sf_dir):
     docs = _stream(spark, sf_dir, "documents")
+    docs = spread(docs, "doc_id", like=table(spark, sf_dir, "documents"))
     chapters = docs.select(
         F.col("source").alias("book_id"),
         F.col("doc_id").alias("chapter_idx"),
