@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from narrate_spark import constants as K
 from narrate_spark.functions.normalize import normalize
 from narrate_spark.functions.sentences import HARD, pack_marked
-from narrate_spark.functions.unicode import fold_case, unify_line_ends, ustrip
+from narrate_spark.functions.unicode import BLANK, fold_case, unify_line_ends, ustrip
 from narrate_spark.functions.units import artifact_name
 from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.ordered import last_before
@@ -36,8 +36,8 @@ class Prosody:
 def title_anchor(text: Column, title: Column, is_first: Column) -> Column:
     """Insert a title marker after a first line that repeats the chapter title."""
     lines = unify_line_ends(text)
-    first = F.regexp_extract(lines, r"\A\s*([^\n]*)", 1)
-    head = F.regexp_extract(lines, r"\A\s*[^\n]*", 0)
+    first = F.regexp_extract(lines, rf"\A{BLANK}*+([^\n]*)", 1)
+    head = F.regexp_extract(lines, rf"\A{BLANK}*+[^\n]*", 0)
     wanted = ustrip(title)
     narrated = is_first & (wanted != "") & (fold_case(ustrip(first)) == fold_case(wanted))
     tail = F.substr(lines, F.length(head) + 1)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 # Below this many input bytes per core a scan is spread before text work.
 SPREAD_BYTES_PER_CORE = 64 << 20
+# Input bytes that make one partition of a spread scan.
+SPREAD_BYTES = 256 << 10
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -36,6 +38,7 @@ def spread(df: DataFrame, key: str, like: DataFrame | None = None) -> DataFrame:
     by the table it replays (``like``).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if input_bytes(like or df) < cores * SPREAD_BYTES_PER_CORE:
-        return df.repartition(cores * 3, key)
+    size = input_bytes(like or df)
+    if size < cores * SPREAD_BYTES_PER_CORE:
+        return df.repartition(min(cores * 3, size // SPREAD_BYTES + 1), key)
     return df

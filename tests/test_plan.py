@@ -155,3 +155,10 @@ def test_no_word_is_lost(spark, limit):
     df = chapters(spark, "Uno dos. Tres! ***\n***\n¿ Cuatro ? cinco", "Page 1\nSeis.")
     assert A.word_differences(df, limit).count() == 0
     assert A.chunk_lengths_ok(A.chunks(df, limit), limit).count() == 0
+
+
+def test_title_anchor_skips_blank_lines(spark):
+    df = chapters(spark, "x").select(
+        P.title_anchor(F.lit("\xa0\n  Title \nText."), F.lit("TITLE"), F.lit(True)).alias("t")
+    )
+    assert df.first().t == f"\xa0\n  Title \n{K.CHAPTER_TITLE_MARKER}\nText."
