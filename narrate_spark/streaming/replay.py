@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,16 @@ def file_stream(
     return reader.parquet(path)
 
 
+def _written(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows a stream has written; none when its input was empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def run_append(stream: DataFrame, root: str) -> DataFrame:
     """Append the rows of a stream to a table until its input is read."""
     spark = stream.sparkSession
@@ -47,7 +58,7 @@ def run_append(stream: DataFrame, root: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+    return _written(spark, f"{root}/rows", stream.schema)
 
 
 def run_upsert(stream: DataFrame, root: str, keys: list[str]) -> DataFrame:
@@ -71,6 +82,6 @@ def run_upsert(stream: DataFrame, root: str, keys: list[str]) -> DataFrame:
     query.awaitTermination()
     values = [c for c in stream.columns if c not in keys]
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(schema).parquet(f"{root}/rows")
+    rows = _written(spark, f"{root}/rows", schema)
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
     return newest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in values])

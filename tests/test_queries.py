@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from narrate_spark.operators import ordered, sizes
 from narrate_spark.plans import registry
 from tools.check import TABLES, frame
 
@@ -25,3 +26,21 @@ def test_query_matches_its_sql(spark, con, name):
     theirs = frame(con.execute(registry.ORACLES[name]).df())
     assert list(mine.columns) == list(theirs.columns)
     assert mine.map(str).equals(theirs.map(str))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["segment_index", "chapter_timeline", "pause_formats", "job_transitions", "page_segments"],
+)
+def test_blocked_scans_match_too(spark, con, monkeypatch, name):
+    # every scan takes the way meant for large inputs
+    monkeypatch.setattr(ordered, "PLAIN_BYTES", 1)
+    test_query_matches_its_sql(spark, con, name)
+
+
+def test_nothing_is_spread_when_inputs_are_large(spark, monkeypatch):
+    monkeypatch.setattr(sizes, "SPREAD_BYTES_PER_CORE", 0)
+    plan = registry.QUERIES["plan_events"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan
+    flagship = registry.QUERIES["analyze_chapters"](spark, SF)._jdf.queryExecution()
+    assert "Exchange" not in flagship.executedPlan().toString()

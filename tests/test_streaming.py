@@ -67,3 +67,12 @@ def test_each_artifact_is_delivered_once(spark, tmp_path):
     stream = replay.file_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
     got = replay.run_append(live.deliveries(stream), str(tmp_path / "out"))
     assert sorted(r.artifact for r in got.collect()) == ["x.wav", "y.wav"]
+
+
+def test_empty_input(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = table(spark, SF, "events").withColumn("ts", F.col("ts").cast("timestamp")).schema
+    stream = log_of(replay.file_stream(spark, str(tmp_path / "in"), schema))
+    assert replay.run_upsert(live.job_status(stream), str(tmp_path / "a"), ["job_id"]).count() == 0
+    stream = log_of(replay.file_stream(spark, str(tmp_path / "in"), schema))
+    assert replay.run_append(stream, str(tmp_path / "b")).count() == 0
