@@ -126,6 +126,15 @@ IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".gif", ".webp")
 HTML_SUFFIXES = (".xhtml", ".html", ".htm")
 SPINE_SKIP_IDS = ("nav", "ncx")
 
+# File and directory names, and the fixed lines of chapter metadata.
+ARTIFACT_NAME = "ch%04d_seg%06d_chunk%d.wav"
+SEGMENT_NAME = "seg_%06d.wav"
+CHAPTER_NAME = "ch_%04d"
+METADATA_HEADER = ";FFMETADATA1"
+METADATA_GENRE = "genre=Audiobook"
+METADATA_CHAPTER = "[CHAPTER]"
+METADATA_TIMEBASE = "TIMEBASE=1/1000"
+
 # Line patterns (on a stripped line; BLANK and DIGIT are Unicode-aware).
 SCENE_LINE = r"[{BLANK}*•\-–—]{3,}"
 TITLE_LINE = r"(?iu:Chapter|Capítulo|Cap\.?){BLANK}+{DIGIT}+"

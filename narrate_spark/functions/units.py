@@ -97,7 +97,7 @@ def format_range(first: Column, last: Column) -> Column:
 def artifact_name(chapter: Column, segment: Column, event: Column) -> Column:
     """File name of one synthesized chunk or pause."""
     return F.format_string(
-        "ch%04d_seg%06d_chunk%d.wav",
+        K.ARTIFACT_NAME,
         chapter.cast("bigint"),
         segment.cast("bigint"),
         event.cast("bigint"),
@@ -106,12 +106,12 @@ def artifact_name(chapter: Column, segment: Column, event: Column) -> Column:
 
 def segment_file(segment: Column) -> Column:
     """File name of one merged segment."""
-    return F.format_string("seg_%06d.wav", segment.cast("bigint"))
+    return F.format_string(K.SEGMENT_NAME, segment.cast("bigint"))
 
 
 def chapter_dir(chapter: Column) -> Column:
     """Directory name of a chapter."""
-    return F.format_string("ch_%04d", chapter.cast("bigint"))
+    return F.format_string(K.CHAPTER_NAME, chapter.cast("bigint"))
 
 
 def index_from_name(name: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from narrate_spark import constants as K
 from narrate_spark.functions.units import (
     chapter_dir,
     frames_to_ms,
@@ -71,13 +72,13 @@ def metadata_header(books: DataFrame, escape: bool = False) -> DataFrame:
     language = F.when(F.coalesce("language", F.lit("")) != "", tag("language", "language"))
     text = F.concat_ws(
         "\n",
-        F.lit(";FFMETADATA1"),
+        F.lit(K.METADATA_HEADER),
         tag("title", "title"),
         tag("artist", "narrator"),
         tag("composer", "author"),
         tag("album_artist", "author"),
         tag("album", "title"),
-        F.lit("genre=Audiobook"),
+        F.lit(K.METADATA_GENRE),
         language,
     )
     return books.select("book_id", F.lit(-1).cast("bigint").alias("chapter_idx"), text.alias("block"))
@@ -88,8 +89,8 @@ def metadata_blocks(markers: DataFrame, escape: bool = False) -> DataFrame:
     text = F.concat_ws(
         "\n",
         F.lit(""),
-        F.lit("[CHAPTER]"),
-        F.lit("TIMEBASE=1/1000"),
+        F.lit(K.METADATA_CHAPTER),
+        F.lit(K.METADATA_TIMEBASE),
         F.concat(F.lit("START="), F.col("start_ms").cast("string")),
         F.concat(F.lit("END="), F.col("end_ms").cast("string")),
         F.concat(F.lit("title="), _escaped(F.col("title"), escape)),

@@ -70,12 +70,16 @@ def pick_cover(manifest: DataFrame, metas: DataFrame) -> DataFrame:
     direct = candidates.where("image").select(
         "book_id", "rank", "order", F.lit(0).cast("bigint").alias("sub"), F.col("name").alias("cover")
     )
-    images = items.where("image").select(
-        "book_id", F.col("pos").alias("sub"), F.col("name").alias("cover")
-    )
+    # one row per image name and per wrapped name before they meet: pages that
+    # show the same image, and repeated items, only count once
+    images = items.where("image").groupBy("book_id", F.col("name").alias("cover"))
+    images = images.agg(F.min("pos").alias("sub"))
     pages = candidates.where(~F.col("image") & (F.col("wraps") != ""))
-    wrapped = pages.select("book_id", "rank", "order", "wraps").join(images, "book_id")
-    wrapped = wrapped.where(F.contains(F.lower("cover"), F.col("wraps"))).drop("wraps")
+    pages = pages.groupBy("book_id", "wraps").agg(F.min(F.struct("rank", "order")).alias("at"))
+    wrapped = pages.join(images, "book_id").where(
+        F.contains(F.lower("cover"), F.col("wraps"))
+    )
+    wrapped = wrapped.select("book_id", "at.rank", "at.order", "sub", "cover")
     best = direct.unionByName(wrapped).groupBy("book_id").agg(
         F.min(F.struct("rank", "order", "sub", "cover")).alias("best")
     )
