@@ -78,9 +78,12 @@ def _cut(marked: Column, mark: str) -> Column:
     )
 
 
+SENTENCE_STEPS = (*MARK_STEPS, lambda t: _cut(t, SOFT))
+
+
 def split_sentences(text: Column) -> Column:
     """Sentences of a text as an array (blank text gives an empty array)."""
-    return chain(text, *MARK_STEPS, lambda t: _cut(t, SOFT))
+    return chain(text, *SENTENCE_STEPS)
 
 
 _MARKER = f"{K.SCENE_BREAK_MARKER}|{K.CHAPTER_TITLE_MARKER}"

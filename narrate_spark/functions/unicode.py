@@ -107,13 +107,15 @@ def split_lines(text: Column) -> Column:
     )
 
 
+COUNT_STEPS: tuple[Step, ...] = (
+    ustrip,
+    lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{BLANK}++", -1))),
+)
+
+
 def count_words(text: Column) -> Column:
     """Number of blank-separated words."""
-    return chain(
-        text,
-        ustrip,
-        lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"{BLANK}++", -1))),
-    ).cast("bigint")
+    return chain(text, *COUNT_STEPS).cast("bigint")
 
 
 def fold_case(text: Column) -> Column:

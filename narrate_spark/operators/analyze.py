@@ -7,28 +7,39 @@ from pyspark.sql import functions as F
 
 from narrate_spark import constants as K
 from narrate_spark.functions.normalize import (
+    NORMALIZE_STEPS,
     chunk_kind,
     drop_markers,
     is_marker,
-    normalize,
 )
-from narrate_spark.functions.sentences import chunk_array, split_sentences
-from narrate_spark.functions.unicode import BLANK, count_words, ustrip
+from narrate_spark.functions.sentences import (
+    SENTENCE_STEPS,
+    cut_chunks,
+    pack_steps,
+    split_sentences,
+)
+from narrate_spark.functions.unicode import BLANK, COUNT_STEPS, each, ustrip
 from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.segments import CHAPTER_KEY
 
 
 def with_normalized(chapters: DataFrame) -> DataFrame:
     """Add ``norms``, the normalized text of every segment."""
-    return chapters.withColumn("norms", F.transform("segs", normalize))
+    return chapters.withColumn("norms", each(F.col("segs"), *NORMALIZE_STEPS))
 
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
 
 
-def _text_chunks(norm: Column, max_chars: int) -> Column:
-    return F.filter(chunk_array(norm, max_chars), lambda c: ~is_marker(c))
+def _chunks(norms: Column, max_chars: int) -> Column:
+    """Chunks of every text of an array, as an array of arrays."""
+    return each(norms, *pack_steps(max_chars), cut_chunks)
+
+
+def _text_chunks(norms: Column, max_chars: int) -> Column:
+    only_text = lambda chunks: F.filter(chunks, lambda c: ~is_marker(c))
+    return F.transform(_chunks(norms, max_chars), only_text)
 
 
 def analyze_chapters(
@@ -47,10 +58,10 @@ def analyze_chapters(
         *keep,
         F.size("segs").cast("bigint").alias("segments"),
         _sum(F.transform("plains", lambda p: F.length(p).cast("bigint"))).alias("chars"),
-        _sum(F.transform("plains", count_words)).alias("words"),
+        _sum(each(F.col("plains"), *COUNT_STEPS, lambda n: n.cast("bigint"))).alias("words"),
         _sum(
             F.transform(
-                "norms", lambda n: F.size(_text_chunks(n, max_chars)).cast("bigint")
+                _text_chunks(F.col("norms"), max_chars), lambda c: F.size(c).cast("bigint")
             )
         ).alias("chunks"),
     )
@@ -131,14 +142,14 @@ def sentences(chapters: DataFrame) -> DataFrame:
     """One row per sentence of the normalized text, markers removed."""
     with_norms = with_normalized(chapters)
     plains = F.transform("norms", drop_markers)
-    nested = F.transform(plains, split_sentences)
+    nested = each(plains, *SENTENCE_STEPS)
     return _numbered(with_norms, nested).withColumnRenamed("item_idx", "sentence_idx")
 
 
 def chunks(chapters: DataFrame, max_chars: int = K.DEFAULT_MAX_CHARS) -> DataFrame:
     """One row per chunk, marker chunks included, with its kind."""
     with_norms = with_normalized(chapters)
-    nested = F.transform("norms", lambda n: chunk_array(n, max_chars))
+    nested = _chunks(F.col("norms"), max_chars)
     rows = _numbered(with_norms, nested).withColumnRenamed("item_idx", "chunk_idx")
     kind = chunk_kind(F.col("text"))
     text = F.when(kind == K.KIND_TEXT, F.col("text")).otherwise("")
@@ -153,7 +164,7 @@ def chunks(chapters: DataFrame, max_chars: int = K.DEFAULT_MAX_CHARS) -> DataFra
 def preview(chapters: DataFrame, max_chars: int = K.DEFAULT_MAX_CHARS) -> DataFrame:
     """Text chunks of each chapter in reading order, labelled ``i/n``."""
     with_norms = with_normalized(chapters)
-    nested = F.transform("norms", lambda n: _text_chunks(n, max_chars))
+    nested = _text_chunks(F.col("norms"), max_chars)
     rows = _numbered(with_norms, nested)
     label = F.concat_ws(
         "/", (F.col("item_no") + 1).cast("string"), F.col("n_items").cast("string")
@@ -203,7 +214,7 @@ def word_check(chapters: DataFrame, max_chars: int = K.DEFAULT_MAX_CHARS) -> Dat
         parts = F.transform(texts, lambda t: F.split(ustrip(t), f"{BLANK}+", -1))
         return F.array_sort(F.filter(F.flatten(parts), lambda w: w != ""))
 
-    packed = F.flatten(F.transform("norms", lambda n: _text_chunks(n, max_chars)))
+    packed = F.flatten(_text_chunks(F.col("norms"), max_chars))
     lists = with_normalized(chapters).select(
         *CHAPTER_KEY,
         words(F.transform("norms", drop_markers)).alias("before"),

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrate_spark import constants as K
-from narrate_spark.functions.normalize import normalize
-from narrate_spark.functions.sentences import HARD, pack_marked
-from narrate_spark.functions.unicode import BLANK, fold_case, unify_line_ends, ustrip
+from narrate_spark.functions.normalize import NORMALIZE_STEPS
+from narrate_spark.functions.sentences import HARD, pack_steps
+from narrate_spark.functions.unicode import BLANK, each, fold_case, unify_line_ends, ustrip
 from narrate_spark.functions.units import artifact_name
 from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.ordered import last_before
@@ -84,13 +84,13 @@ def synthesis_plan(
         F.col("segs"), lambda s, i: title_anchor(s, title, i == 0)
     )
     staged = chapters.withColumn("_anchored", anchored)
-    staged = staged.withColumn("_norms", F.transform("_anchored", normalize))
-    staged = staged.withColumn(
-        "_packs", F.transform("_norms", lambda n: pack_marked(n, max_chars))
-    )
-    staged = staged.withColumn(
-        "_packs", F.transform("_packs", lambda p: _coalesce_pauses(p, prosody))
+    packs = each(
+        F.col("_anchored"),
+        *NORMALIZE_STEPS,
+        *pack_steps(max_chars),
+        lambda p: _coalesce_pauses(p, prosody),
     )
+    staged = staged.withColumn("_packs", packs)
     staged = staged.withColumn(
         "_letters", F.array_join(F.transform("_packs", _letter), "")
     )

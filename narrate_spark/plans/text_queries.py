@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from narrate_spark import constants as K
 from narrate_spark.functions import normalize as N
-from narrate_spark.functions.unicode import split_lines
+from narrate_spark.functions.unicode import each, split_lines
 from narrate_spark.functions.units import format_range
 from narrate_spark.operators import analyze as A
 from narrate_spark.operators import segments as G
@@ -65,7 +65,7 @@ def q_dialogue(spark, sf_dir):
 
 
 def q_normalize(spark, sf_dir):
-    norms = F.transform("segs", N.normalize)
+    norms = each(F.col("segs"), *N.NORMALIZE_STEPS)
     rows = explode_rows(segmented(spark, sf_dir), KEY, norms, "seg_pos", "norm")
     return rows.select(*KEY, "seg_pos", shown(F.col("norm")).alias("norm"))
 
