@@ -11,9 +11,10 @@ with a probability below one in ten thousand.
 
 What the trees find are candidates.  Links are confirmed on the full sets: first
 every document's most similar candidate, then the most similar one outside of
-its component, then all candidates between different components, so pairs that
-are connected already need no check.  Documents with one and the same set are
-one vertex, whatever their number.
+its component.  Nodes that still hold candidates of different components then get the
+full sets of these documents, and each candidate that is not connected yet
+is checked where the node is.  Documents with one and the same set are one vertex,
+whatever their number.
 
 Nodes that no branching makes small hold very similar documents.  They are dealt
 into blocks: the members of the node's largest component once, all others to
@@ -33,7 +34,7 @@ from narrate_spark.llm import common
 from narrate_spark.llm.components import components
 
 THRESHOLD = 80  # percent
-COORDINATES = 128
+COORDINATES = 256
 TREES = 16
 # Levels that are branched in one go, and the depth at which branching ends.
 FIRST_LEVELS = 2
@@ -42,10 +43,11 @@ DEPTH = 6
 NODE = 400
 # Coordinates of the sketch (two bits each) that must agree; at the threshold
 # this is five standard deviations below the mean.
-AGREE = 88
+AGREE = 189
 # Bytes of a shingle's hash that are compared when links are confirmed.
 KEY_BYTES = 6
 
+_WORDS = COORDINATES // 32
 _SETS = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -53,21 +55,28 @@ _SETS = pa.schema(
         ("f1", pa.int64()),
         ("f2", pa.int64()),
         ("signature", pa.binary()),
+        ("sketch", pa.binary()),
     ]
 )
-_NODES = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+_NODES = pa.schema([("node", pa.int64()), ("doc", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.int32())])
 
 _SEEDS = common.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """Two bytes of the minwise hash of a set for each coordinate."""
+    """One byte of the minwise hash of a set for each coordinate."""
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(items), 1024):
-            np.minimum(out, (items[at : at + 1024, None] * _SEEDS).min(axis=0), out=out)
-        return (common.mix(out) >> np.uint64(48)).astype("<u2")
+        for at in range(0, len(items), 512):
+            np.minimum(out, (items[at : at + 512, None] * _SEEDS).min(axis=0), out=out)
+        return (common.mix(out) >> np.uint64(56)).astype(np.uint8)
+
+
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, packed."""
+    two = (signature & 3).astype(np.uint64).reshape(_WORDS, 32)
+    return (two << (2 * np.arange(32, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -75,185 +84,263 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, f1, f2, signatures = [], [], [], []
+            n, f1, f2, signatures, sketches = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 items = common.shingles(common.word_hashes(text, common.SPACES), size)
                 n.append(len(items))
                 f1.append(int(items.sum(dtype=np.uint64).astype(np.int64)))
                 f2.append(int(common.mix(items + np.uint64(1)).sum(dtype=np.uint64).astype(np.int64)))
-                signatures.append(signature(items).tobytes() if len(items) else None)
+                own = signature(items)
+                signatures.append(own.tobytes() if len(items) else None)
+                sketches.append(sketch(own).tobytes() if len(items) else None)
             yield common.batch(
-                {"doc_id": b.column("doc_id"), "n": n, "f1": f1, "f2": f2, "signature": signatures}, _SETS
+                {"doc_id": b.column("doc_id"), "n": n, "f1": f1, "f2": f2, "signature": signatures, "sketch": sketches}, _SETS
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sets, "doc_id bigint, n bigint, f1 bigint, f2 bigint, signature binary"
+        sets, "doc_id bigint, n bigint, f1 bigint, f2 bigint, signature binary, sketch binary"
     )
 
 
 def branch(rows: DataFrame, levels: int, threshold: int) -> DataFrame:
-    """Children of (node, doc, n, signature) rows; without ``node``, of every tree's root."""
+    """Children (node, doc) of (node, doc, signature) rows; without ``node``, of every tree's root."""
     rooted = "node" in rows.columns
     limit = np.uint64(int(2**64 * 100 / threshold / COORDINATES))
-    coordinates = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(16)
-    rows = rows.select(*(["node"] if rooted else []), "doc", "n", "signature")
+    coordinates = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(8)
+    rows = rows.select(*(["node"] if rooted else []), "doc", "signature")
 
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 with np.errstate(over="ignore"):
-                    signatures = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u2")
-                    signatures = signatures.reshape(-1, COORDINATES)
-                    tokens = common.mix(signatures + coordinates)
-                    two = (signatures & 3).astype(np.uint64).reshape(-1, 4, 32)
-                    sketches = (two << (2 * np.arange(32, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
-                    doc, n = b.column("doc").to_numpy(), b.column("n").to_numpy()
+                    signatures = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8)
+                    tokens = common.mix(signatures.reshape(-1, COORDINATES) + coordinates)
+                    doc, all_ = b.column("doc").to_numpy(), np.arange(b.num_rows)
                     if rooted:
-                        roots = [(b.column("node").to_numpy().astype(np.uint64), np.arange(b.num_rows))]
+                        roots = [b.column("node").to_numpy().astype(np.uint64)]
                     else:
                         seeds = common.mix(np.arange(TREES, dtype=np.uint64) + np.uint64(7919))
-                        roots = [(np.full(b.num_rows, s), np.arange(b.num_rows)) for s in seeds]
-                    for node, row in roots:
+                        roots = [np.full(b.num_rows, s) for s in seeds]
+                    for node in roots:
+                        row = all_
                         for _ in range(levels):
                             # a node's random function of a token decides whether it is branched by
                             chance = common.mix(tokens[row] ^ common.mix(node)[:, None])
                             i, j = np.nonzero(chance < limit)
                             node, row = common.mix(chance[i, j] + node[i]), row[i]
-                        yield common.batch(
-                            {
-                                "node": node.astype(np.int64),
-                                "doc": doc[row],
-                                "n": n[row],
-                                "sketch": [s.tobytes() for s in sketches[row]],
-                            },
-                            _NODES,
-                        )
+                        yield common.batch({"node": node.astype(np.int64), "doc": doc[row]}, _NODES)
+
+    return rows.mapInArrow(children, "node bigint, doc bigint")
+
+
+def grow_trees(groups: DataFrame, threshold: int) -> DataFrame:
+    """(node, doc, count) of all nodes that need no branching and hold more than one document."""
+    nodes, depth, done = common.stored(branch(groups, FIRST_LEVELS, threshold)), FIRST_LEVELS, None
+    while True:
+        shared = common.stored(nodes.groupBy("node").count().filter("count > 1"))
+        large = shared.filter(F.col("count") > NODE)
+        last = depth == DEPTH or large.isEmpty()
+        small = nodes.join(shared if last else shared.filter(F.col("count") <= NODE), "node").select("node", "doc", "count")
+        done = small if done is None else done.union(small)
+        if last:
+            return common.stored(done)
+        inner = nodes.join(large, "node").join(groups.select("doc", "signature"), "doc")
+        nodes, depth = common.stored(branch(inner, 1, threshold)), depth + 1
 
-    return rows.mapInArrow(children, "node bigint, doc bigint, n bigint, sketch binary")
 
+def nodes_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that hold whole nodes, of batches in order of their nodes."""
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        node = t.column("node").to_numpy()
+        cut = int(np.searchsorted(node, node[-1]))  # the last node may go on
+        if cut:
+            yield t.slice(0, cut)
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
 
-def compare_nodes(rows: DataFrame, threshold: int, every: bool) -> DataFrame:
-    """Candidates (a, b, score) within nodes, between different components only.
 
-    ``rows``: node, doc, n, sketch, comp.  ``every``: all of them with a < b, else
-    for each document in each node the most similar one.
+def alike(t: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows i, rows j of the same nodes and other components, and agreeing coordinates, where the sketches are alike.
+
+    Row by row distance, so within one result neither i nor j repeats.
     """
+    node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "comp"))
+    sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, _WORDS)
+    i = np.arange(len(node))
+    for step in range(1, len(node)):
+        i = i[: np.searchsorted(i, len(node) - step)]
+        i = i[node[i] == node[i + step]]
+        if not len(i):
+            return
+        k = i[comp[i] != comp[i + step]]
+        least, most = np.minimum(n[k], n[k + step]), np.maximum(n[k], n[k + step])
+        k = k[100 * least >= threshold * most]
+        x = sketches[k] ^ sketches[k + step]
+        x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
+        agree = (COORDINATES - np.bitwise_count(x).sum(axis=1)).astype(np.int32)
+        good = agree >= AGREE
+        if good.any():
+            yield k[good], k[good] + step, agree[good]
+
+
+def by_node(rows: DataFrame) -> DataFrame:
+    """Rows of a node together."""
+    return rows.repartition("node").sortWithinPartitions("node", "doc")
+
+
+def best_candidates(rows: DataFrame, threshold: int) -> DataFrame:
+    """Each document with the most similar one of another component, as distinct pairs (a, b), a < b."""
 
-    def flush(t: pa.Table) -> pa.RecordBatch:
-        node, doc, n, comp = (t.column(c).to_numpy() for c in ("node", "doc", "n", "comp"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, 4)
-        best, other = np.zeros(len(node), np.int32), np.zeros(len(node), np.int64)
-        found: list[tuple[np.ndarray, ...]] = []
-        i = np.arange(len(node))
-        for step in range(1, len(node)):  # each row with the step-th one behind it
-            i = i[: np.searchsorted(i, len(node) - step)]
-            i = i[node[i] == node[i + step]]
-            if not len(i):
-                break
-            k = i[comp[i] != comp[i + step]]
-            least, most = np.minimum(n[k], n[k + step]), np.maximum(n[k], n[k + step])
-            k = k[100 * least >= threshold * most]
-            x = sketch[k] ^ sketch[k + step]
-            x = (x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)
-            agree = (COORDINATES - np.bitwise_count(x).sum(axis=1)).astype(np.int32)
-            k, agree = k[agree >= AGREE], agree[agree >= AGREE]
-            if every:
-                if len(k):
-                    found.append((np.minimum(doc[k], doc[k + step]), np.maximum(doc[k], doc[k + step]), agree))
-                continue
-            for a, b in ((k, k + step), (k + step, k)):
-                better = agree > best[a]
-                best[a[better]], other[a[better]] = agree[better], doc[b[better]]
-        if every:
-            a, b, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (doc[:0], doc[:0], best[:0])
-        else:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in nodes_in(batches):
+            doc = t.column("doc").to_numpy()
+            best, other = np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int64)
+            for i, j, agree in alike(t, threshold):
+                for a, b in ((i, j), (j, i)):
+                    better = agree > best[a]
+                    best[a[better]], other[a[better]] = agree[better], doc[b[better]]
             at = np.flatnonzero(best)
-            a, b, score = doc[at], other[at], best[at]
-        return common.batch({"a": a, "b": b, "score": score}, _PAIRS)
+            yield common.batch({"a": doc[at], "b": other[at], "score": best[at]}, _PAIRS)
+
+    found = by_node(rows).mapInArrow(compare, "a bigint, b bigint, score int")
+    found = found.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def open_members(rows: DataFrame, threshold: int) -> DataFrame:
+    """The rows of documents that still have a candidate of another component in their node."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            node = t.column("node").to_numpy()
-            if not len(node):
+        for t in nodes_in(batches):
+            keep = np.zeros(t.num_rows, bool)
+            for i, j, _ in alike(t, threshold):
+                keep[i] = keep[j] = True
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return by_node(rows).mapInArrow(compare, rows.schema)
+
+
+def settle(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that join the components within each node, each confirmed on the full sets.
+
+    Candidates are tried from the most similar one on; those that links of the node
+    connect already are left out, so a node gives fewer links than documents.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in nodes_in(batches):
+            doc, node, comp = (t.column(c).to_numpy() for c in ("doc", "node", "comp"))
+            found = list(alike(t, threshold))
+            if not found:
                 continue
-            cut = int(np.searchsorted(node, node[-1]))  # the last node may go on
-            if cut:
-                yield flush(t.slice(0, cut))
-            held = t.slice(cut)
-        if held is not None and held.num_rows:
-            yield flush(held)
-
-    return (
-        rows.select("node", "doc", "n", "sketch", "comp")
-        .repartition("node")
-        .sortWithinPartitions("node", "doc")
-        .mapInArrow(compare, "a bigint, b bigint, score int")
-    )
+            i, j, agree = (np.concatenate(x) for x in zip(*found, strict=True))
+            items, parent, links = t.column("items"), {}, []
+            own: dict[int, frozenset] = {}
+
+            def top(x: tuple, parent=parent) -> tuple:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = parent.get(up, up)
+                    x = up
+                return x
+
+            def full(k: int, own=own, items=items) -> frozenset:
+                if k not in own:
+                    own[k] = frozenset(keys(items[k].as_py()))
+                return own[k]
+
+            order = np.lexsort((j, i, -agree, node[i]))
+            at = None
+            for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                if at != node[x]:
+                    at = node[x]
+                    own.clear()
+                u, v = top((at, comp[x])), top((at, comp[y]))
+                if u != v and similar(full(x), full(y), threshold):
+                    parent[u] = v
+                    links.append((x, y))
+            x, y = (np.array(c, np.int64) for c in (zip(*links, strict=True) if links else ((), ())))
+            yield common.batch({"a": doc[x], "b": doc[y], "score": np.zeros(len(x), np.int32)}, _PAIRS)
+
+    full_rows = rows.join(sets.select(F.col("doc_id").alias("doc"), "items"), "doc")
+    return common.stored(by_node(full_rows).mapInArrow(check, "a bigint, b bigint, score int").select("a", "b").distinct())
+
+
+def keys(items: bytes) -> list[bytes]:
+    """The shingle hashes of a packed set."""
+    return np.frombuffer(items, np.dtype((np.void, KEY_BYTES))).tolist()
+
+
+def similar(x: frozenset, y: frozenset, threshold: int) -> bool:
+    """Whether two full sets reach the threshold."""
+    both = len(x & y)
+    return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; ``docs`` has doc_id and text."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, items) of the wanted documents: all shingle hashes of the whole text, packed."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items = (common.shingles(common.word_hashes(t, common.SPACES), size) for t in b.column("text").to_pylist())
-            keys = [i.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for i in items]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary())], ["doc_id", "items"])
+            packed = [i.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for i in items]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "items"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return common.stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, items binary"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = np.dtype((np.void, KEY_BYTES))
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                u = [np.frombuffer(s, kind).tolist() for s in (x, y)]
-                both = len(set(u[0]).intersection(u[1]))
-                keep.append(100 * both >= threshold * (len(u[0]) + len(u[1]) - both))
+            both = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
+            keep = [similar(frozenset(keys(x)), frozenset(keys(y)), threshold) for x, y in both]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    full = common.stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(wanted, "doc_id", "left_semi")
-        .mapInArrow(sets, "doc_id bigint, items binary")
-    )
-    first = full.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    second = full.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
-    return common.stored(
-        pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint").distinct()
-    )
+    first = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
+    second = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    found = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
+    return common.stored(found.mapInArrow(check, "a bigint, b bigint").distinct())
 
 
-def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows with the component of their document; only nodes of several components stay."""
+def several_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(node, doc, count, comp) of the nodes that hold several components."""
     if labels is None:
-        return rows.withColumn("comp", F.col("doc"))
-    labelled = rows.join(labels.select(F.col("a").alias("doc"), F.col("b").alias("label")), "doc", "left")
-    labelled = labelled.withColumn("comp", F.coalesce("label", "doc"))
-    several = labelled.groupBy("node").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2")
-    return labelled.join(several.select("node"), "node", "left_semi")
+        return members.withColumn("comp", F.col("doc"))
+    labels = labels.select(F.col("a").alias("doc"), F.col("b").alias("label"))
+    rows = members.join(labels, "doc", "left").select("node", "doc", "count", F.coalesce("label", "doc").alias("comp"))
+    rows = common.stored(rows)
+    several = rows.groupBy("node").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2")
+    return common.stored(rows.join(several.select("node"), "node", "left_semi"))
 
 
-def deal_large(rows: DataFrame, large: DataFrame, every: bool) -> DataFrame:
-    """Deal the rows (with comp) of large nodes into blocks of about ``NODE`` rows.
+def deal_large(rows: DataFrame, every: bool) -> DataFrame:
+    """Deal the rows of nodes of over ``NODE`` documents into blocks of about that size.
 
     With ``every``, documents outside of the node's largest component go to every
-    block, which then holds each pair across components.
+    block, which then hold each pair across components.
     """
-    sizes = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"))
+    large = rows.filter(F.col("count") > NODE)
+    if large.isEmpty():
+        return rows
     blocks = (F.col("count") / NODE + 1).cast("int")
     own = F.array(F.pmod(F.xxhash64("doc", "node"), blocks).cast("int"))
-    dealt = rows.join(large, "node")
+    dealt = large
     if every:
-        dealt = dealt.join(main, "node")
+        sizes = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("members"))
+        main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"))
+        dealt = large.join(main, "node")
         own = F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), blocks - 1))
-    return dealt.withColumn("block", F.explode(own)).select(
-        F.xxhash64("node", "block").alias("node"), "doc", "n", "sketch", "comp"
-    )
+    dealt = dealt.withColumn("block", F.explode(own)).select(F.xxhash64("node", "block").alias("node"), "doc", "count", "comp")
+    return rows.filter(F.col("count") <= NODE).union(dealt)
 
 
 def link_documents(docs: DataFrame, size: int, threshold: int = THRESHOLD) -> DataFrame:
@@ -268,46 +355,28 @@ def link_documents(docs: DataFrame, size: int, threshold: int = THRESHOLD) -> Da
     sets = common.stored(document_sets(docs, size))
     known = sets.filter("doc_id IS NOT NULL AND n > 0")
     groups = common.stored(
-        known.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "signature")).alias("rep")).select(
-            "f1", "f2", "n", F.col("rep.doc_id").alias("doc"), F.col("rep.signature").alias("signature")
-        )
+        known.groupBy("f1", "f2", "n")
+        .agg(F.min(F.struct("doc_id", "signature", "sketch")).alias("rep"))
+        .select("f1", "f2", "n", F.col("rep.doc_id").alias("doc"), F.col("rep.signature").alias("signature"), F.col("rep.sketch").alias("sketch"))
     )
-    nodes, done = common.stored(branch(groups, FIRST_LEVELS, threshold)), []
-    sizes = lambda rows: common.stored(rows.groupBy("node").count().filter(f"count > {NODE}"))
-    large, depth = sizes(nodes), FIRST_LEVELS
-    while depth < DEPTH and not large.isEmpty():
-        done.append(nodes.join(large, "node", "left_anti"))
-        inner = nodes.join(large, "node", "left_semi").select("node", "doc", "n")
-        inner = inner.join(groups.select("doc", "n", "signature"), ["doc", "n"])
-        nodes, depth = common.stored(branch(inner, 1, threshold)), depth + 1
-        large = sizes(nodes)
-    dense = not large.isEmpty()
-    done.append(nodes.join(large, "node", "left_anti") if dense else nodes)
-    small = done[0]
-    for rows in done[1:]:
-        small = small.union(rows)
-    # a node of one document has nothing to compare
-    shared = small.groupBy("node").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    small = common.stored(small.join(shared.select("node"), "node", "left_semi"))
+    members = grow_trees(groups, threshold)
+    sketches = groups.select("doc", "n", "sketch")
 
     labels, links = None, None
-    for every in (False, False, True):
-        rows = with_components(small, labels)
-        if dense:
-            inner = with_components(nodes.join(large, "node", "left_semi"), labels)
-            rows = rows.select(*_NODES.names, "comp").union(deal_large(inner, large, every))
-        found = compare_nodes(rows, threshold, every)
-        if every:
-            found = found.select("a", "b").distinct()
-        else:
-            found = found.groupBy("a").agg(F.max_by("b", F.struct("score", -F.col("b"))).alias("b"))
-            found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = common.stored(found)
+    for _ in range(2):
+        rows = deal_large(several_components(members, labels), False).join(sketches, "doc")
+        found = common.stored(best_candidates(rows.select("node", "doc", "n", "comp", "sketch"), threshold))
         if found.isEmpty():
             break
-        new = confirm(found, docs, size, threshold)
+        wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
+        new = confirm(found, full_sets(docs, wanted, size), threshold)
         links = new if links is None else links.union(new)
         labels = components(links)
+    else:
+        rows = deal_large(several_components(members, labels), True).join(sketches, "doc")
+        rows = common.stored(open_members(rows.select("node", "doc", "n", "comp", "sketch"), threshold))
+        wanted = rows.select(F.col("doc").alias("doc_id")).distinct()
+        labels = components(links.union(settle(rows, full_sets(docs, wanted, size), threshold)))
 
     out = sets.join(groups.select("f1", "f2", "n", "doc"), ["f1", "f2", "n"], "left")
     if labels is not None:

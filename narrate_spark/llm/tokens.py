@@ -9,14 +9,17 @@ rules of pattern engines differ, are encoded whole, without the cache.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 
-# Characters that Python counts as white space and the tokenizers do not.
-ODD = re.compile("[\x1c-\x1f\x01]")
-# Pieces kept per worker; the cache is emptied when it is full.
-CACHE_PIECES = 400_000
+# Characters that Python counts as white space and the tokenizers do not, and the marks used here.
+ODD = re.compile("[\x1c-\x1f\x00\x01]")
+# Where white space is other than single blanks and line ends between words.
+LOOSE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+# Pieces kept per worker; a full cache keeps the first quarter, in which frequent pieces are.
+CACHE_PIECES = 500_000
 
 
 class Encoder:
@@ -31,8 +34,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # runs of white space leave their last blank to the word that follows
-        self.cut = re.compile(r"\x20?[^\s]+|\s+(?!\S)|\s+").findall if spaced else str.split
+        self.spaced = spaced
         # a separator that is one id and stands in no piece
         self.between = "\n" if spaced else " \x01 "
         self.mark = self.plain(self.between)[0] if spaced else self.plain("\x01")[0]
@@ -43,22 +45,45 @@ class Encoder:
         """Ids of a text by the tokenizer itself."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a text, in the form in which they are kept.
+
+        A piece of a text with white space stands for itself behind a ``\\x00``, or
+        for a blank and itself, or, where it begins with a line end, for itself.
+        """
+        if not self.spaced:
+            return text.split()
+        if LOOSE.search(text):  # runs of white space leave their last blank to the word that follows
+            return ["\x00" + p for p in re.findall(r"\x20?[^\s]+|\s+(?!\S)|\s+", text)]
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\x00" + pieces[0]
+        return pieces
+
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces and keep them."""
-        blank = [p for p in pieces if p.isspace()]
-        pieces = [p for p in pieces if not p.isspace()]
-        self.cache.update((p, self.plain(p).tobytes()) for p in blank)
         if not pieces:
             return
-        ids = self.plain(self.between.join(pieces))
+        # the separator and a leading line end are pieces of their own to the tokenizer
+        said = pieces
+        if self.spaced:
+            said = [p[1:] if p[0] == "\x00" or p[0] == "\n" else f" {p}" for p in pieces]
+            alone = [i for i, p in enumerate(said) if p.isspace()]
+            for i in reversed(alone):
+                self.cache[pieces[i]] = self.plain(said.pop(i)).tobytes()
+            kept = set(alone)
+            pieces = [p for i, p in enumerate(pieces) if i not in kept]
+        ids = self.plain(self.between.join(said))
         ends = np.flatnonzero(ids == self.mark)
-        if len(ends) != len(pieces) - 1:  # a piece holds the separator's id
-            self.cache.update((p, self.plain(p).tobytes()) for p in pieces)
-            return
-        raw = ids.tobytes()
-        starts = [0, *((ends + 1) * 4).tolist()]
-        stops = [*(ends * 4).tolist(), len(raw)]
-        self.cache.update(zip(pieces, (raw[a:b] for a, b in zip(starts, stops, strict=True)), strict=True))
+        if len(ends) == len(pieces) - 1:
+            raw = ids.tobytes()
+            starts = [0, *((ends + 1) * 4).tolist()]
+            stops = [*(ends * 4).tolist(), len(raw)]
+            parts = [raw[a:b] for a, b in zip(starts, stops, strict=True)]
+        else:  # a piece holds the separator's id
+            parts = [self.plain(p).tobytes() for p in said]
+        line = np.array([self.mark], "<u4").tobytes()
+        for piece, part in zip(pieces, parts, strict=True):
+            self.cache[piece] = line + part if self.spaced and piece[0] == "\n" else part
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as bytes; a null is an empty text."""
@@ -67,8 +92,8 @@ class Encoder:
         ]
         new = set().union(*(c for c in cut if c)).difference(self.cache)
         if len(new) + len(self.cache) > self.limit:
-            self.cache.clear()
-            new = set().union(*(c for c in cut if c))
+            self.cache = dict(itertools.islice(self.cache.items(), self.limit // 4))
+            new = set().union(*(c for c in cut if c)).difference(self.cache)
         self.learn(list(new))
         get = self.cache.__getitem__
         return [
