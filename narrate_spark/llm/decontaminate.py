@@ -160,7 +160,7 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 _SHINGLES = r"""
   SELECT {id}, unnest(list_distinct(
-    CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+    CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
   FROM (SELECT {id}, regexp_extract_all(
           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

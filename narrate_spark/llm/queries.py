@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from narrate_spark.llm import chat, decontaminate, licenses, near_dedup, packing, quality, token_files, url_filter, warc
+from narrate_spark.llm import chat, decontaminate, licenses, near_dedup, packing, quality, search, token_files, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_quality": quality.op2_quality,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_search": search.op4_search,
     "op5_warc": warc.op5_warc,
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_licenses": licenses.op7_licenses,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op3_decontamination": decontaminate.ORACLE_SQL,
+    "op4_search": search.ORACLE_SQL,
     "op9_chat_format": chat.ORACLE_SQL,
 }
