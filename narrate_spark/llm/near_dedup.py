@@ -40,7 +40,7 @@ TREES = 16
 FIRST_LEVELS = 2
 DEPTH = 6
 # Nodes of at most so many documents are compared exhaustively.
-NODE = 400
+NODE = 1000
 # Coordinates of the sketch (two bits each) that must agree; at the threshold
 # this is five standard deviations below the mean.
 AGREE = 189
