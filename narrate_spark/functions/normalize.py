@@ -95,7 +95,7 @@ DIALOGUE_STEPS = (
     ),
     where_contains(("¿", "¡"), replaced(rf"([¿¡]){BLANK}++", "$1")),
     where_contains("....", replaced(r"\.{4,}", "...")),
-    replaced(rf"(?:\.{BLANK}+){{2,}}\.", "..."),
+    replaced(rf"\.(?:{BLANK}++\.){{2,}}+", "..."),
 )
 
 NORMALIZE_STEPS = (

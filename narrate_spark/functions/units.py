@@ -59,28 +59,46 @@ def with_acoustic_tail(frames: Column, rate: Column) -> Column:
 def chapter_spec_error(spec: Column) -> Column:
     """Message for an unreadable chapter specification, else null."""
     part = r"\s*\+?\d+\s*(?:-\s*[+-]?\d+\s*)?"
+    large = F.exists(
+        F.regexp_extract_all(spec, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("bigint").isNull()
+    )
     return F.when(
-        ~spec.rlike(rf"\A{part}(?:,{part})*\z"),
+        ~spec.rlike(rf"\A{part}(?:,{part})*+\z") | large,
         F.lit("Invalid chapter specification."),
     )
 
 
+def _range(part: Column) -> Column:
+    first = F.regexp_extract(part, r"\A\s*\+?(\d+)", 1).try_cast("bigint")
+    last = F.regexp_extract(part, r"-\s*\+?(-?\d+)\s*\z", 1)
+    return F.struct(
+        first.alias("first"), F.when(last == "", first).otherwise(last.try_cast("bigint")).alias("last")
+    )
+
+
+def chapter_spec_ranges(spec: Column) -> Column:
+    """The (first, last) ranges of a specification as they are given; null for an unreadable one."""
+    return F.when(chapter_spec_error(spec).isNull(), F.transform(F.split(spec, ",", -1), _range))
+
+
+def in_chapter_spec(chapter: Column, spec: Column) -> Column:
+    """Whether a specification names a chapter; no range is written out, however long it is."""
+    return F.exists(chapter_spec_ranges(spec), lambda r: chapter.between(r["first"], r["last"]))
+
+
 def parse_chapter_spec(spec: Column) -> Column:
     """``'0,2,5'`` or ``'1-3'`` to a sorted array of distinct indices.
 
     A descending range is empty; an unreadable specification gives null.
     """
 
-    def indices(part: Column) -> Column:
-        first = F.regexp_extract(part, r"\A\s*\+?(\d+)", 1).try_cast("int")
-        last_text = F.regexp_extract(part, r"-\s*\+?(-?\d+)\s*\z", 1)
-        last = F.when(last_text == "", first).otherwise(last_text.try_cast("int"))
-        none = F.array().cast("array<int>")
-        return F.when(last < first, none).otherwise(
-            F.sequence(first, F.greatest(first, last))
+    def indices(r: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        return F.when(r["last"] < r["first"], none).otherwise(
+            F.sequence(r["first"], F.greatest(r["first"], r["last"]))
         )
 
-    parts = F.transform(F.split(spec, ",", -1), indices)
+    parts = F.transform(chapter_spec_ranges(spec), indices)
     return F.when(
         chapter_spec_error(spec).isNull(),
         F.array_sort(F.array_distinct(F.flatten(parts))),

@@ -122,7 +122,7 @@ def _anchored_books(spark, sf_dir) -> DataFrame:
 
 def q_toc_chapters(spark, sf_dir):
     books = _anchored_books(spark, sf_dir)
-    rows = G.explode_segments(S.html_chapters(books.where(F.size("toc") > 0)))
+    rows = G.explode_segments(S.html_chapters(books))
     return rows.select(*KEY, "title", "seg_pos", F.col("seg_text").alias("text"))
 
 

@@ -46,7 +46,7 @@ def read_archives(books: DataFrame, images: bool = False) -> DataFrame:
             for book_id, content in zip(batch["book_id"], batch["content"], strict=True):
                 try:
                     row = (book_id, read(content), None)
-                except (zipfile.BadZipFile, zipfile.LargeZipFile, RuntimeError, ValueError) as exc:
+                except Exception as exc:  # noqa: BLE001  whatever an archive holds, it must not end the job
                     row = (book_id, None, f"Corrupt or invalid ZIP: {exc}")
                 yield pd.DataFrame([row], columns=["book_id", "entries", "error"])
 
