@@ -181,7 +181,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         F.array_max(starts).cast("long").alias("last_word"),
         joined(base).alias("base_labels"),
         joined(base + more).alias("labels"),
-        F.least(F.greatest(*(F.col(f"t{i}") for i in range(len(TEMPLATES)))), F.lit(1.0)).alias("score"),
+        F.round(F.greatest(*(F.col(f"t{i}") for i in range(len(TEMPLATES)))), 9).alias("score"),
     )
 
 
