@@ -10,15 +10,15 @@ signature.  Independent trees repeat this until a pair at the threshold is misse
 with a probability below one in ten thousand.
 
 What the trees find are candidates.  Links are confirmed on the full sets: first
-every document's most similar candidate, then the most similar one outside of
-its component.  Nodes that still hold candidates of different components then get the
-full sets of these documents, and each candidate that is not connected yet
-is checked where the node is.  Documents with one and the same set are one vertex,
-whatever their number.
+every document's most similar candidate.  Candidates of different components
+that are left tie their documents to clusters, in each of which a document stands
+once, however many nodes it shares with the others.  A cluster gets the full
+sets, and each candidate that is not connected yet is checked there.
+Documents with one and the same set are one vertex, whatever their number.
 
 Nodes that no branching makes small hold very similar documents.  They are dealt
-into blocks: the members of the node's largest component once, all others to
-every block, so each pair across components still meets.
+into blocks, and so are large clusters: the members of the largest component once,
+all others to every block, so each pair across components still meets.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ FIRST_LEVELS = 2
 DEPTH = 6
 # Nodes of at most so many documents are compared exhaustively.
 NODE = 1000
+# Clusters of more documents are dealt into blocks of about so many.
+CLUSTER = 250
 # Coordinates of the sketch (two bits each) that must agree; at the threshold
 # this is five standard deviations below the mean.
 AGREE = 189
@@ -171,7 +173,7 @@ def alike(t: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray,
 
     Row by row distance, so within one result neither i nor j repeats.
     """
-    node, n, comp = (t.column(c).to_numpy() for c in ("node", "n", "comp"))
+    node, n, comp, copied = (t.column(c).to_numpy() for c in ("node", "n", "comp", "copied"))
     sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), "<u8").reshape(-1, _WORDS)
     i = np.arange(len(node))
     for step in range(1, len(node)):
@@ -179,7 +181,7 @@ def alike(t: pa.Table, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         i = i[node[i] == node[i + step]]
         if not len(i):
             return
-        k = i[comp[i] != comp[i + step]]
+        k = i[(comp[i] != comp[i + step]) & ~(copied[i] & copied[i + step])]
         least, most = np.minimum(n[k], n[k + step]), np.maximum(n[k], n[k + step])
         k = k[100 * least >= threshold * most]
         x = sketches[k] ^ sketches[k + step]
@@ -214,24 +216,43 @@ def best_candidates(rows: DataFrame, threshold: int) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def open_members(rows: DataFrame, threshold: int) -> DataFrame:
-    """The rows of documents that still have a candidate of another component in their node."""
+def candidate_ties(rows: DataFrame, threshold: int) -> DataFrame:
+    """Ties (a, b) of each document with candidates of another component to the first of those its node connects it to."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in nodes_in(batches):
-            keep = np.zeros(t.num_rows, bool)
-            for i, j, _ in alike(t, threshold):
-                keep[i] = keep[j] = True
-            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+            pairs = [(i, j) for i, j, _ in alike(t, threshold)]
+            first = np.arange(t.num_rows)
+            while True:
+                before = first.copy()
+                for i, j in pairs:
+                    least = np.minimum(first[i], first[j])
+                    first[i] = np.minimum(first[i], least)
+                    first[j] = np.minimum(first[j], least)
+                if np.array_equal(before, first):
+                    break
+            doc = t.column("doc").to_numpy()
+            at = np.flatnonzero(first < np.arange(t.num_rows))
+            yield common.batch({"a": doc[at], "b": doc[first[at]], "score": np.zeros(len(at), np.int32)}, _PAIRS)
+
+    return by_node(rows).mapInArrow(compare, "a bigint, b bigint, score int").select("a", "b").distinct()
 
-    return by_node(rows).mapInArrow(compare, rows.schema)
+
+def clusters(ties: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, doc, count, comp) with one row per tied document; the node is its cluster."""
+    docs = ties.select(F.col("a").alias("doc")).union(ties.select("b")).distinct()
+    of = components(ties).select(F.col("a").alias("doc"), F.col("b").alias("cluster"))
+    labels = labels.select(F.col("a").alias("doc"), F.col("b").alias("label"))
+    rows = docs.join(of, "doc", "left").join(labels, "doc", "left")
+    rows = common.stored(rows.select(F.coalesce("cluster", "doc").alias("node"), "doc", F.coalesce("label", "doc").alias("comp")))
+    return rows.join(rows.groupBy("node").count(), "node").select("node", "doc", "count", "comp")
 
 
 def settle(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links (a, b) that join the components within each node, each confirmed on the full sets.
+    """Links (a, b) that join the components within each cluster, each confirmed on the full sets.
 
-    Candidates are tried from the most similar one on; those that links of the node
-    connect already are left out, so a node gives fewer links than documents.
+    Candidates are tried from the most similar one on; those that links of the
+    cluster connect already are left out, so it gives fewer links than documents.
     """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,25 +343,29 @@ def several_components(members: DataFrame, labels: DataFrame | None) -> DataFram
     return common.stored(rows.join(several.select("node"), "node", "left_semi"))
 
 
-def deal_large(rows: DataFrame, every: bool) -> DataFrame:
-    """Deal the rows of nodes of over ``NODE`` documents into blocks of about that size.
+def deal_large(rows: DataFrame, size: int, every: bool) -> DataFrame:
+    """Deal the rows of nodes of over ``size`` documents into blocks of about that size.
 
     With ``every``, documents outside of the node's largest component go to every
-    block, which then hold each pair across components.
+    block, which then hold each pair across components.  Their rows in all blocks
+    but the first are ``copied``; two such rows need no comparison.
     """
-    large = rows.filter(F.col("count") > NODE)
+    first = F.lit(False).alias("copied")
+    large = rows.filter(F.col("count") > size)
     if large.isEmpty():
-        return rows
-    blocks = (F.col("count") / NODE + 1).cast("int")
+        return rows.select("node", "doc", "comp", first)
+    blocks = (F.col("count") / size + 1).cast("int")
     own = F.array(F.pmod(F.xxhash64("doc", "node"), blocks).cast("int"))
-    dealt = large
+    copied = F.lit(False)
     if every:
-        sizes = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("members"))
-        main = sizes.groupBy("node").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"))
-        dealt = large.join(main, "node")
+        parts = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("members"))
+        main = parts.groupBy("node").agg(F.max_by("comp", F.struct("members", "comp")).alias("main"))
+        large = large.join(main, "node")
         own = F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), blocks - 1))
-    dealt = dealt.withColumn("block", F.explode(own)).select(F.xxhash64("node", "block").alias("node"), "doc", "count", "comp")
-    return rows.filter(F.col("count") <= NODE).union(dealt)
+        copied = (F.col("comp") != F.col("main")) & (F.col("block") > 0)
+    dealt = large.withColumn("block", F.explode(own))
+    dealt = dealt.select(F.xxhash64("node", "block").alias("node"), "doc", "comp", copied.alias("copied"))
+    return rows.filter(F.col("count") <= size).select("node", "doc", "comp", first).union(dealt)
 
 
 def link_documents(docs: DataFrame, size: int, threshold: int = THRESHOLD) -> DataFrame:
@@ -362,21 +387,19 @@ def link_documents(docs: DataFrame, size: int, threshold: int = THRESHOLD) -> Da
     members = grow_trees(groups, threshold)
     sketches = groups.select("doc", "n", "sketch")
 
-    labels, links = None, None
-    for _ in range(2):
-        rows = deal_large(several_components(members, labels), False).join(sketches, "doc")
-        found = common.stored(best_candidates(rows.select("node", "doc", "n", "comp", "sketch"), threshold))
-        if found.isEmpty():
-            break
+    labels = None
+    rows = deal_large(several_components(members, None), NODE, False).join(sketches, "doc")
+    found = common.stored(best_candidates(rows, threshold))
+    if not found.isEmpty():
         wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-        new = confirm(found, full_sets(docs, wanted, size), threshold)
-        links = new if links is None else links.union(new)
+        links = confirm(found, full_sets(docs, wanted, size), threshold)
         labels = components(links)
-    else:
-        rows = deal_large(several_components(members, labels), True).join(sketches, "doc")
-        rows = common.stored(open_members(rows.select("node", "doc", "n", "comp", "sketch"), threshold))
-        wanted = rows.select(F.col("doc").alias("doc_id")).distinct()
-        labels = components(links.union(settle(rows, full_sets(docs, wanted, size), threshold)))
+        rows = deal_large(several_components(members, labels), NODE, True).join(sketches, "doc")
+        ties = common.stored(candidate_ties(rows, threshold))
+        if not ties.isEmpty():
+            tied = common.stored(deal_large(clusters(ties, labels), CLUSTER, True).join(sketches, "doc"))
+            wanted = tied.select(F.col("doc").alias("doc_id")).distinct()
+            labels = components(links.union(settle(tied, full_sets(docs, wanted, size), threshold)))
 
     out = sets.join(groups.select("f1", "f2", "n", "doc"), ["f1", "f2", "n"], "left")
     if labels is not None:
