@@ -55,3 +55,23 @@ def parse_books(books: DataFrame) -> DataFrame:
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
+
+
+def parsing_errors(books: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(book_id, path, error) of every book that has no row in ``chapters``.
+
+    Pass the stored result of ``parse_books``, so that no book is parsed twice.
+    Only archives without a chapter are opened again, for their reason.
+    """
+    silent = books.join(chapters.select("book_id").distinct(), "book_id", "left_anti")
+    broken = epub.read_archives(silent.where(F.col("format") == "epub")).select(
+        "book_id", F.col("error").alias("reason")
+    )
+    known = F.coalesce(F.col("format").isin(*PARSERS), F.lit(False))
+    return silent.join(broken, "book_id", "left").select(
+        "book_id",
+        "path",
+        F.when(~known, F.concat(F.lit("No parser for format "), F.coalesce("format", F.lit("?"))))
+        .otherwise(F.coalesce("reason", F.lit("No readable chapter")))
+        .alias("error"),
+    )

@@ -68,6 +68,21 @@ def test_scan_and_validate(books):
     ]
 
 
+def test_no_book_disappears(spark, books, tmp_path):
+    (tmp_path / "old.mobi").write_bytes(b"binary")
+    (tmp_path / "empty.epub").write_bytes(make_epub([None]))
+    more = files.scan_books(files.scan_files(spark, str(tmp_path)))
+    good, _ = files.validate_books(books.unionByName(more))
+    chapters = parsers.parse_books(good)
+    errors = parsers.parsing_errors(good, chapters)
+    got = sorted((r.path.rsplit("/", 1)[1], r.error.split(":")[0]) for r in errors.collect())
+    assert got == [
+        ("broken.epub", "Corrupt or invalid ZIP"), ("empty.epub", "No readable chapter"), ("old.mobi", "No parser for format kindle"),
+    ]
+    named = {r.book_id for r in chapters.select("book_id").union(errors.select("book_id")).distinct().collect()}
+    assert named == {r.book_id for r in good.select("book_id").collect()}
+
+
 def test_parse_books(books):
     good, _ = files.validate_books(books)
     rows = G.explode_segments(G.with_segment_offset(parsers.parse_books(good))).collect()
