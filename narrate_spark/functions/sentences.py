@@ -3,15 +3,15 @@
 Both sequential rules of chunking are regular languages, so neither needs an
 array fold:
 
-* a stop is acceptable by what stands around it: a bounded look-behind rules
-  out abbreviations, a look-ahead rules out continuations.  Acceptable stops
+* a stop is acceptable by what stands around it: a mark behind an abbreviation
+  and its closing marks, however many, keeps their stops from a blank, a
+  look-ahead rules out continuations.  Acceptable stops
   get a boundary character.  A stop exactly at the start of a sentence does not
   end it; such boundaries are taken out again, every other one in a row of them;
 * a packed chunk is "as many characters up to the limit as still end on a
   sentence boundary, else one whole sentence".
 
 Two Unicode noncharacters, which no interchange text holds, mark the places.
-An abbreviation is recognised with up to 64 closing marks behind it.
 """
 
 from __future__ import annotations
@@ -45,11 +45,10 @@ def _either_case(word: str) -> str:
 
 
 _ABBREVIATION = "|".join(_either_case(w) for w in K.ABBREVIATIONS)
-_ABBREVIATED = rf"(?:{BLANK}|{HARD}|\A)(?:{_ABBREVIATION})"
+ABBREVIATED = rf"[{_TRAILERS}](?<=(?:{BLANK}|{HARD}|\A)(?:{_ABBREVIATION})[{_TRAILERS}])[{_TRAILERS}]*+"
+NO_STOP = SOFT + SOFT  # behind an abbreviation; never beside another mark
 STOP = (
     r"[.!?](?<![.!?]{2})"
-    rf"(?<!{_ABBREVIATED}[.!?])"
-    rf"(?:(?<![{_TRAILERS}][.!?])|(?<!{_ABBREVIATED}[{_TRAILERS}]{{1,64}}[.!?]))"
     rf"[.!?]*+[{_CLOSERS}]*+"
     rf"(?:{BLANK}++(?!(?:[—–\-]{BLANK}*+)?[{K.CONTINUATION_LETTERS}])|(?={HARD}|\z))"
 )
@@ -62,7 +61,9 @@ def _trim_marks(text: Column) -> Column:
 
 
 MARK_STEPS = (
+    replaced(ABBREVIATED, f"$0{NO_STOP}"),
     replaced(STOP, f"$0{SOFT}"),
+    lambda t: F.replace(t, F.lit(NO_STOP), F.lit("")),
     guarded(rf"[.!?](?<=(?:{_MARKS}|\A)[.!?])", LEADING_STOP, "$1$2"),
     _trim_marks,
     # blanks between a sentence and its boundary, nearly always just one

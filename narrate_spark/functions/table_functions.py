@@ -44,12 +44,14 @@ class ChunkText:
     """Table function handler; patterns compile once per task."""
 
     def __init__(self) -> None:
+        self.abbreviated = _pattern(S.ABBREVIATED)
         self.stop = _pattern(S.STOP)
         self.leading = _pattern(S.LEADING_STOP)
 
     def sentences(self, text: str) -> list[str]:
         """Sentences of one island."""
-        marked = self.stop.sub(lambda m: m[0] + S.SOFT, text)
+        marked = self.abbreviated.sub(lambda m: m[0] + S.NO_STOP, text)
+        marked = self.stop.sub(lambda m: m[0] + S.SOFT, marked).replace(S.NO_STOP, "")
         marked = self.leading.sub(lambda m: m[1] + (m[2] or ""), marked)
         parts = (p.strip(BLANK_CHARS) for p in marked.split(S.SOFT))
         return [p for p in parts if p]

@@ -49,3 +49,12 @@ def test_merge_joins_bytes_with_gap(spark):
     )
     out = bytes(wav.merge_pcm(df, 1).first()["wav"])[44:]
     assert out == b"\0\0".join(bytes(r[3]) for r in rows)
+
+
+def test_abbreviation_with_any_number_of_marks(spark):
+    from narrate_spark.functions import sentences
+
+    counts = (1, 64, 65, 70, 5000, 100_000)
+    rows = [("He said no" + "\u2014" * n + ". Yes he did. End",) for n in counts]
+    found = spark.createDataFrame(rows, "t string").select(sentences.split_sentences(F.col("t")).alias("s")).collect()
+    assert [r.s for r in found] == [[t.removesuffix(" End"), "End"] for (t,) in rows]
