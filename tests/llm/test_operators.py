@@ -101,6 +101,15 @@ def test_keep_one_keeps_columns(spark, docs):
     assert ids.count(None) == 2 and 4 not in ids and {0, 1, 2, 3} <= set(ids)
 
 
+def test_components_over_several_shares(spark, monkeypatch):
+    monkeypatch.setattr(components, "SHARE", 7)
+    edges = [(i, i + 3) for i in range(0, 60, 3)] + [(1, k) for k in range(100, 130)] + [(5, 5), (129, 4), (4, 129)]
+    rows = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = {r["a"]: r["b"] for r in components.components(rows).collect()}
+    assert got == {i: 0 for i in range(3, 63, 3)} | {k: 1 for k in [4, *range(100, 130)]}
+    assert components.components(rows.filter("a < 0")).isEmpty()
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5)]
     got = {r["a"]: r["b"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
