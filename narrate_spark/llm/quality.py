@@ -115,26 +115,36 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
         .limit(rows)
     )
 
+    def fit(seen: list) -> pa.RecordBatch:
+        model = Ftrl()
+        for _ in range(EPOCHS):
+            for index, value, label in seen:
+                model.update(index, value, label)
+        weights = model.weights().astype("<f4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([weights]), pa.array([len(seen)], pa.int64())], ["weights", "rows"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Ftrl(), []
+        shard, seen = None, []
         for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("quality").to_pylist(), strict=True):
+            for own, text, label in zip(*(b.column(c).to_pylist() for c in ("shard", "text", "quality")), strict=True):
+                if seen and own != shard:
+                    yield fit(seen)
+                    seen = []
+                shard = own
                 seen.append((*features(text), label))
-        for _ in range(EPOCHS if seen else 0):
-            for index, value, label in seen:
-                model.update(index, value, label)
         if seen:
-            weights = model.weights().astype("<f4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([weights]), pa.array([len(seen)], pa.int64())], ["weights", "rows"])
+            yield fit(seen)
 
     # the sample is bounded, so it may be sent to all tasks; documents stay where they are
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
+    # shards are made by key, so their number does not follow that of the partitions
     shards = (
-        sample.repartition(SHARDS, "doc_id")
-        .sortWithinPartitions("order", "quality", "text")
-        .select("text", "quality")
+        sample.withColumn("shard", F.pmod(F.hash("doc_id"), F.lit(SHARDS)))
+        .repartition(4 * SHARDS, "shard")
+        .sortWithinPartitions("shard", "order", "quality", "text")
+        .select("shard", "text", "quality")
         .mapInArrow(learn, "weights binary, rows bigint")
-        .collect()  # at most one table of weights a shard
+        .collect()  # one table of weights a shard
     )
     total = np.zeros((1 << BITS) + 1)
     for shard in sorted(shards, key=lambda r: bytes(r["weights"])):
