@@ -2,10 +2,11 @@
 
 Each text's places of licence words (all words of the templates) are written as
 its positional index.  Document frequencies of these words over all texts give
-their weights.  A text's rarest licence words are looked up in the templates'
-postings; each common word proposes an alignment, the template's start in the
-text, and alignments at which the template's mandatory key phrase stands in its
-place are scored by the weight of the template words that stand in theirs.
+their weights.  Of each template's mandatory key phrase the rarest word is looked
+up in the text; each of its places proposes an alignment, the template's start in
+the text, and alignments at which the whole key phrase stands in its place are
+scored by the weight of the template words that stand in theirs.  No alignment
+without the key phrase counts, so none is left out, whatever else the text holds.
 A text without the words of any key phrase has no such alignment and is not looked up.
 """
 
@@ -50,8 +51,6 @@ TEMPLATES = (
     ("mpl-notice", "this source code form is subject to the terms of the mozilla public license", "mozilla public license"),
 )
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-# Rarest licence words of a text that are looked up.
-LOOKUPS = 8
 # Share of a template's weight from which its label is given.
 MIN_SCORE = 0.6
 
@@ -110,19 +109,18 @@ def _score(by_pos: Column, at: Column, words: list[str], weights: dict[str, floa
 
 
 def _proposed(word: str, postings: list[int]) -> Column:
-    """Starts at which one of the template's places of a word falls on one of the text's."""
+    """Starts at which one of the template's given places of a word falls on one of the text's."""
     own = F.filter("places", lambda p: p["word"] == word)
     return F.flatten(F.transform(own, lambda p: F.array(*(p["pos"] - at for at in postings))))
 
 
 def _template_score(template: tuple[str, str, str], weights: dict[str, float]) -> Column:
-    """Best score of a template in a text: looked-up words propose starts, the key phrase admits them."""
+    """Best score of a template in a text: the key phrase's rarest word proposes starts, the whole phrase admits them."""
     _, text, key = template
     words, key_words = text.split(), key.split()
     key_at = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
-    postings = {w: [i for i, x in enumerate(words) if x == w] for w in words}
-    none = F.array().cast("array<int>")
-    starts = F.concat(*(F.when(F.array_contains("rare", w), _proposed(w, at)).otherwise(none) for w, at in postings.items()))
+    rare = min(key_words, key=lambda w: (-weights[w], w))
+    starts = _proposed(rare, [key_at + i for i, x in enumerate(key_words) if x == rare])
 
     def admitted(at: Column) -> Column:
         same = F.lit(True)
@@ -147,7 +145,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """
     index = common.stored(word_index(docs))
     weights = word_weights(index)
-    ranked = sorted(_VOCABULARY, key=lambda w: (-weights[w], w))
     found = F.array_distinct(F.transform("places", lambda p: p["word"]))
     # an empty map unless some phrase's words are all there
     needed = [p for p, _ in PHRASES] + [k for _, _, k in TEMPLATES]
@@ -158,7 +155,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     scanned = (
         rows.withColumn("places", F.when(F.col("hopeful"), F.col("places")).otherwise(F.filter("places", lambda p: F.lit(False))))
         .withColumn("by_pos", F.map_from_entries("places"))
-        .withColumn("rare", F.when(F.col("hopeful"), F.slice(F.array_intersect(_strings(ranked), "found"), 1, LOOKUPS)))
         .select(
             "doc_id",
             "n_words",

@@ -265,6 +265,18 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licenses_of_a_file_with_three(spark):
+    apache = "Licensed under the Apache License, Version 2.0"
+    whole = {label: text for label, text, _ in licenses.TEMPLATES}
+    three = f"{whole['mit-text']}. And: {whole['bsd-text']}; {apache}"
+    rows = [(0, three), (1, " / ".join(whole.values())), *((i, apache) for i in range(10, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(df).collect()}
+    assert got[0] == "apache,apache-notice,bsd-text,mit-text"
+    assert set(whole) <= set(got[1].split(","))
+    assert got[10] == "apache,apache-notice"
+
+
 def test_decontamination(spark, docs):
     item = [f"i{i}" for i in range(60)]
     near = item[:30] + ["zz"] + item[31:]  # five of 56 shingles differ
