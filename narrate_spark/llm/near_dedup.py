@@ -5,20 +5,23 @@ hash for each of ``COORDINATES`` hash functions.  In a tree, a node's documents
 branch by the tokens (coordinate, minwise hash) that a random function of the
 node selects, about 1 / threshold per document, so a pair of the wanted
 similarity shares one child on average, and a dissimilar pair none.  Nodes are
-branched until they are small and then compared exhaustively, by a sketch of the
-signature.  Independent trees repeat this until a pair at the threshold is missed
-with a probability below one in ten thousand.
+compared exhaustively, by a sketch of the signature.  Large ones are branched
+before, unless nearly all of their documents are linked already.
+Each level loses pairs, so the number of independent trees follows from the
+deepest level in use: documents whose nodes are branched again get further trees,
+until a pair at the threshold is missed with a probability below one in ten thousand.
 
 What the trees find are candidates.  Links are confirmed on the full sets: first
-every document's most similar candidate.  Candidates of different components
-that are left tie their documents to clusters, in each of which a document stands
-once, however many nodes it shares with the others.  A cluster gets the full
-sets, and each candidate that is not connected yet is checked there.
+every document's most similar candidate in the nodes of the first levels.
+Candidates of different components that are left tie their documents to clusters,
+in each of which a document stands once, however many nodes it shares with the
+others.  A cluster gets the full sets, and each candidate that is not connected
+yet is checked there.
 Documents with one and the same set are one vertex, whatever their number.
 
-Nodes that no branching makes small hold very similar documents.  They are dealt
-into blocks, and so are large clusters: the members of the largest component once,
-all others to every block, so each pair across components still meets.
+Nodes that stay large are dealt into blocks, and so are large clusters: the
+members of the largest component once, all others to every block, so each pair
+across components still meets.
 """
 
 from __future__ import annotations
@@ -35,7 +38,10 @@ from narrate_spark.llm.components import components
 
 THRESHOLD = 80  # percent
 COORDINATES = 256
-TREES = 16
+# Trees by the deepest level in use.  Shared tokens are binomial; a pair at the threshold is
+# lost in all of them with a probability of 4.4e-5 at most, and in the 16 of all documents
+# before its nodes are branched again with as much, so with less than 1e-4 together.
+TREES = {2: 16, 3: 22, 4: 28, 5: 34, 6: 40}
 # Levels that are branched in one go, and the depth at which branching ends.
 FIRST_LEVELS = 2
 DEPTH = 6
@@ -104,8 +110,8 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def branch(rows: DataFrame, levels: int, threshold: int) -> DataFrame:
-    """Children (node, doc) of (node, doc, signature) rows; without ``node``, of every tree's root."""
+def branch(rows: DataFrame, levels: int, threshold: int, trees: range = range(0)) -> DataFrame:
+    """Children (node, doc) of (node, doc, signature) rows; without ``node``, of the roots of ``trees``."""
     rooted = "node" in rows.columns
     limit = np.uint64(int(2**64 * 100 / threshold / COORDINATES))
     coordinates = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(8)
@@ -122,7 +128,7 @@ def branch(rows: DataFrame, levels: int, threshold: int) -> DataFrame:
                     if rooted:
                         roots = [b.column("node").to_numpy().astype(np.uint64)]
                     else:
-                        seeds = common.mix(np.arange(TREES, dtype=np.uint64) + np.uint64(7919))
+                        seeds = common.mix(np.array(trees, np.uint64) + np.uint64(7919))
                         roots = [np.full(b.num_rows, s) for s in seeds]
                     for node in roots:
                         row = all_
@@ -136,19 +142,44 @@ def branch(rows: DataFrame, levels: int, threshold: int) -> DataFrame:
     return rows.mapInArrow(children, "node bigint, doc bigint")
 
 
-def grow_trees(groups: DataFrame, threshold: int) -> DataFrame:
-    """(node, doc, count) of all nodes that need no branching and hold more than one document."""
-    nodes, depth, done = common.stored(branch(groups, FIRST_LEVELS, threshold)), FIRST_LEVELS, None
+def shared_nodes(nodes: DataFrame) -> DataFrame:
+    """(node, doc, count) of the nodes that hold more than one document."""
+    return common.stored(nodes.join(nodes.groupBy("node").count().filter("count > 1"), "node").select("node", "doc", "count"))
+
+
+def unsettled(several: DataFrame) -> DataFrame:
+    """Nodes of over ``NODE`` documents whose rows would grow beyond twice their number in ``deal_large``."""
+    parts = several.filter(F.col("count") > NODE).groupBy("node", "comp").agg(F.count(F.lit(1)).alias("members"))
+    nodes = parts.groupBy("node").agg(F.sum("members").alias("count"), F.max("members").alias("main"))
+    blocks = (F.col("count") / NODE + 1).cast("int")
+    return common.stored(nodes.filter((F.col("count") - F.col("main")) * blocks > F.col("count")).select("node"))
+
+
+def grow_trees(groups: DataFrame, members: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """(node, doc, count, comp) of the nodes with several components, branched until they are small or settled.
+
+    ``members`` are the shared nodes of the first levels of the first trees.
+    """
+    grown, deepest, crowded, done = TREES[FIRST_LEVELS], FIRST_LEVELS, None, None
     while True:
-        shared = common.stored(nodes.groupBy("node").count().filter("count > 1"))
-        large = shared.filter(F.col("count") > NODE)
-        last = depth == DEPTH or large.isEmpty()
-        small = nodes.join(shared if last else shared.filter(F.col("count") <= NODE), "node").select("node", "doc", "count")
-        done = small if done is None else done.union(small)
-        if last:
+        depth = FIRST_LEVELS
+        while True:
+            several = several_components(members, labels)
+            large = unsettled(several)
+            last = depth == DEPTH or large.isEmpty()
+            small = several if last else several.join(large, "node", "left_anti")
+            done = small if done is None else done.union(small)
+            if last:
+                break
+            inner = several.join(large, "node", "left_semi").select("node", "doc").join(groups.select("doc", "signature"), "doc")
+            if crowded is None:  # all later large nodes hold some of these documents only
+                crowded = common.stored(groups.join(inner.select("doc"), "doc", "left_semi"))
+            members, depth = shared_nodes(common.stored(branch(inner, 1, threshold))), depth + 1
+        deepest = max(deepest, depth)
+        if grown == TREES[deepest]:
             return common.stored(done)
-        inner = nodes.join(large, "node").join(groups.select("doc", "signature"), "doc")
-        nodes, depth = common.stored(branch(inner, 1, threshold)), depth + 1
+        more = range(grown, TREES[deepest])
+        members, grown = shared_nodes(common.stored(branch(crowded, FIRST_LEVELS, threshold, more))), TREES[deepest]
 
 
 def nodes_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -332,10 +363,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return common.stored(found.mapInArrow(check, "a bigint, b bigint").distinct())
 
 
-def several_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+def several_components(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, doc, count, comp) of the nodes that hold several components."""
-    if labels is None:
-        return members.withColumn("comp", F.col("doc"))
     labels = labels.select(F.col("a").alias("doc"), F.col("b").alias("label"))
     rows = members.join(labels, "doc", "left").select("node", "doc", "count", F.coalesce("label", "doc").alias("comp"))
     rows = common.stored(rows)
@@ -384,28 +413,24 @@ def link_documents(docs: DataFrame, size: int, threshold: int = THRESHOLD) -> Da
         .agg(F.min(F.struct("doc_id", "signature", "sketch")).alias("rep"))
         .select("f1", "f2", "n", F.col("rep.doc_id").alias("doc"), F.col("rep.signature").alias("signature"), F.col("rep.sketch").alias("sketch"))
     )
-    members = grow_trees(groups, threshold)
     sketches = groups.select("doc", "n", "sketch")
 
-    labels = None
-    rows = deal_large(several_components(members, None), NODE, False).join(sketches, "doc")
+    trees = range(TREES[FIRST_LEVELS])
+    members = shared_nodes(common.stored(branch(groups, FIRST_LEVELS, threshold, trees)))
+    rows = deal_large(members.withColumn("comp", F.col("doc")), NODE, False).join(sketches, "doc")
     found = common.stored(best_candidates(rows, threshold))
-    if not found.isEmpty():
-        wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-        links = confirm(found, full_sets(docs, wanted, size), threshold)
-        labels = components(links)
-        rows = deal_large(several_components(members, labels), NODE, True).join(sketches, "doc")
-        ties = common.stored(candidate_ties(rows, threshold))
-        if not ties.isEmpty():
-            tied = common.stored(deal_large(clusters(ties, labels), CLUSTER, True).join(sketches, "doc"))
-            wanted = tied.select(F.col("doc").alias("doc_id")).distinct()
-            labels = components(links.union(settle(tied, full_sets(docs, wanted, size), threshold)))
+    wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
+    links = confirm(found, full_sets(docs, wanted, size), threshold)
+    labels = components(links)
+    rows = deal_large(grow_trees(groups, members, labels, threshold), NODE, True).join(sketches, "doc")
+    ties = common.stored(candidate_ties(rows, threshold))
+    if not ties.isEmpty():
+        tied = common.stored(deal_large(clusters(ties, labels), CLUSTER, True).join(sketches, "doc"))
+        wanted = tied.select(F.col("doc").alias("doc_id")).distinct()
+        labels = components(links.union(settle(tied, full_sets(docs, wanted, size), threshold)))
 
     out = sets.join(groups.select("f1", "f2", "n", "doc"), ["f1", "f2", "n"], "left")
-    if labels is not None:
-        out = out.join(labels.select(F.col("a").alias("doc"), F.col("b").alias("least")), "doc", "left")
-    else:
-        out = out.withColumn("least", F.lit(None).cast("long"))
+    out = out.join(labels.select(F.col("a").alias("doc"), F.col("b").alias("least")), "doc", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc", "doc_id"))
     return out.select(
         "doc_id",

@@ -93,6 +93,25 @@ def test_near_dedup(spark, docs, monkeypatch, node):
             assert r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_near_dedup_of_pairs_at_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "NODE", 1)  # every shared node is branched to the last level
+    rows = []
+    for i in range(1000):
+        both = [f"s{i}_{k}" for k in range(89)]
+        rows += [(2 * i + side, " ".join(both + [f"d{i}_{side}_{k}" for k in range(11)])) for side in (0, 1)]
+    got = near_dedup.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    missed = [r["doc_id"] for r in got if r["component_id"] != r["doc_id"] // 2 * 2]
+    assert missed == []
+
+
+def test_near_dedup_without_first_candidates(spark, monkeypatch):
+    found = near_dedup.best_candidates
+    monkeypatch.setattr(near_dedup, "best_candidates", lambda rows, threshold: found(rows, threshold).filter("a < 0"))
+    rows = [(i, " ".join(f"w{k}" for k in range(100) if k != i)) for i in range(3)]
+    got = near_dedup.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_keep_one_keeps_columns(spark, docs):
     got = near_dedup.keep_one(docs, 2)
     assert got.columns == docs.columns
