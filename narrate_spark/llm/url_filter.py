@@ -6,8 +6,10 @@ distinct names are cut, and only the counts of their own substrings are looked
 up, by a join, so neither hosts nor words are held as a whole anywhere.
 
 Multinomial naive Bayes then scores the words of host and path.  Pages whose tokens
-hold a seed word train the class to block, all others the class to allow;
-token counts are kept in a table of ``BUCKETS`` rows by hash, whatever the number of words.
+hold a seed word train the class to block, all others the class to allow.
+Tokens are counted one by one, and smoothing takes the number of distinct ones.  The
+log odds are joined to the tokens of the pages and summed by page; of the most
+frequent tokens, at most ``HOT``, they are broadcast, so no key of the join is hot.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,8 @@ RULES = (
 SEEDS = ("adult", "bet", "casino", "drugs", "gambling", "hack", "malware", "nude", "phishing", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx")
 # Longest word of the unigram model.
 MAX_WORD = 24
-BUCKETS = 1 << 16
+# Tokens with over one in so many occurrences are broadcast.
+HOT = 1000
 
 _TOKENS = "[\\p{L}\\p{M}]+"
 
@@ -143,28 +145,33 @@ def page_tokens(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     )
 
 
-def learn(tokens: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple[float, np.ndarray]:
-    """Prior and per-bucket log odds of the class to block.
+def learn(tokens: DataFrame, seeds: tuple[str, ...] = SEEDS) -> tuple[float, int, DataFrame]:
+    """Prior log odds of the class to block, number of occurrences, and (token, n, odds) of each distinct token.
 
-    Every page counts.  Only the two page counts and at most ``BUCKETS`` rows come to the driver.
+    Every page counts.  Only sums come to the driver.
     """
     marks = [*seeds, *(f"/{s}" for s in seeds)]
     bad = F.exists("tokens", lambda t: t.isin(marks)).cast("long")
-    known = tokens.withColumn("bad", bad)
+    known = tokens.select("tokens", bad.alias("bad"))
     pages, blocked = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    rows = (
-        known.select("bad", F.explode("buckets").alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
-        .collect()
+    counts = common.stored(
+        known.select("bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
     )
-    bad_, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows:
-        bad_[r["bucket"]], all_[r["bucket"]] = r["bad"], r["n"]
-    good_ = all_ - bad_
-    odds = np.log((bad_ + 1) / (bad_.sum() + BUCKETS)) - np.log((good_ + 1) / (good_.sum() + BUCKETS))
-    odds[all_ == 0] = 0  # a token that no page has says nothing
-    return math.log((blocked + 1) / (pages - blocked + 1)), odds
+    distinct, all_, bad_ = counts.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "bad"))).first()
+    odds = F.log((F.col("bad") + 1) / F.lit(float(bad_ + distinct))) - F.log((F.col("n") - F.col("bad") + 1) / F.lit(float(all_ - bad_ + distinct)))
+    # decimals, so that a page's sum does not depend on the order of its tokens
+    return math.log((blocked + 1) / (pages - blocked + 1)), all_, counts.select("token", "n", odds.cast("decimal(18,12)").alias("odds"))
+
+
+def page_odds(tokens: DataFrame, odds: DataFrame, total: int) -> DataFrame:
+    """(row, odds): sum of the log odds of all tokens of each row that has any."""
+    own = tokens.select("row", F.explode("tokens").alias("token"))
+    is_hot = F.col("n") * HOT > total
+    hot = F.broadcast(odds.filter(is_hot).select("token", "odds"))
+    found = own.join(hot, "token").select("row", "odds").union(
+        own.join(hot.select("token"), "token", "left_anti").join(odds.filter(~is_hot), "token").select("row", "odds")
+    )
+    return found.groupBy("row").agg(F.sum("odds").cast("double").alias("odds"))
 
 
 def filter_urls(pages: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -175,25 +182,11 @@ def filter_urls(pages: DataFrame, rules: tuple = RULES, seeds: tuple[str, ...] =
     malformed urls have empty host and path, so only the prior speaks.  Rows are judged
     one by one: repeated rows and null ids are kept, an empty table gives no row.
     """
-    tokens = page_tokens(pages, rules).withColumn(
-        "buckets", F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
-    )
-    tokens = common.stored(tokens)
-    prior, odds = learn(tokens, seeds)
-    sent = pages.sparkSession.sparkContext.broadcast(odds)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buckets = b.column("buckets")
-            ends = np.concatenate(([0], np.cumsum(sent.value[buckets.flatten().to_numpy(zero_copy_only=False).astype(int)])))
-            sizes = np.array([len(x) for x in buckets.to_pylist()], int)
-            at = np.concatenate(([0], np.cumsum(sizes)))
-            score = 1 / (1 + np.exp(-np.clip(prior + ends[at[1:]] - ends[at[:-1]], -60, 60)))
-            yield b.drop_columns(["buckets", "tokens"]).append_column("score", pa.array(score))
-
-    judged = tokens.select("page_id", "host", "path", "rule", "said", "words", "tokens", "buckets").mapInArrow(
-        judge, "page_id bigint, host string, path string, rule string, said string, words array<string>, score double"
-    )
+    tokens = common.stored(page_tokens(pages, rules).withColumn("row", F.monotonically_increasing_id()))
+    prior, total, odds = learn(tokens, seeds)
+    judged = tokens.join(page_odds(tokens, odds, total), "row", "left")
+    sum_ = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.lit(prior) + F.coalesce("odds", F.lit(0.0))))
+    judged = judged.withColumn("score", 1 / (1 + F.exp(-sum_)))
     verdict = F.coalesce("said", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "words", "score")
 

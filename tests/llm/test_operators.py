@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -260,6 +262,28 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_url_scores_without_a_rule(spark, monkeypatch, hot):
+    monkeypatch.setattr(url_filter, "HOT", hot, raising=False)
+    rnd = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rnd.choices(letters, k=8))
+    shared = [word() for _ in range(40)] + ["casino", "poker"]
+    urls = [f"http://host.net/{'/'.join([rnd.choice(shared) for _ in range(3)] + [word() for _ in range(20)])}" for _ in range(300)]
+    rows = [(i % 290, u, "host net") for i, u in enumerate(urls)] + [(None, None, None)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    pages = [[*r["words"], *("/" + t for t in re.findall("[a-z]+", r["path"]))] for r in got]
+    bad = [any(t.lstrip("/") in url_filter.SEEDS for t in p) for p in pages]
+    n = {c: Counter(t for p, b in zip(pages, bad, strict=True) if b == c for t in p) for c in (False, True)}
+    size = len(n[False] | n[True])
+    assert len(got) == len(rows) and size > 5000
+    odds = {t: math.log((n[True][t] + 1) / (n[True].total() + size)) - math.log((n[False][t] + 1) / (n[False].total() + size)) for t in n[False] | n[True]}
+    for r, p in zip(got, pages, strict=True):
+        x = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1)) + sum(odds[t] for t in p)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-9)
+        assert r["rule"] is None and r["verdict"] == ("block" if x >= 0 else "allow")
+
+
 def test_licenses(spark):
     texts = [
         "Licensed under the Apache License, Version 2.0",
