@@ -9,11 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from narrate_spark.functions.unicode import BLANK, ustrip
+from narrate_spark.functions.unicode import BLANK, MARK_CHARS, escape_marks, ustrip
 
-# Noncharacters, which no interchange text holds.
-MARK = "\ufdd1"
-SPLIT = "\ufdd0"
+# Noncharacters; those that a page itself holds are escaped in its sections.
+SPLIT, MARK = MARK_CHARS
 
 # Entities handled inside the JVM; the ampersand comes last so that an escaped
 # entity is only unescaped once.
@@ -88,12 +87,12 @@ def xhtml_to_text(markup: Column) -> Column:
 
 
 def heading_sections(markup: Column) -> Column:
-    """Array of ``heading SPLIT body`` strings, one per h1-h3 element.
+    """Array of ``heading SPLIT body`` strings with escaped marks, one per h1-h3 element.
 
     Whatever stands before the first heading is not part of any section.
     """
     marked = F.regexp_replace(
-        markup, r"(?is)<(h[1-3])[^>]*>(.*?)</\1>", f"{MARK}$2{SPLIT}"
+        escape_marks(markup), r"(?is)<(h[1-3])[^>]*>(.*?)</\1>", f"{MARK}$2{SPLIT}"
     )
     parts = F.split(marked, MARK, -1)
     return F.slice(parts, F.lit(2), F.size(parts))

@@ -11,7 +11,8 @@ array fold:
 * a packed chunk is "as many characters up to the limit as still end on a
   sentence boundary, else one whole sentence".
 
-Two Unicode noncharacters, which no interchange text holds, mark the places.
+Two Unicode noncharacters mark the places; those that a text itself holds are
+escaped until it is cut.
 """
 
 from __future__ import annotations
@@ -24,16 +25,20 @@ from narrate_spark.functions.unicode import (
     BLANK,
     BLANK_CHARS,
     BLANK_SET,
+    ESCAPE,
     INLINE,
     LINE_END,
+    MARK_CHARS,
     chain,
     guarded,
+    keeping_marks,
     replaced,
+    unescape_marks,
     where_contains,
 )
 
-SOFT = "\ufdd0"  # between two sentences
-HARD = "\ufdd1"  # between chunks that must not merge
+SOFT = MARK_CHARS[0]  # between two sentences
+HARD = MARK_CHARS[1]  # between chunks that must not merge
 
 _CLOSERS = K.SENTENCE_CLOSERS.replace("-", r"\-")
 _TRAILERS = K.WORD_TRAILERS.replace("-", r"\-")
@@ -74,12 +79,15 @@ MARK_STEPS = (
 
 
 def _cut(marked: Column, mark: str) -> Column:
-    return F.when(marked == "", F.array().cast("array<string>")).otherwise(
-        F.split(marked, mark, -1)
+    parts = F.split(marked, mark, -1)
+    return (
+        F.when(marked == "", F.array().cast("array<string>"))
+        .when(F.contains(marked, F.lit(ESCAPE)), F.transform(parts, unescape_marks))
+        .otherwise(parts)
     )
 
 
-SENTENCE_STEPS = (*MARK_STEPS, lambda t: _cut(t, SOFT))
+SENTENCE_STEPS = (keeping_marks(*MARK_STEPS), lambda t: _cut(t, SOFT))
 
 
 def split_sentences(text: Column) -> Column:
@@ -102,7 +110,7 @@ _EDGE = f"[{BLANK_SET}{SOFT}{HARD}]"
 
 
 def pack_steps(max_chars: int | Column = K.DEFAULT_MAX_CHARS):
-    """Steps from normalized text to hard-bounded chunks."""
+    """Steps from normalized text to hard-bounded chunks, own marks escaped."""
     if isinstance(max_chars, int):
         if max_chars < 1:
             raise ValueError("max_chars must be at least 1")
@@ -115,12 +123,14 @@ def pack_steps(max_chars: int | Column = K.DEFAULT_MAX_CHARS):
         F.lit(rf"}}(?={_MARKS}|\z)|[^{SOFT}{HARD}]+){_MARKS}?"),
     )
     return (
-        *_ISLAND_STEPS,
-        *MARK_STEPS,
-        where_contains(HARD, replaced(rf"{_EDGE}*{HARD}{_EDGE}*+", HARD)),
-        lambda t: F.regexp_replace(t, pattern, F.lit(f"$1{HARD}")),
-        lambda t: F.rtrim(t, F.lit(HARD)),
-        lambda t: F.replace(t, F.lit(SOFT), F.lit(" ")),
+        keeping_marks(
+            *_ISLAND_STEPS,
+            *MARK_STEPS,
+            where_contains(HARD, replaced(rf"{_EDGE}*{HARD}{_EDGE}*+", HARD)),
+            lambda t: F.regexp_replace(t, pattern, F.lit(f"$1{HARD}")),
+            lambda t: F.rtrim(t, F.lit(HARD)),
+            lambda t: F.replace(t, F.lit(SOFT), F.lit(" ")),
+        ),
     )
 
 

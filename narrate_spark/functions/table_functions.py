@@ -15,7 +15,7 @@ from pyspark.sql.functions import udtf
 
 from narrate_spark import constants as K
 from narrate_spark.functions import sentences as S
-from narrate_spark.functions.unicode import BLANK_CHARS
+from narrate_spark.functions.unicode import BLANK_CHARS, ESCAPE, ESCAPED
 
 _MARKERS = (K.SCENE_BREAK_MARKER, K.CHAPTER_TITLE_MARKER)
 _KINDS = dict(zip(_MARKERS, (K.KIND_SCENE, K.KIND_TITLE), strict=True))
@@ -50,11 +50,13 @@ class ChunkText:
 
     def sentences(self, text: str) -> list[str]:
         """Sentences of one island."""
+        own = iter([c for c in text if c in ESCAPED])
+        text = text.translate(dict.fromkeys(map(ord, ESCAPED), ESCAPE))
         marked = self.abbreviated.sub(lambda m: m[0] + S.NO_STOP, text)
         marked = self.stop.sub(lambda m: m[0] + S.SOFT, marked).replace(S.NO_STOP, "")
         marked = self.leading.sub(lambda m: m[1] + (m[2] or ""), marked)
         parts = (p.strip(BLANK_CHARS) for p in marked.split(S.SOFT))
-        return [p for p in parts if p]
+        return ["".join(next(own) if c == ESCAPE else c for c in p) if ESCAPE in p else p for p in parts if p]
 
     def eval(self, text: str, max_chars: int) -> Iterator[tuple[int, str, str]]:
         """Chunks as (chunk_idx, kind, text)."""

@@ -85,6 +85,47 @@ def ustrip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANK_CHARS))
 
 
+# Noncharacters that mark places inside a text; its own ones are escaped meanwhile.
+MARK_CHARS = "\ufdd0\ufdd1"
+ESCAPE = "\ufdd2"
+ESCAPED = MARK_CHARS + ESCAPE
+ESCAPE_CODES = "\ufdd3\ufdd4\ufdd5"
+
+
+def _escape(text: Column) -> Column:
+    for char, code in list(zip(ESCAPED, ESCAPE_CODES, strict=True))[::-1]:
+        text = F.replace(text, F.lit(char), F.lit(ESCAPE + code))
+    return text
+
+
+def _unescape(text: Column) -> Column:
+    for char, code in zip(ESCAPED, ESCAPE_CODES, strict=True):
+        text = F.replace(text, F.lit(ESCAPE + code), F.lit(char))
+    return text
+
+
+escape_marks = where_contains(tuple(ESCAPED), _escape)
+unescape_marks = where_contains(ESCAPE, _unescape)
+
+
+def keeping_marks(*steps: Step) -> Step:
+    """Steps that neither drop nor move characters but blanks, as one step that leaves own marks escaped.
+
+    Meanwhile one character stands for each of them, so that lengths do not change.
+    """
+    stand_in = where_contains(tuple(ESCAPED), lambda t: F.translate(t, ESCAPED, ESCAPE * len(ESCAPED)))
+
+    def run(text: Column) -> Column:
+        def put_back(marked: Column) -> Column:
+            own = F.transform(F.regexp_extract_all(text, F.lit(f"([{ESCAPED}])"), F.lit(1)), _escape)
+            parts = F.split(marked, ESCAPE, -1)
+            return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), own), parts, lambda o, p: F.concat(o, p)), "")
+
+        return chain(text, stand_in, *steps, where_contains(ESCAPE, put_back))
+
+    return run
+
+
 unify_separators = guarded(_OTHER_LINE_END, LINE_END, "\n")
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from narrate_spark import constants as K
 from narrate_spark.functions.normalize import NORMALIZE_STEPS
-from narrate_spark.functions.sentences import HARD, pack_steps
+from narrate_spark.functions.sentences import HARD, cut_chunks, pack_steps
 from narrate_spark.functions.unicode import BLANK, each, fold_case, unify_line_ends, ustrip
 from narrate_spark.functions.units import artifact_name
 from narrate_spark.operators.arrays import explode_rows
@@ -117,7 +117,7 @@ def synthesis_plan(
     events = explode_rows(
         segments,
         [*keep, *offset, "seg_pos", "seg_pause_ms"],
-        F.split("_pack", HARD, -1),
+        cut_chunks(F.col("_pack")),
         "event_idx",
         "_event",
     )

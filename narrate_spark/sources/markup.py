@@ -13,7 +13,7 @@ from narrate_spark.functions.markup import (
     strip_tags,
     unescape,
 )
-from narrate_spark.functions.unicode import ustrip
+from narrate_spark.functions.unicode import unescape_marks, ustrip
 from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.segments import line_segments, with_segments
 
@@ -115,8 +115,8 @@ def heading_rows(pages: DataFrame) -> DataFrame:
     """Cut each page at its h1-h3 headings; titles keep their entities."""
     keep = [c for c in pages.columns if c not in ("markup", "toc")]
     rows = explode_rows(pages, keep, heading_sections(F.col("markup")), "pos", "_s")
-    head = ustrip(strip_tags(F.substring_index("_s", SPLIT, 1)))
-    body = F.substr("_s", F.position(F.lit(SPLIT), "_s") + 1)
+    head = ustrip(strip_tags(unescape_marks(F.substring_index("_s", SPLIT, 1))))
+    body = unescape_marks(F.substr("_s", F.position(F.lit(SPLIT), "_s") + 1))
     return rows.select(
         *keep,
         F.col("pos").alias("chapter_idx"),

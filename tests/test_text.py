@@ -8,6 +8,7 @@ from narrate_spark.functions import normalize as N
 from narrate_spark.functions import sentences as S
 from narrate_spark.functions import table_functions
 from narrate_spark.functions import unicode as U
+from narrate_spark.sources import markup
 from tests import plain
 
 SCENE, TITLE = K.SCENE_BREAK_MARKER, K.CHAPTER_TITLE_MARKER
@@ -61,6 +62,30 @@ def test_chunks_match_plain_walk(spark, limit):
     assert apply(spark, texts, lambda t: S.chunk_array(t, limit)) == [plain.chunks(t, limit) for t in texts]
 
 
+OWN_MARKS = ["\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4", "\ufdd5", "\ufdd0\ufdd0", "\ufdd2\ufdd3"]
+
+
+def test_texts_that_hold_the_marks(spark):
+    golden = "Keep \ufdd0 here \ufdd1 now. Two. \ufdd1"
+    assert apply(spark, [golden], S.split_sentences) == [["Keep \ufdd0 here \ufdd1 now.", "Two.", "\ufdd1"]]
+    assert apply(spark, [golden], lambda t: S.chunk_array(t, 500)) == [[golden]]
+    assert apply(spark, [golden], lambda t: S.chunk_array(t, 21)) == [["Keep \ufdd0 here \ufdd1 now.", "Two. \ufdd1"]]
+    texts = random_texts(5, 1500, [*PIECES, *OWN_MARKS, f"\n{SCENE}\n"], 40)
+    assert apply(spark, texts, S.split_sentences) == [plain.sentences(t) for t in texts]
+    for limit in (1, 8, 25, 500):
+        assert apply(spark, texts, lambda t, n=limit: S.chunk_array(t, n)) == [plain.chunks(t, limit) for t in texts]
+    plain_texts = [t for t in texts if SCENE not in t]
+    handler = table_functions.ChunkText()
+    assert [[c[2] for c in handler.eval(t, 25)] for t in plain_texts] == [plain.chunks(t, 25) for t in plain_texts]
+
+
+def test_sections_of_a_page_that_holds_the_marks(spark):
+    page = "<h1>A\ufdd0b</h1>one\ufdd1two<h2>C\ufdd2\ufdd3</h2>three\ufdd0"
+    df = spark.createDataFrame([(page,)], "markup string")
+    got = [tuple(r) for r in markup.heading_rows(df).select("title", "markup").collect()]
+    assert got == [("A\ufdd0b", "one\ufdd1two"), ("C\ufdd2\ufdd3", "three\ufdd0")]
+
+
 def test_chunk_table_function(spark):
     table_functions.register(spark)
     texts = random_texts(3, 300, [*PIECES, f"\n{SCENE}\n"], 30)
