@@ -2,21 +2,20 @@
 
 A plain ``sum() over (partition by book order by chapter)`` sends a whole book
 to one task.  Where one book may hold a third of all rows that never finishes,
-so the scans here work in blocks of consecutive order values:
-
-1. rows are placed by (group, block); a block has at most ``2 ** bits``
-   distinct order values, so a group never lands in one task;
-2. every block is reduced to one summary row;
-3. the summaries are scanned the same way, one level up (``depth`` times), and
-   only the top level, ``depth`` times ``bits`` bits shorter, uses a plain window;
-4. the carried-in value joins back on (group, block) and completes the scan
-   inside each block.
-
-How many levels are needed follows from the bytes read (``scan_depth``); a
-small input takes the plain window.
-
-The order column is an integer, unique within the group up to small ties.
-Blocks come from the value alone, so a lost executor recomputes the same rows.
+so a scan goes by ranges:
+
+1. rows are placed by range of (group, order), so a group larger than a partition
+   goes on in the next ones, and are written with the number of their partition;
+2. every partition is summed up to one edge row per group in it;
+3. a group that spans partitions carries its edges on, in order of partitions.  A
+   partition shares its first and its last group with others at most, so there are
+   no more than two such rows per partition: they are broadcast;
+4. one window inside each (partition, group) completes the scan.
+
+Rows are few columns wide: the keys, the order and the value.  They are exchanged
+twice, by range and by (partition, group), whatever their number and order values.
+The written table fixes the ranges: a range placement is drawn from a sample, and
+a second one of the same rows may cut elsewhere.
 """
 
 from __future__ import annotations
@@ -26,66 +25,40 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from narrate_spark.operators.sizes import input_bytes
-
-BITS = 12
-# Input bytes up to which one plain window is enough.
-PLAIN_BYTES = 64 << 20
-
-
-def scan_depth(df: DataFrame, bits: int = BITS) -> int:
-    """Levels of blocking, from the bytes the rows are made from.
-
-    A row is made from at least one byte, so a group has no more rows than the
-    input has bytes.
-    """
-    size, depth = input_bytes(df), 0
-    while size > PLAIN_BYTES << (bits * depth) and depth < 3:
-        depth += 1
-    return depth
+from narrate_spark.storage import stored
 
 
 def _scan(
     rows: DataFrame,
     keys: list[str],
     order: list[str],
-    bits: int,
-    depth: int,
+    parts: int | None,
     summary: Callable[[Sequence[str]], Column],
     exclusive: Callable[[Column, WindowSpec], Column],
     combine: Callable[[Column, Column], Column],
 ) -> DataFrame:
     """Add ``__out``, the exclusive scan of ``__value``, to narrow rows."""
-    if depth == 0:
-        whole = Window.partitionBy(*keys).orderBy(*order)
-        before = whole.rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn("__out", exclusive(F.col("__value"), before))
-
-    block = f"__block{depth}"
-    placed = rows.withColumn(block, F.shiftright(F.col(order[0]).cast("bigint"), bits))
-    placed = placed.repartition(*keys, block)
-    # the order columns are kept in use on this side too: both sides then read
-    # the same exchange, and what comes before it is computed once
-    totals = placed.groupBy(*keys, block).agg(
-        summary(order).alias("__value"), F.max(F.struct(*order)).alias("__last")
-    )
-    carried = _scan(
-        totals, keys, [block, "__last"], bits, depth - 1, summary, exclusive, combine
+    count = [] if parts is None else [parts]
+    ranged = rows.repartitionByRange(*count, *keys, *order)
+    placed = stored(ranged.withColumn("__part", F.spark_partition_id()))
+
+    def before(window: WindowSpec) -> WindowSpec:
+        return window.rowsBetween(Window.unboundedPreceding, -1)
+
+    group = Window.partitionBy(*keys)
+    edges = placed.groupBy("__part", *keys).agg(summary(order).alias("__value"))
+    spanning = edges.withColumn("__parts", F.count(F.lit(1)).over(group)).where(F.col("__parts") > 1)
+    carried = spanning.select(
+        F.col("__part").alias("__p"),
+        *[F.col(k).alias(f"__c{i}") for i, k in enumerate(keys)],
+        exclusive(F.col("__value"), before(group.orderBy("__part"))).alias("__carry"),
     )
-    carried = carried.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(block).alias("__b"),
-        F.col("__last").alias("__end"),
-        F.col("__out").alias("__carry"),
-    )
-    local = Window.partitionBy(*keys, block).orderBy(*order)
-    before = local.rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.withColumn("__inside", exclusive(F.col("__value"), before))
-    same = F.col(block).eqNullSafe(F.col("__b")) & (F.struct(*order) <= F.col("__end"))
+    local = before(Window.partitionBy("__part", *keys).orderBy(*order))
+    inside = placed.withColumn("__inside", exclusive(F.col("__value"), local))
+    same = F.col("__part") == F.col("__p")
     for i, key in enumerate(keys):
-        same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
-    joined = inside.join(carried, same, "left")
-    return joined.select(
+        same = same & F.col(key).eqNullSafe(F.col(f"__c{i}"))
+    return inside.join(F.broadcast(carried), same, "left").select(
         *rows.columns, combine(F.col("__carry"), F.col("__inside")).alias("__out")
     )
 
@@ -96,31 +69,40 @@ def _run(
     order: str | Sequence[str],
     value: Column,
     out: str,
-    bits: int,
-    depth: int | None,
+    cheap: bool,
+    parts: int | None,
     **rules: Callable,
 ) -> DataFrame:
     cols = [order] if isinstance(order, str) else list(order)
-    rows = df.select(*keys, *cols, value.alias("__value"))
-    levels = scan_depth(df, bits) if depth is None else depth
-    scanned = _scan(rows, list(keys), cols, bits, levels, **rules)
+    names = {f"__k{i}": k for i, k in enumerate(keys)} | {f"__o{i}": c for i, c in enumerate(cols)}
+    rows = df.select(*[F.col(c).alias(n) for n, c in names.items()], value.alias("__value"))
+    # drawing the sample reads the rows once more
+    rows = rows if cheap else stored(rows)
+    places = list(names)
+    scanned = _scan(rows, places[: len(keys)], places[len(keys) :], parts, **rules)
+    kept = {c: n for n, c in reversed(names.items())}
     return scanned.select(
-        *keys, *cols, F.col("__value").alias("value"), F.col("__out").alias(out)
+        *[F.col(kept[c]).alias(c) for c in dict.fromkeys([*keys, *cols])],
+        F.col("__value").alias("value"),
+        F.col("__out").alias(out),
     )
 
 
 def sum_before(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | Sequence[str],
     value: Column,
     out: str,
-    bits: int = BITS,
-    depth: int | None = None,
+    cheap: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over all earlier rows of the group (0 for the first).
 
-    The result has the keys, the order column, ``value`` and ``out``.
+    The result has the keys, the order columns, ``value`` and ``out``.  Nulls in
+    keys and order are values like others; without keys all rows are one group.
+    ``cheap``: rows cost little to compute, so they need not be written before
+    they are placed.  ``parts`` fixes the number of ranges.
     """
     zero = F.lit(0).cast("bigint")
     return _run(
@@ -129,8 +111,8 @@ def sum_before(
         order,
         value.cast("bigint"),
         out,
-        bits,
-        depth,
+        cheap,
+        parts,
         summary=lambda _: F.sum("__value"),
         exclusive=lambda v, w: F.coalesce(F.sum(v).over(w), zero),
         combine=lambda carry, inside: F.coalesce(carry, zero) + inside,
@@ -143,14 +125,13 @@ def last_before(
     order: str | Sequence[str],
     value: Column,
     out: str,
-    bits: int = BITS,
-    depth: int | None = None,
+    cheap: bool = False,
+    parts: int | None = None,
 ) -> DataFrame:
     """Last non-null ``value`` among all earlier rows of the group.
 
-    With a value that is never null this is ``lag``.  The first order column
-    makes the blocks, the others break ties inside them.  The result has the
-    keys, the order columns, ``value`` and ``out``.
+    With a value that is never null this is ``lag``.  Columns, ``cheap`` and
+    ``parts`` are those of ``sum_before``.
     """
 
     def newest(by: Sequence[str]) -> Column:
@@ -163,8 +144,8 @@ def last_before(
         order,
         value,
         out,
-        bits,
-        depth,
+        cheap,
+        parts,
         summary=newest,
         exclusive=lambda v, w: F.last(v, ignorenulls=True).over(w),
         combine=lambda carry, inside: F.coalesce(inside, carry),

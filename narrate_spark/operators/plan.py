@@ -168,7 +168,7 @@ def pause_formats(events: DataFrame) -> DataFrame:
 
     ``events`` holds book_id, chapter_idx, seg_pos, event_idx and, for texts
     only, rate, channels and width.  The look-back crosses chapters, so it runs
-    as a blocked scan and not as one window per book.
+    as an ordered scan and not as one window per book.
     """
     own = F.when(F.col("rate").isNotNull(), F.struct("rate", "channels", "width"))
     order = ["chapter_idx", "seg_pos", "event_idx"]

@@ -45,7 +45,7 @@ def chapter_markers(durations: DataFrame, titles: DataFrame) -> DataFrame:
     """Start and end of every chapter that has sound.
 
     Untitled indices get ``Chapter {index + 1}``.  Start times are running sums
-    over a whole book, so they come from the blocked scan.
+    over a whole book, so they come from the ordered scan.
     """
     heard = durations.where(F.col("duration_ms") > 0)
     timed = sum_before(heard, ["book_id"], "chapter_idx", F.col("duration_ms"), "start_ms")

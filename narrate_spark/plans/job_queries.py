@@ -42,7 +42,7 @@ def q_transitions(spark, sf_dir):
 
 
 def q_transition_counts(spark, sf_dir):
-    steps = J.check_transitions(job_log(spark, sf_dir), depth=2)
+    steps = J.check_transitions(job_log(spark, sf_dir))
     return steps.groupBy("before", "state", "legal").agg(F.count(F.lit(1)).alias("steps"))
 
 

@@ -14,7 +14,8 @@ from narrate_spark.plans import sql
 from narrate_spark.plans.corpus import chapter_title, narration_text, table
 from narrate_spark.plans.job_queries import LOG, log_of
 from narrate_spark.streaming import live
-from narrate_spark.streaming.replay import file_stream, run_append, run_upsert, shared_dir
+from narrate_spark.storage import shared_dir
+from narrate_spark.streaming.replay import file_stream, run_append, run_upsert
 
 WHOLE_LOG = "3650 days"
 

@@ -1,31 +1,13 @@
-"""Running streams over files, and where they keep their state.
-
-Streams write below the checkpoint folder of the session
-(``spark.checkpoint.dir``), which on a cluster is shared storage.  Only a local
-session without that setting gets a temporary folder.
-"""
+"""Running streams over files; their state and results lie below a shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and results that every executor can reach."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/narrate-{uuid.uuid4().hex}"
-
-
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None
 ) -> DataFrame:
