@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from narrate_spark.llm import chat, decontaminate, licenses, near_dedup, packing, quality, search, token_files, url_filter, warc
+from narrate_spark.llm import chat, decontaminate, licenses, mixing, near_dedup, packing, quality, runs, search, token_files, url_filter, warc, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_chat_format": chat.op9_chat_format,
     "op10_packing": packing.op10_packing,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_runs": runs.op12_runs,
+    "op13_mixing": mixing.op13_mixing,
 }
 ORACLES = {
     "op3_decontamination": decontaminate.ORACLE_SQL,
