@@ -7,9 +7,12 @@ afterwards, so a text costs a few array operations and no Python object per word
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,9 @@ SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 # Texts are hashed in blocks of about so many bytes, cut between words.
 BLOCK = 1 << 18
+# Folders of stored results, and those of the scratch block at hand.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_MADE: contextvars.ContextVar[set[str] | None] = contextvars.ContextVar("made", default=None)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -125,21 +131,54 @@ def shared_folder(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_root()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write a result into the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs its running tasks only, and a
-    result that is used twice is computed once.
+    result that is used twice is computed once.  Inside of ``scratch`` the folder
+    goes at its end, or with ``drop``, unless it is to be kept.
     """
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    made = _MADE.get()
+    if made is not None and not keep:
+        made.add(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _FOLDERS[out] = folder
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop(*results: DataFrame) -> None:
+    """Delete the folders of stored results that nothing reads any more."""
+    for df in results:
+        folder = _FOLDERS.pop(df, None)
+        if folder is not None:
+            _delete(df.sparkSession, folder)
+            if _MADE.get() is not None:
+                _MADE.get().discard(folder)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Results stored inside go at the end; what is returned has been stored to be kept."""
+    token = _MADE.set(set())
+    try:
+        yield
+    finally:
+        for folder in _MADE.get():
+            _delete(spark, folder)
+        _MADE.reset(token)
 
 
 def file_system(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:

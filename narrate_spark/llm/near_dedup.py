@@ -1,7 +1,8 @@
 """Near-duplicates by a chosen-path similarity join.
 
 A document is the set of its word shingles.  Its signature holds one minwise
-hash for each of ``COORDINATES`` hash functions.  In a tree, a node's documents
+hash of two bytes for each of ``COORDINATES`` hash functions, so documents that are not
+alike share hardly a token, however many there are.  In a tree, a node's documents
 branch by the tokens (coordinate, minwise hash) that a random function of the
 node selects, about 1 / threshold per document, so a pair of the wanted
 similarity shares one child on average, and a dissimilar pair none.  Nodes are
@@ -12,7 +13,8 @@ deepest level in use: documents whose nodes are branched again get further trees
 until a pair at the threshold is missed with a probability below one in ten thousand.
 
 What the trees find are candidates.  Links are confirmed on the full sets: first
-every document's most similar candidate in the nodes of the first levels.
+every document's most similar candidate in the nodes of the first trees alone.  Nodes
+of all trees in which one component is left need no comparison.
 Candidates of different components that are left tie their documents to clusters,
 in each of which a document stands once, however many nodes it shares with the
 others.  A cluster gets the full sets, and each candidate that is not connected
@@ -52,8 +54,8 @@ CLUSTER = 250
 # Coordinates of the sketch (two bits each) that must agree; at the threshold
 # this is five standard deviations below the mean.
 AGREE = 189
-# Bytes of a shingle's hash that are compared when links are confirmed.
-KEY_BYTES = 6
+# Trees whose candidates are confirmed before the others are grown.
+FIRST_TREES = 2
 
 _WORDS = COORDINATES // 32
 _SETS = pa.schema(
@@ -73,12 +75,12 @@ _SEEDS = common.mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(
 
 
 def signature(items: np.ndarray) -> np.ndarray:
-    """One byte of the minwise hash of a set for each coordinate."""
+    """Two bytes of the minwise hash of a set for each coordinate."""
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(items), 512):
             np.minimum(out, (items[at : at + 512, None] * _SEEDS).min(axis=0), out=out)
-        return (common.mix(out) >> np.uint64(56)).astype(np.uint8)
+        return (common.mix(out) >> np.uint64(48)).astype("<u2")
 
 
 def sketch(signature: np.ndarray) -> np.ndarray:
@@ -114,7 +116,7 @@ def branch(rows: DataFrame, levels: int, threshold: int, trees: range = range(0)
     """Children (node, doc) of (node, doc, signature) rows; without ``node``, of the roots of ``trees``."""
     rooted = "node" in rows.columns
     limit = np.uint64(int(2**64 * 100 / threshold / COORDINATES))
-    coordinates = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(8)
+    coordinates = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(16)
     rows = rows.select(*(["node"] if rooted else []), "doc", "signature")
 
     def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +124,7 @@ def branch(rows: DataFrame, levels: int, threshold: int, trees: range = range(0)
             for at in range(0, whole.num_rows, 2048):
                 b = whole.slice(at, 2048)
                 with np.errstate(over="ignore"):
-                    signatures = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8)
+                    signatures = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u2")
                     tokens = common.mix(signatures.reshape(-1, COORDINATES) + coordinates)
                     doc, all_ = b.column("doc").to_numpy(), np.arange(b.num_rows)
                     if rooted:
@@ -144,7 +146,11 @@ def branch(rows: DataFrame, levels: int, threshold: int, trees: range = range(0)
 
 def shared_nodes(nodes: DataFrame) -> DataFrame:
     """(node, doc, count) of the nodes that hold more than one document."""
-    return common.stored(nodes.join(nodes.groupBy("node").count().filter("count > 1"), "node").select("node", "doc", "count"))
+    nodes = common.stored(nodes)
+    several = nodes.groupBy("node").count().filter("count > 1")
+    shared = common.stored(nodes.join(several, "node").select("node", "doc", "count"))
+    common.drop(nodes)
+    return shared
 
 
 def unsettled(several: DataFrame) -> DataFrame:
@@ -174,12 +180,12 @@ def grow_trees(groups: DataFrame, members: DataFrame, labels: DataFrame, thresho
             inner = several.join(large, "node", "left_semi").select("node", "doc").join(groups.select("doc", "signature"), "doc")
             if crowded is None:  # all later large nodes hold some of these documents only
                 crowded = common.stored(groups.join(inner.select("doc"), "doc", "left_semi"))
-            members, depth = shared_nodes(common.stored(branch(inner, 1, threshold))), depth + 1
+            members, depth = shared_nodes(branch(inner, 1, threshold)), depth + 1
         deepest = max(deepest, depth)
         if grown == TREES[deepest]:
             return common.stored(done)
         more = range(grown, TREES[deepest])
-        members, grown = shared_nodes(common.stored(branch(crowded, FIRST_LEVELS, threshold, more))), TREES[deepest]
+        members, grown = shared_nodes(branch(crowded, FIRST_LEVELS, threshold, more)), TREES[deepest]
 
 
 def nodes_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -294,7 +300,7 @@ def settle(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 continue
             i, j, agree = (np.concatenate(x) for x in zip(*found, strict=True))
             items, parent, links = t.column("items"), {}, []
-            own: dict[int, frozenset] = {}
+            own: dict[int, np.ndarray] = {}
 
             def top(x: tuple, parent=parent) -> tuple:
                 while (up := parent.get(x, x)) != x:
@@ -302,9 +308,9 @@ def settle(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                     x = up
                 return x
 
-            def full(k: int, own=own, items=items) -> frozenset:
+            def full(k: int, own=own, items=items) -> np.ndarray:
                 if k not in own:
-                    own[k] = frozenset(keys(items[k].as_py()))
+                    own[k] = np.frombuffer(items[k].as_py(), "<u8")
                 return own[k]
 
             order = np.lexsort((j, i, -agree, node[i]))
@@ -324,14 +330,14 @@ def settle(rows: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return common.stored(by_node(full_rows).mapInArrow(check, "a bigint, b bigint, score int").select("a", "b").distinct())
 
 
-def keys(items: bytes) -> list[bytes]:
-    """The shingle hashes of a packed set."""
-    return np.frombuffer(items, np.dtype((np.void, KEY_BYTES))).tolist()
-
-
-def similar(x: frozenset, y: frozenset, threshold: int) -> bool:
-    """Whether two full sets reach the threshold."""
-    both = len(x & y)
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two full sets, as sorted distinct hashes, reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < threshold * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
     return 100 * both >= threshold * (len(x) + len(y) - both)
 
 
@@ -341,7 +347,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items = (common.shingles(common.word_hashes(t, common.SPACES), size) for t in b.column("text").to_pylist())
-            packed = [i.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes() for i in items]
+            packed = [i.astype("<u8").tobytes() for i in items]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "items"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -354,7 +360,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)
-            keep = [similar(frozenset(keys(x)), frozenset(keys(y)), threshold) for x, y in both]
+            keep = [similar(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), threshold) for x, y in both]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     first = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
@@ -406,6 +412,11 @@ def link_documents(docs: DataFrame, size: int, threshold: int = THRESHOLD) -> Da
     doc_id with other texts count as one vertex.  A null doc_id is never linked, has
     a null component and is kept.  An empty table gives no row.
     """
+    with common.scratch(docs.sparkSession):
+        return common.stored(_linked(docs, size, threshold), keep=True)
+
+
+def _linked(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     sets = common.stored(document_sets(docs, size))
     known = sets.filter("doc_id IS NOT NULL AND n > 0")
     groups = common.stored(
@@ -415,21 +426,25 @@ def link_documents(docs: DataFrame, size: int, threshold: int = THRESHOLD) -> Da
     )
     sketches = groups.select("doc", "n", "sketch")
 
-    trees = range(TREES[FIRST_LEVELS])
-    members = shared_nodes(common.stored(branch(groups, FIRST_LEVELS, threshold, trees)))
-    rows = deal_large(members.withColumn("comp", F.col("doc")), NODE, False).join(sketches, "doc")
+    first = shared_nodes(branch(groups, FIRST_LEVELS, threshold, range(FIRST_TREES)))
+    rows = deal_large(first.withColumn("comp", F.col("doc")), NODE, False).join(sketches, "doc")
     found = common.stored(best_candidates(rows, threshold))
     wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-    links = confirm(found, full_sets(docs, wanted, size), threshold)
+    some = full_sets(docs, wanted, size)
+    links = confirm(found, some, threshold)
+    common.drop(some, found)
     labels = components(links)
-    rows = deal_large(grow_trees(groups, members, labels, threshold), NODE, True).join(sketches, "doc")
-    ties = common.stored(candidate_ties(rows, threshold))
+    others = shared_nodes(branch(groups, FIRST_LEVELS, threshold, range(FIRST_TREES, TREES[FIRST_LEVELS])))
+    grown = grow_trees(groups, first.union(others), labels, threshold)
+    common.drop(first, others)
+    ties = common.stored(candidate_ties(deal_large(grown, NODE, True).join(sketches, "doc"), threshold))
     if not ties.isEmpty():
         tied = common.stored(deal_large(clusters(ties, labels), CLUSTER, True).join(sketches, "doc"))
         wanted = tied.select(F.col("doc").alias("doc_id")).distinct()
-        labels = components(links.union(settle(tied, full_sets(docs, wanted, size), threshold)))
+        some = full_sets(docs, wanted, size)
+        labels = components(links.union(settle(tied, some, threshold)))
 
-    out = sets.join(groups.select("f1", "f2", "n", "doc"), ["f1", "f2", "n"], "left")
+    out = sets.select("doc_id", "n", "f1", "f2").join(groups.select("f1", "f2", "n", "doc"), ["f1", "f2", "n"], "left")
     out = out.join(labels.select(F.col("a").alias("doc"), F.col("b").alias("least")), "doc", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc", "doc_id"))
     return out.select(
