@@ -15,8 +15,9 @@ from narrate_spark.operators.arrays import explode_rows
 from narrate_spark.operators.sizes import spread
 from narrate_spark.plans import sql
 from narrate_spark.plans.corpus import document_chapters, table
-from narrate_spark.sources import covers, epub, wav
+from narrate_spark.sources import covers, epub, unpacked, wav
 from narrate_spark.sources import markup as S
+from narrate_spark.sources.package_xml import ncx_entries
 
 KEY = ["book_id", "chapter_idx"]
 
@@ -127,24 +128,56 @@ def q_toc_chapters(spark, sf_dir):
 
 
 _OPF = """<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf"
- xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> Page {0} </dc:title>
- <dc:creator>Writer</dc:creator></metadata><manifest>
+ xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata>{0}</metadata><manifest>
  <item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>
- <item id="page" href="text/page%20one.xhtml" media-type="application/xhtml+xml"/></manifest>
+ <item id="page" href="text/page%20one.xhtml" media-type="application/xhtml+xml"/>{1}</manifest>
  <spine><itemref idref="nav"/><itemref idref="ghost"/><itemref idref="page"/></spine></package>"""
 _BOX = '<container><rootfiles><rootfile full-path="OPS/book.opf"/></rootfiles></container>'
 
 
+def _told(page_id: int) -> str:
+    """Metadata of an archive; which fields it has varies."""
+    return (
+        (f"<dc:title id='t'> Page {page_id} &amp; more </dc:title><dc:title>Other</dc:title>" if page_id % 3 else "")
+        + (f"<dc:creator>Writer {page_id % 10}</dc:creator>" if page_id % 4 else "<dc:creator> </dc:creator>")
+        + ("<dc:language>es</dc:language>" if page_id % 5 == 0 else "")
+        + ('<meta name="cover" content="i2"/>' if page_id % 7 == 2 else "")
+        + ('<meta name="cover" content="absent"/>' if page_id % 7 == 5 else "")
+    )
+
+
+def _pictures(r: int) -> tuple[str, dict[str, str]]:
+    """Manifest items and entries of an archive whose cover hides in another place for each ``r``."""
+    wrap = "MyCover.xhtml" if r == 4 else "w.xhtml"
+    items = (
+        '<item id="i1" href="img/first.jpg" media-type="image/jpeg"/><item id="i2" href="img/meta.gif" media-type="image/gif"/>'
+        f'<item id="{"cover" if r == 3 else "i3"}" href="img/exact.webp" media-type=""/>'
+        f'<item id="w" href="{wrap}" media-type="application/xhtml+xml"/>'
+        f'<item id="i5" href="img/front.png" media-type="image/png"{" properties='cover-image'" if r == 1 else ""}/>'
+    )
+    entries = {
+        "img/first.jpg": "" if r == 6 else "a",
+        "img/meta.gif": "b",
+        "img/exact.webp": "c",
+        wrap: '<html><body><IMG alt="" src="../img/Front.PNG"/></body></html>',
+        "img/front.png": "d",
+    }
+    return items, entries
+
+
 def _archives(batches):
     for batch in batches:
         made = []
         for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
             buffer = io.BytesIO()
+            items, entries = _pictures(page_id % 7)
             with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr("META-INF/container.xml", _BOX)
-                archive.writestr("OPS/book.opf", _OPF.format(page_id))
+                archive.writestr("OPS/book.opf", _OPF.format(_told(page_id), items))
                 archive.writestr("OPS/nav.xhtml", "<p>Contents</p>")
                 archive.writestr("OPS/text/page one.xhtml", html)
+                for name, text in entries.items():
+                    archive.writestr(f"OPS/{name}", text)
             made.append((str(page_id), f"book-{page_id}", buffer.getvalue()))
         yield pd.DataFrame(made, columns=["book_id", "stem", "content"])
 
@@ -155,48 +188,102 @@ def epub_books(spark, sf_dir) -> DataFrame:
     return rows.mapInPandas(_archives, "book_id string, stem string, content binary")
 
 
+def _damaged_books(spark, sf_dir) -> DataFrame:
+    """The archives, some of them cut off, without content or with a page that is no longer what it was."""
+    content, page = F.col("content"), F.col("book_id").cast("bigint")
+    # the page is stored under its name twice: before its data, and in the list at the end
+    at = F.expr("instr(hex(content), hex('OPS/text/page one.xhtml')) div 2") + len("OPS/text/page one.xhtml") + 1
+    broken = F.concat(
+        F.substring(content, F.lit(1), at), F.unhex(F.lit("FFFFFF")), F.substring(content, at + 4, F.octet_length(content))
+    )
+    damaged = (
+        F.when(page % 10 == 1, F.substring(content, 1, 60))
+        .when(page % 10 == 2, F.lit("no archive").cast("binary"))
+        .when(page % 10 == 3, broken)
+        .when(page % 10 == 4, F.lit(None).cast("binary"))
+        .otherwise(content)
+    )
+    return epub_books(spark, sf_dir).withColumn("content", damaged)
+
+
 def q_epub(spark, sf_dir):
-    pkgs = epub.packages(epub.read_archives(epub_books(spark, sf_dir)))
-    chapters = S.page_chapters(epub.spine_pages(pkgs))
+    chapters = S.page_chapters(epub.spine_pages(epub.read_archives(epub_books(spark, sf_dir), ("page",))))
     rows = G.explode_segments(chapters)
     return rows.select(*KEY, "title", "source_file", "seg_pos", F.col("seg_text").alias("text"))
 
 
 def q_epub_metadata(spark, sf_dir):
-    books = epub_books(spark, sf_dir)
-    return epub.metadata(books, epub.packages(epub.read_archives(books)))
+    return epub.metadata(epub.read_archives(epub_books(spark, sf_dir), ("book",)), use_stem=True)
 
 
-def _manifest(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A manifest per page whose cover hides in a different place each time."""
-    base = pages(spark, sf_dir).select(F.col("page_id").cast("string").alias("book_id"), (F.col("page_id") % 7).alias("r"))
+def q_archive_errors(spark, sf_dir):
+    errors = epub.archive_errors(epub.read_archives(_damaged_books(spark, sf_dir)))
+    return errors.select("book_id", F.coalesce("name", F.lit("")).alias("name"), F.substring_index("error", ":", 1).alias("error"))
 
-    def item(pos, item_id, name, media, cover, content):
-        return F.struct(
-            F.lit(pos).cast("bigint").alias("pos"), item_id.alias("item_id"), name.alias("name"),
-            F.lit(media).alias("media_type"), cover.alias("is_cover"), content.cast("binary").alias("content"),
-        )
 
-    r, no = F.col("r"), F.lit(False)
-    wrap = F.lit('<html><body><IMG alt="" src="../img/Front.PNG"/></body></html>')
-    items = F.array(
-        item(0, F.lit("text"), F.lit("t.xhtml"), "application/xhtml+xml", no, F.lit("<html>words</html>")),
-        item(1, F.lit("i1"), F.lit("img/first.jpg"), "image/jpeg", no, F.when(r == 6, "").otherwise("a")),
-        item(2, F.lit("i2"), F.lit("img/meta.gif"), "image/gif", no, F.lit("b")),
-        item(3, F.when(r == 3, "cover").otherwise("i3"), F.lit("img/exact.webp"), "", no, F.lit("c")),
-        item(4, F.lit("w"), F.when(r == 4, "MyCover.xhtml").otherwise("w.xhtml"), "application/xhtml+xml", no, wrap),
-        item(5, F.lit("i5"), F.lit("img/front.png"), "image/png", r == 1, F.lit("d")),
+def q_covers(spark, sf_dir):
+    found = covers.pick_cover(epub_books(spark, sf_dir), with_content=True)
+    return found.withColumn("content", F.col("content").cast("string"))
+
+
+def unpacked_files(spark, sf_dir) -> DataFrame:
+    """The files (path, content) of one unpacked directory per page; some have no package, contents or cover."""
+    page = F.col("page_id")
+    root = F.concat(F.lit("/books/"), page.cast("string"), F.lit("/"))
+    parts = F.split("html", "<p>", -1)
+
+    def anchored(text: Column, i: Column) -> Column:
+        mark = F.concat(F.lit('<a id="filepos'), i.cast("string"), F.lit('" /><p>'))
+        return F.when(i == 0, text).otherwise(F.concat(mark, text))
+
+    def point(i: Column) -> Column:
+        number = i.cast("string")
+        label = F.when(i % 2 == 0, F.concat(F.lit("<navLabel><text> Part "), number, F.lit(" &amp; on</text></navLabel>"))).otherwise("")
+        return F.concat(F.lit("<n:navPoint playOrder='"), number, F.lit("'>"), label, F.lit("<content src='book.html#filepos"), number, F.lit("'/></n:navPoint>"))
+
+    count = F.size(parts) - 1
+    points = F.when(count > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), point), "")).otherwise("")
+    ncx = F.concat(F.lit('<?xml version="1.0"?><ncx xmlns:n="u"><navMap>'), points, F.when(page % 6 == 5, "</navMap>").otherwise("</navMap></ncx>"))
+    title = F.when(page % 3 > 0, F.concat(F.lit("<dc:title> Kindle "), page.cast("string"), F.lit(" </dc:title>"))).otherwise("")
+    opf = F.concat(
+        F.lit('<package xmlns:dc="d"><metadata>'), title,
+        F.lit("<dc:language>fr</dc:language><meta content='pic' name='cover'/></metadata><manifest><item href='"),
+        F.when(page % 4 == 1, "absent.jpg").otherwise("front.gif"), F.lit("' id=\"pic\"/></manifest></package>"),
     )
-    manifest = base.select("book_id", F.explode(items).alias("i")).select("book_id", "i.*")
-    metas = base.where("r = 2 OR r = 5").select(
-        "book_id", F.lit(0).cast("bigint").alias("meta_pos"),
-        F.when(F.col("r") == 2, "i2").otherwise("absent").alias("item_id"),
+
+    def file(name: str, content: Column) -> Column:
+        return F.struct(F.concat(root, F.lit(name)).alias("path"), content.cast("binary").alias("content"))
+
+    files = F.array(
+        file("book.html", F.array_join(F.transform(parts, anchored), "")),
+        file("front.gif", F.lit("GIF")),
+        F.when(page % 6 != 4, file("toc.ncx", ncx)),
+        F.when(page % 5 != 4, file("content.opf", opf)),
     )
-    return manifest, metas
+    return pages(spark, sf_dir).select(F.inline(F.array_compact(files)))
 
 
-def q_covers(spark, sf_dir):
-    return covers.pick_cover(*_manifest(spark, sf_dir))
+def unpacked_books(spark, sf_dir) -> DataFrame:
+    """The unpacked directories as books."""
+    return unpacked.unpacked_books(unpacked_files(spark, sf_dir)).withColumn("book_id", F.col("stem"))
+
+
+def q_unpacked_chapters(spark, sf_dir):
+    rows = G.explode_segments(unpacked.chapters(unpacked_books(spark, sf_dir)))
+    return rows.select(*KEY, "title", "seg_pos", F.col("seg_text").alias("text"))
+
+
+def q_unpacked_metadata(spark, sf_dir):
+    return unpacked.metadata(unpacked_books(spark, sf_dir))
+
+
+def q_ncx(spark, sf_dir):
+    rows = unpacked_books(spark, sf_dir).select("book_id", F.posexplode_outer(ncx_entries(F.col("ncx"))).alias("pos", "e"))
+    return rows.where("pos IS NOT NULL").select("book_id", F.col("pos").cast("bigint").alias("pos"), "e.title", "e.filepos")
+
+
+def q_opf_cover(spark, sf_dir):
+    return unpacked.opf_cover(unpacked_books(spark, sf_dir))
 
 
 def _parts(spark, sf_dir) -> DataFrame:
@@ -235,7 +322,12 @@ QUERIES = {
     "page_toc_chapters": q_toc_chapters,
     "epub_chapters": q_epub,
     "epub_metadata": q_epub_metadata,
+    "archive_errors": q_archive_errors,
     "cover_selection": q_covers,
+    "ncx_entries": q_ncx,
+    "unpacked_chapters": q_unpacked_chapters,
+    "kindle_metadata": q_unpacked_metadata,
+    "opf_cover": q_opf_cover,
     "merge_wav": q_merge_wav,
     "scan_wav": q_scan_wav,
 }
@@ -313,11 +405,30 @@ ORACLES = {
     "epub_chapters": f"WITH v AS (SELECT page_id, html AS markup FROM pages), h AS (SELECT page_id::VARCHAR AS book_id, 1::BIGINT AS chapter_idx, "
     f"{_HEADING} AS head, {_page_lines(_page_text('markup'))} AS ls FROM v), ch AS (SELECT book_id, chapter_idx, "
     f"CASE WHEN head = '' THEN 'Section 2' ELSE head END AS title, 'text/page%20one.xhtml' AS source_file, ls FROM h), {_EXPLODED} SELECT * FROM ex",
-    "epub_metadata": "SELECT page_id::VARCHAR AS book_id, 'Page ' || page_id AS title, 'Writer' AS author, 'en' AS language FROM pages",
+    "epub_metadata": "SELECT page_id::VARCHAR AS book_id, CASE WHEN page_id % 3 = 0 THEN 'book-' || page_id ELSE 'Page ' || page_id || ' & more' END AS title, "
+    "CASE WHEN page_id % 4 = 0 THEN '' ELSE 'Writer ' || page_id % 10 END AS author, CASE page_id % 5 WHEN 0 THEN 'es' ELSE 'en' END AS language FROM pages",
+    "archive_errors": "SELECT page_id::VARCHAR AS book_id, CASE page_id % 10 WHEN 3 THEN 'text/page%20one.xhtml' ELSE '' END AS name, "
+    "CASE page_id % 10 WHEN 3 THEN 'Unreadable page' ELSE 'Corrupt or invalid ZIP' END AS error FROM pages WHERE page_id % 10 BETWEEN 1 AND 4",
     "cover_selection": "SELECT page_id::VARCHAR AS book_id, CASE page_id % 7 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 5 END::BIGINT AS rank, "
     "CASE page_id % 7 WHEN 1 THEN 'img/front.png' WHEN 2 THEN 'img/meta.gif' WHEN 3 THEN 'img/exact.webp' WHEN 4 THEN 'img/front.png' "
     "WHEN 6 THEN 'img/meta.gif' ELSE 'img/first.jpg' END AS name, CASE page_id % 7 WHEN 1 THEN '.png' WHEN 2 THEN '.gif' WHEN 3 THEN '.webp' "
-    "WHEN 4 THEN '.png' WHEN 6 THEN '.gif' ELSE '.jpg' END AS suffix FROM pages",
+    "WHEN 4 THEN '.png' WHEN 6 THEN '.gif' ELSE '.jpg' END AS suffix, CASE page_id % 7 WHEN 1 THEN 'd' WHEN 2 THEN 'b' WHEN 3 THEN 'c' "
+    "WHEN 4 THEN 'd' WHEN 6 THEN 'b' ELSE 'a' END AS content FROM pages",
+    "ncx_entries": f"SELECT page_id::VARCHAR AS book_id, (n - 1)::BIGINT AS pos, CASE WHEN n % 2 = 0 THEN 'Part ' || n || ' & on' ELSE '' END AS title, "
+    f"n::BIGINT AS filepos FROM (SELECT page_id, unnest(range(1, len({_PARTS}))) AS n FROM pages WHERE page_id % 6 < 4)",
+    "unpacked_chapters": f"WITH sp AS (SELECT page_id, html, {_PARTS} AS ps FROM pages), "
+    "pt AS (SELECT page_id, unnest(ps[2:]) AS part, generate_subscripts(ps[2:], 1) AS n FROM sp WHERE page_id % 6 < 4 AND len(ps) > 1), "
+    "toc AS (SELECT page_id, n - 1 AS chapter_idx, CASE WHEN n % 2 = 0 THEN 'Part ' || n || ' & on' ELSE '' END AS head, '<p>' || part AS body FROM pt), "
+    f"sec AS (SELECT page_id, {_SECTIONS.replace('markup', 'html')} AS hs, html FROM sp WHERE NOT (page_id % 6 < 4 AND len(ps) > 1)), "
+    "hd AS (SELECT page_id, unnest(hs[2:]) AS part, generate_subscripts(hs[2:], 1) - 1 AS chapter_idx FROM sec WHERE len(hs) > 1), "
+    f"al AS (SELECT * FROM toc UNION ALL SELECT page_id, chapter_idx, {_SEC_TITLE} AS head, string_split(part, chr(2))[2] AS body FROM hd "
+    "UNION ALL SELECT page_id, 0, 'Chapter 1', html FROM sec WHERE len(hs) = 1), "
+    "ch AS (SELECT page_id::VARCHAR AS book_id, chapter_idx::BIGINT AS chapter_idx, CASE WHEN head = '' THEN 'Section ' || (chapter_idx + 1) ELSE head END AS title, "
+    f"{_page_lines(_page_text('body'))} AS ls FROM al), {_EXPLODED} SELECT book_id, chapter_idx, title, seg_pos, text FROM ex",
+    "kindle_metadata": "SELECT page_id::VARCHAR AS book_id, CASE WHEN page_id % 5 <> 4 AND page_id % 3 > 0 THEN 'Kindle ' || page_id "
+    f"ELSE coalesce(nullif({_clean("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ''), page_id::VARCHAR) END AS title, "
+    "'' AS author, CASE page_id % 5 WHEN 4 THEN 'en' ELSE 'fr' END AS language FROM pages",
+    "opf_cover": "SELECT page_id::VARCHAR AS book_id, 'front.gif' AS name, '.gif' AS suffix FROM pages WHERE page_id % 5 <> 4 AND page_id % 4 <> 1",
 }
 
 _PCM = (

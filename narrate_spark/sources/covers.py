@@ -1,4 +1,4 @@
-"""Cover selection over manifest rows."""
+"""Cover selection inside the row of an archive."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from narrate_spark import constants as K
-from narrate_spark.sources.files import base_name, decode_markup, suffix_of
+from narrate_spark.sources.epub import cover_items, with_entry
+from narrate_spark.sources.files import base_name, suffix_of
 
 
 def is_image(name: Column, media_type: Column) -> Column:
@@ -20,87 +21,103 @@ def image_suffix(name: Column) -> Column:
     return F.when(suffix == "", ".jpg").otherwise(suffix)
 
 
-def _is_html(name: Column, media_type: Column, content: Column) -> Column:
-    head = F.lower(decode_markup(F.substring(content, 1, 100)))
-    return (
-        suffix_of(name).isin(*K.HTML_SUFFIXES)
-        | F.contains(F.lower(media_type), F.lit("html"))
-        | F.contains(head, F.lit("<html"))
+def _usable(item: Column) -> Column:
+    """Item with what the ranking needs: whether it is an image, and the image name that a page shows."""
+    image = is_image(item["name"], item["media_type"])
+    page = (
+        suffix_of(item["name"]).isin(*K.HTML_SUFFIXES)
+        | F.contains(F.lower(item["media_type"]), F.lit("html"))
+        | F.contains(F.lower(F.coalesce(item["head"], F.lit(""))), F.lit("<html"))
+    )
+    shows = F.when(~image & page, F.nullif(F.lower(base_name(item["shows"])), F.lit("")))
+    return F.struct(
+        item["pos"].alias("pos"),
+        item["item_id"].alias("item_id"),
+        item["name"].alias("name"),
+        item["entry"].alias("entry"),
+        item["is_cover"].alias("is_cover"),
+        image.alias("image"),
+        shows.alias("shows"),
     )
 
 
-def _candidates(items: DataFrame, metas: DataFrame) -> DataFrame:
-    """Every item that could be the cover, with its rank and order."""
-    lower_id = F.lower(F.coalesce("item_id", F.lit("")))
-    lower_name = F.lower(base_name(F.col("name")))
-    named = F.contains(lower_id, F.lit("cover")) | F.contains(lower_name, F.lit("cover"))
-    ranks = F.array(
-        F.when(F.col("is_cover"), 1),
-        F.when(F.col("item_id") == "cover", 3),
-        F.when(named, 4),
-        F.when(F.col("image"), 5),
+def _ranks(item: Column) -> Column:
+    lower_id = F.lower(F.coalesce(item["item_id"], F.lit("")))
+    named = F.contains(lower_id, F.lit("cover")) | F.contains(F.lower(base_name(item["name"])), F.lit("cover"))
+    return F.array_compact(
+        F.array(
+            F.when(item["is_cover"], 1),
+            F.when(item["item_id"] == "cover", 3),
+            F.when(named, 4),
+            F.when(item["image"], 5),
+        )
     )
-    by_item = items.select("*", F.explode(F.array_compact(ranks)).alias("rank"))
-    by_item = by_item.withColumn("order", F.col("pos"))
-    by_meta = items.join(metas.where(F.col("item_id") != ""), ["book_id", "item_id"])
-    by_meta = by_meta.withColumn("rank", F.lit(2)).withColumn("order", F.col("meta_pos"))
-    return by_item.unionByName(by_meta.drop("meta_pos"))
 
 
-def pick_cover(manifest: DataFrame, metas: DataFrame) -> DataFrame:
-    """The cover image of every book that has one.
+def best_cover(found: Column) -> Column:
+    """The cover of an archive as (rank, order, sub, name, entry), null when it has none.
 
-    ``manifest`` holds book_id, pos, item_id, name, media_type, is_cover and
-    content; ``metas`` holds book_id, meta_pos and item_id.  A page that wraps
-    the cover stands for the image it shows; candidates without a usable image
-    fall through to the next one.
+    ``found`` is the result of ``epub.cover_items``.  Candidates are the item with the
+    cover property, those that the metadata name, the one called ``cover``, those
+    with such a name, and all images, in this order.  A page that wraps the cover
+    stands for the first image whose name holds that of the image it shows;
+    candidates without a usable image fall through to the next one.
     """
-    sized = manifest.withColumn("has_content", F.length("content") > 0)
-    sized = sized.withColumn("image", is_image(F.col("name"), F.col("media_type")))
-    html = _is_html(F.col("name"), F.col("media_type"), F.col("content"))
-    source = F.regexp_extract(
-        decode_markup(F.col("content")), r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1
-    )
-    wraps = F.when(~F.col("image") & html, F.lower(base_name(source)))
-    items = sized.where("has_content").select(
-        "book_id", "pos", "item_id", "name", "is_cover", "image", wraps.alias("wraps")
-    )
-    candidates = _candidates(items, metas)
 
-    direct = candidates.where("image").select(
-        "book_id", "rank", "order", F.lit(0).cast("bigint").alias("sub"), F.col("name").alias("cover")
-    )
-    # one row per image name and per wrapped name before they meet: pages that
-    # show the same image, and repeated items, only count once
-    images = items.where("image").groupBy("book_id", F.col("name").alias("cover"))
-    images = images.agg(F.min("pos").alias("sub"))
-    pages = candidates.where(~F.col("image") & (F.col("wraps") != ""))
-    pages = pages.groupBy("book_id", "wraps").agg(F.min(F.struct("rank", "order")).alias("at"))
-    wrapped = pages.join(images, "book_id").where(
-        F.contains(F.lower("cover"), F.col("wraps"))
-    )
-    wrapped = wrapped.select("book_id", "at.rank", "at.order", "sub", "cover")
-    best = direct.unionByName(wrapped).groupBy("book_id").agg(
-        F.min(F.struct("rank", "order", "sub", "cover")).alias("best")
-    )
-    return best.select(
+    def placed(rank: Column, order: Column, item: Column) -> Column:
+        return F.struct(rank.cast("bigint").alias("rank"), order.cast("bigint").alias("order"), item.alias("item"))
+
+    def chosen(source: Column, sub: Column, image: Column) -> Column:
+        return F.struct(
+            source["rank"].alias("rank"),
+            source["order"].alias("order"),
+            sub.cast("bigint").alias("sub"),
+            image["name"].alias("name"),
+            image["entry"].alias("entry"),
+        )
+
+    def rank(usable: Column) -> Column:
+        by_item = F.flatten(
+            F.transform(usable, lambda i: F.transform(_ranks(i), lambda r: placed(r, i["pos"], i)))
+        )
+        by_meta = F.flatten(
+            F.transform(
+                found["metas"],
+                lambda m, at: F.transform(
+                    F.filter(usable, lambda i: (i["item_id"] == m) & (m != "")), lambda i: placed(F.lit(2), at, i)
+                ),
+            )
+        )
+        images = F.filter(usable, lambda i: i["image"])
+
+        def resolve(c: Column) -> Column:
+            item = c["item"]
+            shown = F.filter(images, lambda i: F.contains(F.lower(i["name"]), item["shows"]))
+            return F.when(item["image"], F.array(chosen(c, F.lit(0), item))).otherwise(
+                F.transform(shown, lambda i: chosen(c, i["pos"], i))
+            )
+
+        wanted = F.filter(F.concat(by_item, by_meta), lambda c: c["item"]["image"] | c["item"]["shows"].isNotNull())
+        return F.array_min(F.flatten(F.transform(wanted, resolve)))
+
+    usable = F.transform(F.filter(found["items"], lambda i: i["size"] > 0), _usable)
+    return F.get(F.transform(F.array(usable), rank), F.lit(0))
+
+
+def pick_cover(books: DataFrame, with_content: bool = False) -> DataFrame:
+    """The cover image of every archive (book_id, content) that has one.
+
+    Returns book_id, rank, name and suffix, and with ``with_content`` the image.  All is
+    done in the archive's row: one scan, no exchange.
+    """
+    kept = ["book_id", "content"] if with_content else ["book_id"]
+    items = books.select(*kept, cover_items(F.col("content")).alias("_items"))
+    best = items.select(*kept, best_cover(F.col("_items")).alias("_best")).where(F.col("_best").isNotNull())
+    found = best.select(
         "book_id",
-        F.col("best.rank").cast("bigint").alias("rank"),
-        F.col("best.cover").alias("name"),
-        image_suffix(F.col("best.cover")).alias("suffix"),
-    )
-
-
-def cover_file(stem: Column, suffix: Column) -> Column:
-    """Name of a stored cover."""
-    return F.concat(stem, F.lit("_cover"), suffix)
-
-
-def opf_cover(manifest: DataFrame, metas: DataFrame, files: DataFrame) -> DataFrame:
-    """Cover of an unpacked directory: first cover id, its item, its file."""
-    first = metas.groupBy("book_id").agg(F.min_by("item_id", "meta_pos").alias("item_id"))
-    item = manifest.groupBy("book_id", "item_id").agg(F.min_by("entry", "pos").alias("entry"))
-    found = first.join(item, ["book_id", "item_id"])
-    return found.join(files.select("book_id", "entry"), ["book_id", "entry"], "left_semi").select(
-        "book_id", "entry", image_suffix(F.col("entry")).alias("suffix")
+        F.col("_best.rank").alias("rank"),
+        F.col("_best.name").alias("name"),
+        image_suffix(F.col("_best.name")).alias("suffix"),
+        *([F.col("_best.entry").alias("entry"), "content"] if with_content else []),
     )
+    return with_entry(found).drop("entry") if with_content else found

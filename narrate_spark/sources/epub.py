@@ -1,244 +1,309 @@
-"""EPUB archives to package metadata, spine pages and manifest rows."""
+"""EPUB archives to book rows, spine pages, cover items and errors.
+
+An archive is opened once per pass, and its package document is read in the same
+pass.  What leaves the pass is one row per book and one per spine page: no row
+holds an archive, nothing is joined, and entries that nobody asked for are not
+inflated.  ``register`` makes the same pass a data source,
+``spark.read.format("epub").load(folder)``, with one file as the unit of work.
+"""
 
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from narrate_spark import constants as K
-from narrate_spark.functions.unicode import ustrip
-from narrate_spark.operators.arrays import explode_rows
-from narrate_spark.sources.files import decode_markup, suffix_of
+from narrate_spark.sources.files import decode_markup
 
 _CONTAINER = "META-INF/container.xml"
 _DC = "{http://purl.org/dc/elements/1.1/}"
 _OPF = "{http://www.idpf.org/2007/opf}"
-_NCX = "{http://www.daisy.org/z3986/2005/ncx/}"
+# An entry is one cell, and a cell holds less than 2 GB.
+_LARGEST = (1 << 31) - 64
+_NAMES = ("book_id", "stem", "part", "pos", "name", "content", "title", "author", "language", "error")
+ARCHIVE_ROWS = (
+    "book_id string, stem string, part string, pos bigint, name string, content binary, "
+    "title string, author string, language string, error string"
+)
+_ARROW = pa.schema(
+    [(n, pa.int64() if n == "pos" else pa.binary() if n == "content" else pa.string()) for n in _NAMES]
+)
+PARTS = ("book", "page")
+
+
+class _Archive:
+    """An open archive with its package document."""
+
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        self.infos = {i.filename: i for i in self.zip.infolist() if not i.is_dir()}
+        self.folder, self.root = "", None
+        box = self.read(_CONTAINER) or b""
+        place = re.search(r'full-path="([^"]+)"', box.decode("utf-8", "replace"))
+        if place and (xml := self.read(place[1])) is not None:
+            self.folder = place[1].rpartition("/")[0]
+            try:
+                self.root = ElementTree.fromstring(xml.decode("utf-8", "replace").encode("utf-8"))
+            except ElementTree.ParseError:
+                self.root = None
+
+    def read(self, name: str) -> bytes | None:
+        """An entry, or None when there is none."""
+        info = self.infos.get(name)
+        if info is None:
+            return None
+        if info.file_size > _LARGEST:
+            raise ValueError(f"{name}: larger than a cell")
+        return self.zip.read(info)
+
+    def path(self, href: str) -> str:
+        """Entry name of a manifest reference."""
+        return posixpath.normpath(posixpath.join(self.folder, unquote(href)))
+
+    def all(self, tag: str) -> list[ElementTree.Element]:
+        """Package elements of a kind, in document order."""
+        return [] if self.root is None else list(self.root.iter(f"{_OPF}{tag}"))
+
+    def first(self, tag: str) -> str | None:
+        """Text of the first metadata element of a kind."""
+        found = None if self.root is None else self.root.find(f".//{_DC}{tag}")
+        return found.text.strip() if found is not None and found.text else None
 
+    def pages(self) -> Iterator[tuple[int, str, str]]:
+        """(spine position, reference, entry) of the documents of the spine that exist."""
+        items = {}
+        for item in self.all("item"):
+            href, media = item.get("href", ""), item.get("media-type", "")
+            if media in ("application/xhtml+xml", "text/html") or _suffix(href) in K.HTML_SUFFIXES:
+                items[item.get("id")] = href  # of items with one id the last one counts
+        refs = [e.get("idref") for e in self.all("itemref")]
+        for pos, ref in enumerate(r for r in refs if r is not None and r not in K.SPINE_SKIP_IDS):
+            if ref in items and self.path(items[ref]) in self.infos:
+                yield pos, items[ref], self.path(items[ref])
 
-def read_archives(books: DataFrame, images: bool = False) -> DataFrame:
-    """One row per archive with its ``entries``; ``error`` where it is unreadable.
 
-    Each archive is opened once and stays one row, so all that follows is row
-    work without joins.  Image entries are only read when asked for.  Straight
-    after a file scan the batches are as small as the scan's partitions.
-    """
+def _suffix(path: str) -> str:
+    found = re.search(r"(?<=[^/])(\.[^./]+)\Z", path)
+    return found[1].lower() if found else ""
 
-    def read(content: bytes) -> list[dict]:
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            return [
-                {"entry": info.filename, "content": archive.read(info)}
-                for info in archive.infolist()
-                if not info.is_dir()
-                and (images or not info.filename.lower().endswith(K.IMAGE_SUFFIXES))
-            ]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for book_id, content in zip(batch["book_id"], batch["content"], strict=True):
-                try:
-                    row = (book_id, read(content), None)
-                except Exception as exc:  # noqa: BLE001  whatever an archive holds, it must not end the job
-                    row = (book_id, None, f"Corrupt or invalid ZIP: {exc}")
-                yield pd.DataFrame([row], columns=["book_id", "entries", "error"])
+def archive_rows(book_id: str | None, stem: str | None, content: bytes | None, parts: Sequence[str]) -> Iterator[dict]:
+    """Rows of one archive: its book row, and a row per spine page.
 
-    schema = "book_id string, entries array<struct<entry string, content binary>>, error string"
-    return books.select("book_id", "content").mapInPandas(run, schema)
+    Whatever an archive holds, it must not end the job: an unreadable archive is a
+    book row with its ``error``, an unreadable page a page row with one.
+    """
+    book = {"book_id": book_id, "stem": stem, "part": "book"}
+    try:
+        archive = _Archive(content or b"")
+        book |= {"title": archive.first("title"), "author": archive.first("creator"), "language": archive.first("language")}
+        pages = list(archive.pages()) if "page" in parts else []
+    except Exception as exc:  # noqa: BLE001
+        book["error"], pages = f"Corrupt or invalid ZIP: {exc}", []
+    if "book" in parts:
+        yield book
+    for pos, name, entry in pages:
+        row = {"book_id": book_id, "stem": stem, "part": "page", "pos": pos, "name": name}
+        try:
+            row["content"] = archive.read(entry)
+        except Exception as exc:  # noqa: BLE001
+            row["error"] = f"Unreadable page: {exc}"
+        yield row
 
 
-def _content(path: Column) -> Column:
-    """Content of the entry with a path, null when there is none."""
-    return F.get(F.filter("entries", lambda e: e["entry"] == path), F.lit(0))["content"]
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in _ARROW], schema=_ARROW)
 
 
-_STRINGS = T.ArrayType(T.StringType())
-_ITEM = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("id", "href", "media_type", "properties")]
-)
-_PACKAGE = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("title", "author", "language")]
-    + [
-        T.StructField("items", T.ArrayType(_ITEM)),
-        T.StructField("spine", _STRINGS),
-        T.StructField("covers", _STRINGS),
-    ]
-)
-_CONTENTS = T.ArrayType(
-    T.StructType(
-        [T.StructField("title", T.StringType()), T.StructField("filepos", T.LongType())]
-    )
-)
+# Page bytes that are sent on together at most, or one page.
+_SEND_BYTES = 8 << 20
 
 
-def _package(xml: str | None) -> tuple | None:
-    if xml is None:
-        return None
-    try:
-        root = ElementTree.fromstring(xml.encode("utf-8"))
-    except ElementTree.ParseError:
-        return None
+def read_archives(books: DataFrame, parts: Sequence[str] = PARTS) -> DataFrame:
+    """Rows of all archives (book_id, content, and stem if there is one); see ``archive_rows``.
 
-    def first(tag: str) -> str | None:
-        found = root.find(f".//{_DC}{tag}")
-        return found.text.strip() if found is not None and found.text else None
+    Only the ``parts`` asked for are made: without ``page`` no page is inflated.
+    """
+    wanted = tuple(parts)
 
-    items = [
-        {
-            "id": e.get("id"),
-            "href": e.get("href"),
-            "media_type": e.get("media-type"),
-            "properties": e.get("properties"),
-        }
-        for e in root.iter(f"{_OPF}item")
-    ]
-    spine = [e.get("idref") for e in root.iter(f"{_OPF}itemref")]
-    covers = [
-        e.get("content") for e in root.iter(f"{_OPF}meta") if e.get("name") == "cover"
-    ]
-    return first("title"), first("creator"), first("language"), items, spine, covers
-
-
-@F.pandas_udf(_PACKAGE)
-def opf_package(xml: pd.Series) -> pd.DataFrame:
-    """Package document to metadata, manifest, spine and cover ids."""
-    empty = (None, None, None, None, None, None)
-    rows = [_package(text) or empty for text in xml]
-    names = ["title", "author", "language", "items", "spine", "covers"]
-    return pd.DataFrame(rows, columns=names)
-
-
-@F.pandas_udf(_CONTENTS)
-def ncx_entries(xml: pd.Series) -> pd.Series:
-    """Contents in document order; entries without a file position are left out."""
-
-    def read(text: str | None) -> list[tuple[str, int]]:
-        if text is None:
-            return []
-        try:
-            root = ElementTree.fromstring(text.encode("utf-8"))
-        except ElementTree.ParseError:
-            return []
-        entries = []
-        for point in root.iter(f"{_NCX}navPoint"):
-            label = point.find(f"{_NCX}navLabel/{_NCX}text")
-            target = point.find(f"{_NCX}content")
-            place = re.search(r"filepos(\d+)", "" if target is None else target.get("src", ""))
-            if place:
-                title = label.text.strip() if label is not None and label.text else ""
-                entries.append({"title": title, "filepos": int(place[1])})
-        return entries
-
-    return xml.map(read)
-
-
-def packages(archives: DataFrame) -> DataFrame:
-    """Add ``opf_dir`` and the parsed ``pkg`` to readable archives."""
-    container = decode_markup(_content(F.lit(_CONTAINER)))
-    named = archives.where(F.col("error").isNull()).withColumn(
-        "_opf", F.regexp_extract(container, r'full-path="([^"]+)"', 1)
-    )
-    parsed = named.withColumn("_xml", decode_markup(_content(F.col("_opf"))))
-    return parsed.select(
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
+        for batch in batches:
+            columns = (batch.column(c) for c in ("book_id", "stem", "content"))
+            for book_id, stem, content in zip(*columns, strict=True):
+                for row in archive_rows(book_id.as_py(), stem.as_py(), content.as_py(), wanted):
+                    held.append(row)
+                    size += len(row.get("content") or b"") + 200
+                    if size > _SEND_BYTES:
+                        yield _batch(held)
+                        held, size = [], 0
+        yield _batch(held)
+
+    stem = F.col("stem") if "stem" in books.columns else F.lit(None).cast("string")
+    rows = books.select(F.col("book_id").cast("string").alias("book_id"), stem.alias("stem"), "content")
+    return rows.mapInArrow(run, ARCHIVE_ROWS)
+
+
+def spine_pages(rows: DataFrame) -> DataFrame:
+    """Spine pages of archive rows: book_id, chapter_idx, source_file, markup."""
+    pages = rows.where((F.col("part") == "page") & F.col("content").isNotNull())
+    return pages.select(
         "book_id",
-        "entries",
-        F.regexp_extract("_opf", r"\A(.*/)", 1).alias("opf_dir"),
-        opf_package(F.col("_xml")).alias("pkg"),
+        F.col("pos").alias("chapter_idx"),
+        F.col("name").alias("source_file"),
+        decode_markup(F.col("content")).alias("markup"),
     )
 
 
-def metadata(books: DataFrame, pkgs: DataFrame, use_stem: bool = False) -> DataFrame:
+def metadata(rows: DataFrame, use_stem: bool = False) -> DataFrame:
     """Title, author and language of every book with the usual defaults.
 
     With ``use_stem`` an empty title becomes the file stem, as for books that
     were unpacked from a Kindle file.
     """
-    joined = books.select("book_id", "stem").join(pkgs, "book_id", "left")
-    title = F.coalesce(F.col("pkg.title"), F.lit(""))
+    title = F.coalesce("title", F.lit(""))
     if use_stem:
         title = F.when(title == "", F.col("stem")).otherwise(title)
-    return joined.select(
+    return rows.where(F.col("part") == "book").select(
         "book_id",
         title.alias("title"),
-        F.coalesce("pkg.author", F.lit("")).alias("author"),
-        F.coalesce("pkg.language", F.lit("en")).alias("language"),
+        F.coalesce("author", F.lit("")).alias("author"),
+        F.coalesce("language", F.lit("en")).alias("language"),
     )
 
 
-def _entry_path(opf_dir: Column, href: Column) -> Column:
-    plain = F.coalesce(F.try_url_decode(F.replace(href, F.lit("+"), F.lit("%2B"))), href)
-    path = F.concat(opf_dir, plain)
-    path = F.regexp_replace(path, r"(?<=\A|/)\./", "")
-    return F.regexp_replace(path, r"(?<=\A|/)[^/]+/\.\./", "")
+def archive_errors(rows: DataFrame) -> DataFrame:
+    """(book_id, name, error) of archives and pages that cannot be read; the name is null for archives."""
+    return rows.where(F.col("error").isNotNull()).select("book_id", "name", "error")
 
 
-def manifest(pkgs: DataFrame) -> DataFrame:
-    """Manifest rows with their content, for cover selection."""
-    rows = explode_rows(pkgs, ["book_id", "opf_dir", "entries"], "pkg.items", "pos", "item")
-    rows = rows.withColumn("entry", _entry_path(F.col("opf_dir"), F.col("item.href")))
-    properties = F.coalesce("item.properties", F.lit(""))
-    return rows.select(
-        "book_id",
-        "pos",
-        F.col("item.id").alias("item_id"),
-        F.col("item.href").alias("name"),
-        F.coalesce("item.media_type", F.lit("")).alias("media_type"),
-        F.contains(properties, F.lit("cover-image")).alias("is_cover"),
-        "entry",
-        _content(F.col("entry")).alias("content"),
-    )
+_COVER_ITEM = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("pos", "size")]
+    + [T.StructField("is_cover", T.BooleanType())]
+    + [T.StructField(n, T.StringType()) for n in ("item_id", "name", "entry", "media_type", "head", "shows")]
+)
+_IMAGE_SOURCE = re.compile(r"""<img[^>]+src=["']([^"']+)["']""", re.IGNORECASE)
+COVER_ITEMS = T.StructType(
+    [T.StructField("items", T.ArrayType(_COVER_ITEM)), T.StructField("metas", T.ArrayType(T.StringType()))]
+)
 
 
-def cover_ids(pkgs: DataFrame) -> DataFrame:
-    """Cover ids named in the package metadata."""
-    rows = explode_rows(pkgs, ["book_id"], "pkg.covers", "meta_pos", "item_id")
-    return rows.where(F.col("item_id").isNotNull())
+def _cover_items(content: bytes | None) -> dict | None:
+    archive = _Archive(content or b"")
+    items = []
+    for pos, item in enumerate(archive.all("item")):
+        name, media = item.get("href", ""), item.get("media-type") or ""
+        entry = archive.path(name)
+        info = archive.infos.get(entry)
+        head = shows = None
+        if info is not None and not (media.startswith("image/") or _suffix(name) in K.IMAGE_SUFFIXES):
+            try:
+                text = archive.read(entry).decode("utf-8", "replace")
+                found = _IMAGE_SOURCE.search(text)
+                head, shows = text[:100], found[1] if found else ""
+            except Exception:  # noqa: BLE001  an unreadable page shows nothing
+                pass
+        items.append(
+            {
+                "pos": pos, "item_id": item.get("id"), "name": name, "entry": entry, "media_type": media,
+                "is_cover": "cover-image" in (item.get("properties") or ""),
+                "size": info.file_size if info is not None else 0, "head": head, "shows": shows,
+            }
+        )
+    metas = [e.get("content") for e in archive.all("meta") if e.get("name") == "cover"]
+    return {"items": items, "metas": metas}
+
+
+@F.pandas_udf(COVER_ITEMS)
+def cover_items(content: pd.Series) -> pd.DataFrame:
+    """Manifest of an archive for ``covers.best_cover``; empty for an unreadable one."""
+
+    def read(value: bytes | None) -> dict:
+        try:
+            return _cover_items(value)
+        except Exception:  # noqa: BLE001
+            return {"items": [], "metas": []}
 
+    return pd.DataFrame([read(c) for c in content], columns=["items", "metas"])
 
-def _is_document(item: Column) -> Column:
-    return item["media_type"].isin("application/xhtml+xml", "text/html") | suffix_of(
-        item["href"]
-    ).isin(*K.HTML_SUFFIXES)
 
+def with_entry(rows: DataFrame) -> DataFrame:
+    """Replace the archive in ``content`` by its entry that ``entry`` names, null without one."""
+    at = rows.columns.index("content")
 
-def spine_pages(pkgs: DataFrame) -> DataFrame:
-    """Spine positions with their pages; missing items are skipped.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):  # a batch holds no more than one archive's image
+                batch = whole.slice(i, 1)
+                content, name = batch.column("content")[0].as_py(), batch.column("entry")[0].as_py()
+                try:
+                    found = _Archive(content or b"").read(name) if name else None
+                except Exception:  # noqa: BLE001
+                    found = None
+                columns = list(batch.columns)
+                columns[at] = pa.array([found], pa.binary())
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    An item and its content are looked up inside the archive's row.
-    """
-    spine = F.filter("pkg.spine", lambda i: ~i.isin(*K.SPINE_SKIP_IDS))
-    rows = explode_rows(pkgs, ["book_id", "opf_dir", "entries", "pkg"], spine, "chapter_idx", "id")
-    same = F.filter("pkg.items", lambda item: (item["id"] == F.col("id")) & _is_document(item))
-    # of items with one id the last one counts
-    rows = rows.withColumn("source_file", F.try_element_at(same, F.lit(-1))["href"])
-    path = _entry_path(F.col("opf_dir"), F.col("source_file"))
-    rows = rows.select(
-        "book_id", "chapter_idx", "source_file", decode_markup(_content(path)).alias("markup")
-    )
-    return rows.where(F.col("markup").isNotNull())
+    return rows.mapInArrow(run, rows.schema)
 
 
-def kindle_metadata(books: DataFrame) -> DataFrame:
-    """Metadata of unpacked single-file books.
+class _File(InputPartition):
+    def __init__(self, uri: str, place: str):
+        self.uri, self.place = uri, place
 
-    ``books`` holds book_id, stem, opf (xml or null) and html_title.  The title
-    is that of the package, else of the page, else the stem.
-    """
-    read = books.withColumn("pkg", opf_package(F.col("opf")))
 
-    def given(value: Column) -> Column:
-        return F.nullif(ustrip(value), F.lit(""))
+class _Reader(DataSourceReader):
+    def __init__(self, path: str, parts: tuple[str, ...]):
+        self.path, self.parts = path, parts
 
-    return read.select(
-        "book_id",
-        F.coalesce(given(F.col("pkg.title")), given(F.col("html_title")), F.col("stem")).alias("title"),
-        F.coalesce("pkg.author", F.lit("")).alias("author"),
-        F.coalesce("pkg.language", F.lit("en")).alias("language"),
-    )
+    def _system(self) -> tuple[pyarrow.fs.FileSystem, str]:
+        uri = self.path.removeprefix("file:") if self.path.startswith("file:") else self.path
+        return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{'/' + uri.lstrip('/')}")
+
+    def partitions(self) -> list[InputPartition]:
+        system, root = self._system()
+        found = system.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
+        return [_File(self.path, f.path) for f in found if f.is_file and f.extension.lower() == "epub"]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        with self._system()[0].open_input_stream(partition.place) as stream:
+            content = stream.read()
+        stem = partition.place.rpartition("/")[2].rpartition(".")[0]
+        for row in archive_rows(partition.place, stem, content, self.parts):
+            yield tuple(row.get(n) for n in _NAMES)
+
+
+class EpubSource(DataSource):
+    """``spark.read.format("epub").option("parts", "book,page").load(folder)``, one task per file."""
+
+    @classmethod
+    def name(cls) -> str:
+        """Name of the format."""
+        return "epub"
+
+    def schema(self) -> str:
+        """Columns of ``read_archives``."""
+        return ARCHIVE_ROWS
+
+    def reader(self, schema) -> DataSourceReader:
+        """Reader of the folder that ``load`` names."""
+        return _Reader(self.options["path"], tuple(self.options.get("parts", ",".join(PARTS)).split(",")))
+
+
+def register(spark: SparkSession) -> None:
+    """Make the format known to a session."""
+    spark.dataSource.register(EpubSource)

@@ -64,12 +64,16 @@ def _anchor_at(text: Column, filepos: Column) -> Column:
     return F.when(double >= 0, double).otherwise(single)
 
 
-def toc_sections(pages: DataFrame) -> DataFrame:
-    """Cut each page at the anchors of its ``toc`` (array of title, filepos).
+def _section(title: Column, markup: Column) -> Column:
+    return F.struct(title.alias("title"), markup.alias("markup"))
+
+
+def with_toc_cut(pages: DataFrame) -> DataFrame:
+    """Add ``_cut``: each page cut at the anchors of its ``toc`` (array of title, filepos).
 
     A section starts at the tag that holds its anchor and ends at the tag of the
     next entry's anchor; without one, at the next mention of that anchor, else
-    at the end.  Entries without an anchor give no row.  Positions are found
+    at the end.  Entries without an anchor have no markup.  Positions are found
     once per entry and then shared through an array.
     """
     markup, toc = F.col("markup"), F.col("toc")
@@ -92,59 +96,37 @@ def toc_sections(pages: DataFrame) -> DataFrame:
             .when(mention >= 0, mention)
             .otherwise(F.length(markup))
         )
-        return F.struct(
-            entry["title"].alias("title"),
-            F.when(
-                at >= 0, F.substr(markup, start + 1, F.greatest(end - start, F.lit(0)))
-            ).alias("markup"),
-        )
+        body = F.when(at >= 0, F.substr(markup, start + 1, F.greatest(end - start, F.lit(0))))
+        return _section(section_title(entry["title"], i), body)
 
-    cut = tags.withColumn("_cut", F.transform(toc, section))
-    keep = [c for c in pages.columns if c not in ("markup", "toc")]
-    rows = explode_rows(cut, keep, "_cut", "pos", "_s")
-    rows = rows.where(F.col("_s.markup").isNotNull())
-    return rows.select(
-        *keep,
-        F.col("pos").alias("chapter_idx"),
-        section_title(F.col("_s.title"), F.col("pos")).alias("title"),
-        F.col("_s.markup").alias("markup"),
-    )
+    return tags.withColumn("_cut", F.transform(toc, section)).drop("_at", "_tag")
 
 
-def heading_rows(pages: DataFrame) -> DataFrame:
-    """Cut each page at its h1-h3 headings; titles keep their entities."""
-    keep = [c for c in pages.columns if c not in ("markup", "toc")]
-    rows = explode_rows(pages, keep, heading_sections(F.col("markup")), "pos", "_s")
-    head = ustrip(strip_tags(unescape_marks(F.substring_index("_s", SPLIT, 1))))
-    body = unescape_marks(F.substr("_s", F.position(F.lit(SPLIT), "_s") + 1))
-    return rows.select(
-        *keep,
-        F.col("pos").alias("chapter_idx"),
-        section_title(head, F.col("pos")).alias("title"),
-        body.alias("markup"),
-    )
-
-
-def single_rows(pages: DataFrame) -> DataFrame:
-    """Each page as one chapter."""
-    keep = [c for c in pages.columns if c not in ("markup", "toc")]
-    return pages.select(
-        *keep,
-        F.lit(0).cast("bigint").alias("chapter_idx"),
-        F.lit("Chapter 1").alias("title"),
-        "markup",
-    )
+def _headed(section: Column, index: Column) -> Column:
+    head = ustrip(strip_tags(unescape_marks(F.substring_index(section, SPLIT, 1))))
+    body = unescape_marks(F.substr(section, F.position(F.lit(SPLIT), section) + 1))
+    return _section(section_title(head, index), body)
 
 
 def html_chapters(pages: DataFrame) -> DataFrame:
     """Chapters of single-file books: by contents, else by headings, else one.
 
     ``pages`` holds book_id, markup and toc.  A book with contents never falls
-    back, even when none of its anchors is found.
+    back, even when none of its anchors is found.  Titles from headings keep their
+    entities.  Pages are read once: a page is cut in its row, and the array that
+    results says which way it went.
     """
-    with_toc = F.size(F.coalesce("toc", F.array().cast("array<struct<title:string,filepos:bigint>>"))) > 0
-    by_heading = F.col("markup").rlike(r"(?is)<(h[1-3])[^>]*>.*?</\1>")
-    parts = toc_sections(pages.where(with_toc))
-    parts = parts.unionByName(heading_rows(pages.where(~with_toc & by_heading)))
-    parts = parts.unionByName(single_rows(pages.where(~with_toc & ~by_heading)))
+    keep = [c for c in pages.columns if c not in ("markup", "toc")]
+    no_toc = F.array().cast("array<struct<title:string,filepos:bigint>>")
+    cut = with_toc_cut(pages.withColumn("toc", F.coalesce("toc", no_toc)))
+    with_toc = F.size("toc") > 0
+    cut = cut.withColumn("_heads", F.when(~with_toc, heading_sections(F.col("markup"))))
+    sections = (
+        F.when(with_toc, F.col("_cut"))
+        .when(F.size("_heads") > 0, F.transform("_heads", _headed))
+        .otherwise(F.array(_section(F.lit("Chapter 1"), F.col("markup"))))
+    )
+    rows = explode_rows(cut, keep, sections, "chapter_idx", "_s")
+    rows = rows.where(F.col("_s.markup").isNotNull())
+    parts = rows.select(*keep, "chapter_idx", F.col("_s.title").alias("title"), F.col("_s.markup").alias("markup"))
     return with_segments(with_page_text(parts), line_segments)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from narrate_spark.operators.segments import paragraph_segments, with_segments
-from narrate_spark.sources import epub
-from narrate_spark.sources.files import decode_markup, txt_chapters
-from narrate_spark.sources.markup import html_chapters, page_chapters
+from narrate_spark.sources import epub, unpacked
+from narrate_spark.sources.files import txt_chapters
+from narrate_spark.sources.markup import page_chapters
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -24,20 +24,15 @@ def parse_txt(books: DataFrame) -> DataFrame:
 
 def parse_epub(books: DataFrame) -> DataFrame:
     """EPUB archives."""
-    return page_chapters(epub.spine_pages(epub.packages(epub.read_archives(books))))
+    return page_chapters(epub.spine_pages(epub.read_archives(books, ("page",))))
 
 
 def parse_unpacked(books: DataFrame) -> DataFrame:
-    """Unpacked single-file books: content (page bytes) and ncx (xml or null)."""
-    pages = books.select(
-        "book_id",
-        decode_markup(F.col("content")).alias("markup"),
-        epub.ncx_entries(F.col("ncx")).alias("toc"),
-    )
-    return html_chapters(pages)
+    """Unpacked single-file books, as ``unpacked.unpacked_books`` gives them."""
+    return unpacked.chapters(books)
 
 
-PARSERS: dict[str, Parser] = {"txt": parse_txt, "epub": parse_epub}
+PARSERS: dict[str, Parser] = {"txt": parse_txt, "epub": parse_epub, "unpacked": parse_unpacked}
 
 
 def register_parser(form: str, parser: Parser) -> None:
@@ -61,10 +56,11 @@ def parsing_errors(books: DataFrame, chapters: DataFrame) -> DataFrame:
     """(book_id, path, error) of every book that has no row in ``chapters``.
 
     Pass the stored result of ``parse_books``, so that no book is parsed twice.
-    Only archives without a chapter are opened again, for their reason.
+    Only archives without a chapter are opened again, for their reason; no page is
+    inflated for it.
     """
     silent = books.join(chapters.select("book_id").distinct(), "book_id", "left_anti")
-    broken = epub.read_archives(silent.where(F.col("format") == "epub")).select(
+    broken = epub.read_archives(silent.where(F.col("format") == "epub"), ("book",)).select(
         "book_id", F.col("error").alias("reason")
     )
     known = F.coalesce(F.col("format").isin(*PARSERS), F.lit(False))

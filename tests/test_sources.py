@@ -1,5 +1,10 @@
+import html
+import html.entities
 import io
 import json
+import random
+import re
+import time
 import wave
 import zipfile
 
@@ -9,10 +14,12 @@ from pyspark.sql import functions as F
 from narrate_spark import sinks
 from narrate_spark.functions import markup as M
 from narrate_spark.functions import units as U
+from narrate_spark.functions.unicode import unescape_marks
 from narrate_spark.operators import jobs as J
 from narrate_spark.operators import segments as G
-from narrate_spark.sources import covers, epub, files, job_records, parsers, wav
+from narrate_spark.sources import covers, epub, files, job_records, parsers, unpacked, wav
 from narrate_spark.sources import markup as S
+from narrate_spark.sources.package_xml import ncx_entries
 
 OPF = """<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/">
 <metadata>{meta}</metadata><manifest>{items}</manifest><spine>{spine}</spine></package>"""
@@ -102,17 +109,49 @@ def test_parse_books(books):
 def test_archives_report_errors_and_metadata(books):
     good, _ = files.validate_books(books)
     archives = epub.read_archives(good.where("format = 'epub'"))
-    errors = [r.error for r in archives.collect() if r.error]
-    assert len(errors) == 1 and errors[0].startswith("Corrupt or invalid ZIP")
-    meta = epub.metadata(good.where("stem = 'One'"), epub.packages(archives)).first()
-    assert meta[1:] == ("A Book", "Someone", "es")
+    errors = epub.archive_errors(archives).collect()
+    assert len(errors) == 1 and errors[0].error.startswith("Corrupt or invalid ZIP")
+    meta = sorted(tuple(r)[1:] for r in epub.metadata(archives).collect())
+    assert meta == [("", "", "en"), ("A Book", "Someone", "es")]
+    # without pages asked for, none is read
+    only = epub.read_archives(good.where("format = 'epub'"), ("book",))
+    assert {r.part for r in only.collect()} == {"book"}
 
 
 def test_metadata_defaults(spark):
     df = spark.createDataFrame([("b", "Stem", make_epub(["<p>x</p>"], meta=""))], "book_id string, stem string, content binary")
-    pkgs = epub.packages(epub.read_archives(df))
-    assert epub.metadata(df, pkgs).first()[1:] == ("", "", "en")
-    assert epub.metadata(df, pkgs, use_stem=True).first().title == "Stem"
+    rows = epub.read_archives(df)
+    assert epub.metadata(rows).first()[1:] == ("", "", "en")
+    assert epub.metadata(rows, use_stem=True).first().title == "Stem"
+
+
+def test_archives_as_a_data_source(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "One.EPUB").write_bytes(make_epub(["<h1>T</h1><p>Uno.</p>", None, "<p>Dos.</p>"]))
+    (tmp_path / "bad.epub").write_bytes(b"not a zip")
+    (tmp_path / "note.txt").write_text("no archive")
+    epub.register(spark)
+    rows = spark.read.format("epub").load(str(tmp_path))
+    assert sorted(((r.stem, r.part, r.pos, r.error is None) for r in rows.collect()), key=str) == sorted(
+        [("One", "book", None, True), ("One", "page", 0, True), ("One", "page", 2, True), ("bad", "book", None, False)], key=str
+    )
+    chapters = S.page_chapters(epub.spine_pages(rows))
+    assert sorted((r.chapter_idx, r.title, list(r.segs)) for r in chapters.collect()) == [(0, "T", ["Uno."]), (2, "Section 3", ["Dos."])]
+    books = spark.read.format("epub").option("parts", "book").load(str(tmp_path))
+    assert {r.part for r in books.collect()} == {"book"}
+
+
+def test_strange_archives_end_no_job(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfile full-path="p.opf"/></container>')
+        z.writestr("p.opf", "<package><broken")
+    rows = [("a", None), ("b", b""), ("c", buffer.getvalue()), ("d", make_epub(["x"], extra="<item/><item id='q'/>"))]
+    df = spark.createDataFrame(rows, "book_id string, content binary")
+    got = sorted((r.book_id, r.part, r.error is None) for r in epub.read_archives(df).collect())
+    assert got == [("a", "book", False), ("b", "book", False), ("c", "book", True), ("d", "book", True), ("d", "page", True)]
+    assert covers.pick_cover(df).collect() == []
+    assert epub.read_archives(df.limit(0)).collect() == []
 
 
 def test_cover_from_archive(spark, tmp_path):
@@ -121,18 +160,13 @@ def test_cover_from_archive(spark, tmp_path):
         '<item id="pic" href="img/front.jpg" media-type="image/jpeg"/>'
     )
     df = spark.createDataFrame([("b", make_epub(["<p>x</p>"], extra=extra))], "book_id string, content binary")
-    pkgs = epub.packages(epub.read_archives(df, images=True))
-    manifest = epub.manifest(pkgs)
-    cover = covers.pick_cover(manifest, epub.cover_ids(pkgs))
-    row = cover.first()
+    row = covers.pick_cover(df).first()
     assert (row["rank"], row["name"], row["suffix"]) == (4, "img/front.jpg", ".jpg")
-    content = cover.join(manifest, ["book_id", "name"]).select(F.lit("Stem").alias("stem"), "suffix", "content")
+    plan = covers.pick_cover(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    content = covers.pick_cover(df, with_content=True).select(F.lit("Stem").alias("stem"), "suffix", "content")
     sinks.write_covers(content, str(tmp_path))
     assert (tmp_path / "Stem_cover.jpg").read_bytes() == b"\xff\xd8jpeg"
-    found = covers.opf_cover(
-        manifest, spark.createDataFrame([("b", 0, "pic")], "book_id string, meta_pos int, item_id string"), manifest
-    )
-    assert found.first().entry == "OEBPS/img/front.jpg"
 
 
 NCX = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{}</navMap></ncx>'
@@ -165,11 +199,49 @@ def test_contents_and_sections(spark):
     ]
 
 
+def test_unpacked_directories(spark, tmp_path):
+    opf = OPF.format(
+        meta='<dc:title>T</dc:title><meta content="pic" name="cover"/><meta name="cover" content="none"/>',
+        items="<item media-type='a>b' href='front.jpeg' id='pic'/><!-- <item id='pic' href='x'/> -->", spine="",
+    )
+    for name, given in {
+        "one": {"book.html": '<a id="filepos5" /><p>x</p>', "content.opf": opf, "toc.ncx": NCX.format(nav("A", "#filepos5")), "front.jpeg": "j"},
+        "two": {"z.html": "<h1>Z</h1>z", "a.htm": "<p>a</p>", "content.opf": opf},
+        "none": {"content.opf": opf, "front.jpeg": "j"},
+        "bare": {"b.xhtml": "<title> </title>b"},
+    }.items():
+        (tmp_path / name).mkdir()
+        for file, text in given.items():
+            (tmp_path / name / file).write_text(text)
+    books = unpacked.unpacked_books(files.scan_files(spark, str(tmp_path)))
+    got = {r.stem: (r.format, bytes(r.content)[:4], r.opf is None, r.ncx is None, len(r["names"])) for r in books.collect()}
+    assert got == {
+        "one": ("unpacked", b"<a i", False, False, 4), "two": ("unpacked", b"<p>a", False, True, 3), "bare": ("unpacked", b"<tit", True, True, 1),
+    }
+    chapters = {(r.book_id.rsplit("/", 1)[1], r.title, *r.segs) for r in parsers.parse_books(books).collect()}
+    assert chapters == {("one", "A", "x"), ("two", "Chapter 1", "a"), ("bare", "Chapter 1", "b")}
+    assert sorted(tuple(r)[1:] for r in unpacked.metadata(books).collect()) == [("T", "", "en"), ("T", "", "en"), ("bare", "", "en")]
+    found = [(r.book_id.rsplit("/", 1)[1], r["name"], r.suffix) for r in unpacked.opf_cover(books).collect()]
+    assert found == [("one", "front.jpeg", ".jpeg")]
+    plan = unpacked.chapters(books)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "MapIn" not in plan
+
+
+def test_broken_contents_count_as_none(spark):
+    good = NCX.format(nav("A", "#filepos1"))
+    cases = [None, "", "broken <", good[:-6], good.replace("</navMap>", ""), good.replace("A<", "&nosuch;<"), good, '<!DOCTYPE ncx PUBLIC "a" "http://x/y.dtd">' + good]
+    cases.append(NCX.format(nav("A", "#filepos99999999999999999999") + "<!--" + nav("B", "#filepos2") + "-->"))
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, x string")
+    got = {r.i: [tuple(e) for e in r.e] for r in df.select("i", ncx_entries(F.col("x")).alias("e")).collect()}
+    assert got == {i: [("A", 1)] if i in (6, 7) else [] for i in range(len(cases))}
+
+
 def test_unpacked_metadata(spark):
     opf = OPF.format(meta="<dc:title>T</dc:title><dc:language> de </dc:language>", items="", spine="")
     rows = [("a", "stem", opf, "H"), ("b", "stem", "<broken", "H"), ("c", "stem", None, "")]
     df = spark.createDataFrame(rows, "book_id string, stem string, opf string, html_title string")
-    got = sorted(tuple(r) for r in epub.kindle_metadata(df).collect())
+    df = df.select("book_id", "stem", "opf", F.concat(F.lit("<title>"), "html_title", F.lit("</title>")).cast("binary").alias("content"))
+    got = sorted(tuple(r) for r in unpacked.metadata(df).collect())
     assert got == [("a", "T", "", "de"), ("b", "H", "", "en"), ("c", "stem", "", "en")]
 
 
@@ -184,6 +256,45 @@ def test_markup(spark):
     assert S.page_chapters(df).first().title == "Section 4"
 
 
+def test_unescape_equals_the_standard_library(spark):
+    rnd = random.Random(2)
+    names = list(html.entities.html5)
+    texts = ["&" + n for n in names] + ["&" + n + "x;" for n in names] + [f"&#{n};" for n in range(200)]
+    texts += ["&#x110000;", "&#xD800;", "&#xFDD0;", "&#x1FFFE", "&#99999999999999999999;", "&#xFFFFFFFFFFFFFFFFFFFFFF;", "&#;", "&#x;", "&", "&&amp;", "&amp;lt;", ""]
+    parts = ["&", "#", "x", "X", ";", "amp", "lt", "not", "notin", "in", "1", "41", "é", " ", "AMP", "copy", "\n", "&nbsp;", "\ue000", "<"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", M.unescape(F.col("t")).alias("u"))
+    assert "EvalPython" not in df._jdf.queryExecution().executedPlan().toString()
+    wrong = [(r.t, r.u, html.unescape(r.t)) for r in df.collect() if r.u != html.unescape(r.t)]
+    assert wrong == []
+
+
+def test_headings_equal_the_plain_pattern_and_take_linear_time(spark):
+    rnd = random.Random(3)
+    parts = ["<h1>", "</h1>", "<h2 a='b'>", "</H2>", "<H3>", "</h3>", "t", "<p>", ">", "<h1", "\ufdd0", "\ufdd6", "<", "</h1"]
+    pages = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    cut = F.transform(M.heading_sections(F.col("m")), lambda s: unescape_marks(F.replace(s, F.lit(M.SPLIT), F.lit("|"))))
+    df = spark.createDataFrame([(p,) for p in pages], "m string").select("m", cut.alias("s"), M.heading(F.col("m")).alias("h"))
+    for r in df.collect():
+        found = list(re.finditer(r"(?is)<(h[1-3])[^>]*>(.*?)</\1>", r.m))
+        ends = [f.start() for f in found[1:]] + [len(r.m)] * bool(found)
+        assert r.s == [f"{f[2]}|{r.m[f.end() : e]}" for f, e in zip(found, ends, strict=True)], r.m
+        levels = [re.search(rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", r.m) for n in range(1, 7)]
+        texts = [re.sub("<[^>]+>", "", f[1]).strip() for f in levels if f]
+        assert r.h == next((t for t in texts if t), "")
+    start = time.perf_counter()
+    for page in ("<h1>open " * 20_000, "<h2>open " * 20_000 + "</h1>", "<h1>a</h1>" * 20_000):
+        one = spark.createDataFrame([(page,)], "m string")
+        one.select(F.size(M.heading_sections(F.col("m"))), M.heading(F.col("m"))).collect()
+    assert time.perf_counter() - start < 6
+
+
+def test_single_file_books_are_read_once(spark, tmp_path):
+    spark.createDataFrame([("b", b"<h1>A</h1>x", None)], "book_id string, content binary, ncx string").write.parquet(str(tmp_path / "p"))
+    plan = unpacked.chapters(spark.read.parquet(str(tmp_path / "p")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "EvalPython" not in plan and "MapIn" not in plan
+
+
 def test_wav_scan(spark):
     odd = bytearray(make_wav(22050, 2, 2, 10))
     odd[12:12] = b"LIST\x04\x00\x00\x00abcd"
