@@ -45,13 +45,9 @@ _WORDS = bytes(b"\x20"[0] if common.NOT_ALNUM[i] else ord(chr(i).lower()) if i <
 _SEEDS = common.mix(np.arange(100, 100 + PROBES, dtype=np.uint64)) | np.uint64(1)
 
 
-def exact_shingles(text: str | None) -> set[tuple[bytes, ...]]:
+def exact_shingles(text: str | None, size: int = SIZE) -> set[tuple[bytes, ...]]:
     """Distinct shingles of a text: A-Z lower-cased, words of letters, digits and non-ASCII characters."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split(b" ")
-    words = [w for w in words if w]
-    if not words:
-        return set()
-    size = min(SIZE, len(words))
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
     return set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
@@ -60,12 +56,19 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids = [i for i, _ in items]
-        self.exact = [exact_shingles(t) for _, t in items]
+        # an item of fewer than five words is one shingle of its own length, looked for as such
+        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}
+        self.exact = []
+        for k, (_, text) in enumerate(items):
+            words = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+            self.exact.append(exact_shingles(text, max(1, min(SIZE, len(words)))))
+            if 0 < len(words) < SIZE:
+                self.short.setdefault(len(words), {}).setdefault(tuple(words), []).append(k)
         self.sizes = np.array([len(s) for s in self.exact])
         probes: list[tuple[int, int]] = []
         self.hits = np.full(len(items), HITS)
         for k, (_, text) in enumerate(items):
-            all_ = common.shingles(common.word_hashes(text, common.NOT_ALNUM), SIZE)
+            all_ = self.hashed(text)
             if len(all_) <= PROBES:  # a small item: all shingles, of which 80 % must be there
                 self.hits[k] = -(-len(all_) * THRESHOLD // 100)
                 chosen = all_
@@ -80,9 +83,25 @@ class ItemIndex:
         self.first = np.zeros(1 << 20, bool)
         self.first[self.probe >> np.uint64(44)] = True
 
+    @staticmethod
+    def hashed(text: str | None) -> np.ndarray:
+        """Hashes of the five-word shingles of a whole text; a shorter one has none."""
+        words = common.word_hashes(text, common.NOT_ALNUM)
+        return common.shingles(words, SIZE) if len(words) >= SIZE else words[:0]
+
     def find(self, text: str | None) -> list[tuple[int, int]]:
         """(item, shared shingles) of each item that the whole text contains."""
-        all_ = common.shingles(common.word_hashes(text, common.NOT_ALNUM), SIZE)
+        return self._find_short(text) + self._find_long(text)
+
+    def _find_short(self, text: str | None) -> list[tuple[int, int]]:
+        found = []
+        for size, items in self.short.items():
+            for words in items.keys() & exact_shingles(text, size):
+                found += [(k, 1) for k in items[words]]
+        return found
+
+    def _find_long(self, text: str | None) -> list[tuple[int, int]]:
+        all_ = self.hashed(text)
         some = all_[self.first[all_ >> np.uint64(44)]]
         if not len(some):
             return []
@@ -113,8 +132,9 @@ def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[ItemIndex]:
 def find_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and item that it contains by 80 % or more.
 
-    A text of fewer than five words is one shingle of all of them; without words, and
-    for a null text, there is nothing to find.  Repeated documents and items
+    An item of fewer than five words is one shingle of its own length, and found wherever
+    its words stand one after another; longer ones have shingles of five words.  Without
+    words, and for a null text, there is nothing to find.  Repeated documents and items
     give repeated rows; null ids are kept.  Without documents or items there is no row.
     """
     spark = docs.sparkSession
@@ -159,18 +179,21 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 _SHINGLES = r"""
-  SELECT {id}, unnest(list_distinct(
-    CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
-         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
-  FROM (SELECT {id}, regexp_extract_all(
-          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table})
+  SELECT {id}, k, unnest(list_distinct(
+    CASE WHEN len(w) >= k THEN [array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)] ELSE [] END)) AS s
+  FROM {words}
+"""
+_CUT = r"""
+  SELECT {id}, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}
 """
 ORACLE_SQL = f"""
-WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
-i AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+WITH dw AS ({_CUT.format(id="doc_id", table="documents")}),
+iw AS (SELECT item_id, w, least(len(w), 5) AS k FROM ({_CUT.format(id="item_id", table="benchmark")}) WHERE len(w) > 0),
+d AS ({_SHINGLES.format(id="doc_id", words="dw, (SELECT DISTINCT k FROM iw)")}),
+i AS ({_SHINGLES.format(id="item_id", words="iw")}),
 n AS (SELECT item_id, count(*) AS item_shingles FROM i GROUP BY item_id),
-c AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (s) GROUP BY doc_id, item_id)
+c AS (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN i USING (k, s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, shared, item_shingles, CAST(shared AS DOUBLE) / item_shingles AS containment
 FROM c JOIN n USING (item_id) WHERE 100 * shared >= 80 * item_shingles
 """

@@ -82,56 +82,68 @@ def _strings(values: list[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-def _starts(places: Column, by_pos: Column, phrase: str) -> Column:
-    """Places where the phrase's words stand one after another."""
-    first, *rest = phrase.split()
-    starts = F.transform(F.filter(places, lambda p: p["word"] == first), lambda p: p["pos"])
+def _stands(places: Column, first: Column, at: Column, words: list[str]) -> Column:
+    """Whether words stand from place ``at`` on, the first one as the ``first``-th licence word of the text.
 
-    def whole(at: Column) -> Column:
-        same = F.lit(True)
-        for i, word in enumerate(rest, 1):
-            same = same & F.coalesce(F.element_at(by_pos, at + i) == word, F.lit(False))
-        return same
+    Words that follow one another are neighbours among the licence words too, so
+    each is looked up by its number.
+    """
+    same = F.lit(True)
+    for i, word in enumerate(words):
+        place = F.get(places, first + i)
+        same = same & F.coalesce((place["pos"] == at + i) & (place["word"] == word), F.lit(False))
+    return same
 
-    return F.filter(starts, whole)
 
+def _numbered(places: Column, word: str) -> Column:
+    """Places (number among the licence words, pos) of a word."""
+    every = F.transform(places, lambda p, j: F.struct(j.alias("j"), p["pos"].alias("pos"), p["word"].alias("word")))
+    return F.filter(every, lambda p: p["word"] == word)
 
-def _score(by_pos: Column, at: Column, words: list[str], weights: dict[str, float]) -> Column:
-    """Share of the template's weight that stands in its place when it starts at ``at``."""
-    total = sum(weights[w] for w in words)
-    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("word"), F.lit(weights[w]).alias("weight")) for i, w in enumerate(words)))
-    met = F.aggregate(
-        pairs,
-        F.lit(0.0),
-        lambda s, p: s + F.when(F.coalesce(F.element_at(by_pos, at + p["i"]) == p["word"], F.lit(False)), p["weight"]).otherwise(0.0),
-    )
-    return met / F.lit(total)
 
+def _starts(places: Column, phrase: str) -> Column:
+    """Places where the phrase's words stand one after another."""
+    words = phrase.split()
+    whole = F.filter(_numbered(places, words[0]), lambda p: _stands(places, p["j"], p["pos"], words))
+    return F.transform(whole, lambda p: p["pos"])
 
-def _proposed(word: str, postings: list[int]) -> Column:
-    """Starts at which one of the template's given places of a word falls on one of the text's."""
-    own = F.filter("places", lambda p: p["word"] == word)
-    return F.flatten(F.transform(own, lambda p: F.array(*(p["pos"] - at for at in postings))))
 
+def _template_score(places: Column, template: tuple[str, str, str], weights: dict[str, float]) -> Column:
+    """Best score of a template in a text: the key phrase's rarest word proposes starts, the whole phrase admits them.
 
-def _template_score(template: tuple[str, str, str], weights: dict[str, float]) -> Column:
-    """Best score of a template in a text: the key phrase's rarest word proposes starts, the whole phrase admits them."""
+    The score is the share of the template's weight that stands in its place.  Its
+    words stand within as many licence words of the key phrase as it has words.
+    """
     _, text, key = template
     words, key_words = text.split(), key.split()
     key_at = next(i for i in range(len(words)) if words[i : i + len(key_words)] == key_words)
     rare = min(key_words, key=lambda w: (-weights[w], w))
-    starts = _proposed(rare, [key_at + i for i, x in enumerate(key_words) if x == rare])
+    total = sum(weights[w] for w in words)
 
-    def admitted(at: Column) -> Column:
-        same = F.lit(True)
-        for i, word in enumerate(key_words):
-            same = same & F.coalesce(F.element_at("by_pos", at + key_at + i) == word, F.lit(False))
-        return same
+    def score(p: Column, behind: int) -> Column:
+        at = p["pos"] - behind - key_at
+        low = F.greatest(p["j"] - len(words), F.lit(0))
+        near = F.slice(places, low + 1, F.lit(2 * len(words) + 1))
+        met = F.aggregate(
+            near,
+            F.lit(0.0),
+            lambda s, q: s
+            + F.when(
+                (q["pos"] >= at) & (F.get(_strings(words), q["pos"] - at) == q["word"]),
+                F.get(F.array(*(F.lit(weights[w]) for w in words)), q["pos"] - at),
+            ).otherwise(0.0),
+        )
+        return met / F.lit(total)
+
+    def best_at(behind: int) -> Column:
+        admitted = F.filter(
+            _numbered(places, rare), lambda p: _stands(places, p["j"] - behind, p["pos"] - behind, key_words)
+        )
+        return F.coalesce(F.array_max(F.transform(admitted, lambda p: score(p, behind))), F.lit(0.0))
 
-    admitted_ = F.filter(F.array_distinct(starts), admitted)
-    best = F.array_max(F.transform(admitted_, lambda at: _score(F.col("by_pos"), at, words, weights)))
+    best = F.greatest(F.lit(0.0), *(best_at(i) for i, w in enumerate(key_words) if w == rare))
     has_key = F.size(F.array_except(_strings(sorted(set(key_words))), "found")) == 0
-    return F.when(has_key, F.coalesce(best, F.lit(0.0))).otherwise(0.0)
+    return F.when(has_key, best).otherwise(0.0)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -146,7 +158,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     index = common.stored(word_index(docs))
     weights = word_weights(index)
     found = F.array_distinct(F.transform("places", lambda p: p["word"]))
-    # an empty map unless some phrase's words are all there
+    # no places unless some phrase's words are all there
     needed = [p for p, _ in PHRASES] + [k for _, _, k in TEMPLATES]
     hopeful = F.lit(False)
     for phrase in needed:
@@ -154,13 +166,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = index.withColumn("found", found).withColumn("hopeful", hopeful)
     scanned = (
         rows.withColumn("places", F.when(F.col("hopeful"), F.col("places")).otherwise(F.filter("places", lambda p: F.lit(False))))
-        .withColumn("by_pos", F.map_from_entries("places"))
         .select(
             "doc_id",
             "n_words",
-            *(_starts(F.col("places"), F.col("by_pos"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)),
+            *(_starts(F.col("places"), p).alias(f"p{i}") for i, (p, _) in enumerate(PHRASES)),
             *(
-                F.when(F.col("hopeful"), _template_score(t, weights)).otherwise(0.0).alias(f"t{i}")
+                F.when(F.col("hopeful"), _template_score(F.col("places"), t, weights)).otherwise(0.0).alias(f"t{i}")
                 for i, t in enumerate(TEMPLATES)
             ),
         )

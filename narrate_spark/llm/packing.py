@@ -144,7 +144,7 @@ def place_pieces(pieces: DataFrame, window: int = WINDOW, share: int = SHARE) ->
         if rows:
             yield packed()[1]
 
-    return pieces.repartition("doc_id", "start").mapInArrow(
+    return pieces.repartition("doc_id", "start", "ids_crc32").mapInArrow(
         pack, f"{_PIECE_DDL}, sequence_id bigint, offset bigint"
     )
 

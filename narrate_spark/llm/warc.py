@@ -198,6 +198,10 @@ def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     )
 
 
+# What a record takes besides its url and html.
+RECORD_BYTES = 500
+
+
 def write_warc(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write pages (page_id, url, html, refers_to) as ARC records, convert them and write WARC archives.
 
@@ -232,7 +236,8 @@ def write_warc(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFram
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 held.append(row)
-                size += len(row[2] or "")
+                # also a page without html is a record
+                size += len(row[2] or "") + len(row[1] or "") + RECORD_BYTES
                 if size >= CONVERT_BYTES:
                     convert()
                     held.clear()
