@@ -182,11 +182,9 @@ def write_token_files(
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .withColumn("drawn", F.xxhash64("text"))
-        # rows that share a doc_id are dealt by text
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), "drawn")
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "drawn", "text")
-        .drop("drawn")
+        # rows that share a doc_id are dealt by how their texts begin
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     )
     return common.stored(
         ordered.mapInArrow(write, "part int, seq int, file string, n_docs bigint, n_ids bigint")
