@@ -13,8 +13,9 @@ deepest level in use: documents whose nodes are branched again get further trees
 until a pair at the threshold is missed with a probability below one in ten thousand.
 
 What the trees find are candidates.  Links are confirmed on the full sets: first
-every document's most similar candidate in the nodes of the first trees alone.  Nodes
-of all trees in which one component is left need no comparison.
+every document's most similar candidate of another component in the nodes of the first
+trees alone, in rounds.  Nodes of all trees in which one component is left need no
+comparison.
 Candidates of different components that are left tie their documents to clusters,
 in each of which a document stands once, however many nodes it shares with the
 others.  A cluster gets the full sets, and each candidate that is not connected
@@ -54,8 +55,10 @@ CLUSTER = 250
 # Coordinates of the sketch (two bits each) that must agree; at the threshold
 # this is five standard deviations below the mean.
 AGREE = 189
-# Trees whose candidates are confirmed before the others are grown.
+# Trees whose candidates are confirmed before the others are grown, in rounds; a round that
+# adds no more than one in so many links is the last.  Later steps find what is left.
 FIRST_TREES = 2
+MORE = 10
 
 _WORDS = COORDINATES // 32
 _SETS = pa.schema(
@@ -427,13 +430,22 @@ def _linked(docs: DataFrame, size: int, threshold: int) -> DataFrame:
     sketches = groups.select("doc", "n", "sketch")
 
     first = shared_nodes(branch(groups, FIRST_LEVELS, threshold, range(FIRST_TREES)))
-    rows = deal_large(first.withColumn("comp", F.col("doc")), NODE, False).join(sketches, "doc")
-    found = common.stored(best_candidates(rows, threshold))
-    wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
-    some = full_sets(docs, wanted, size)
-    links = confirm(found, some, threshold)
-    common.drop(some, found)
-    labels = components(links)
+    links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    labels, known = links, 0
+    while True:  # each round links components to their best candidates, so few rounds leave few of them
+        several = several_components(first, labels)
+        found = common.stored(best_candidates(deal_large(several, NODE, False).join(sketches, "doc"), threshold))
+        wanted = found.select(F.col("a").alias("doc_id")).union(found.select("b")).distinct()
+        some = full_sets(docs, wanted, size)
+        new = confirm(found, some, threshold)
+        common.drop(several, found, some)
+        more = new.count()
+        if more:
+            links = links.union(new)
+            labels = components(links)
+        known += more
+        if more * MORE <= known:
+            break
     others = shared_nodes(branch(groups, FIRST_LEVELS, threshold, range(FIRST_TREES, TREES[FIRST_LEVELS])))
     grown = grow_trees(groups, first.union(others), labels, threshold)
     common.drop(first, others)
