@@ -57,7 +57,8 @@ def test_title_anchor(spark):
     assert [e[1] for e in events(spark, "Once.\nMore.", title="Other")] == ["text"]
 
 
-def test_plan_matches_plain_walk(spark):
+def test_rules_hold_for_random_plans(spark):
+    """What the plan of any chapter keeps to, stated as rules on its events."""
     rng = random.Random(3)
     lines = ["Foo bar. Baz!", "***", "Page 2", "Chapter 4", "Etc. no end", "---", "¿ Qué ? Sí.", "xvi", "A. B. C."]
     books = [
@@ -67,10 +68,30 @@ def test_plan_matches_plain_walk(spark):
     df = spark.createDataFrame([("b", i, "zzz", b) for i, b in enumerate(books)], SCHEMA).repartition(4)
     got = {}
     for r in P.synthesis_plan(df, max_chars=12).collect():
-        got.setdefault(r.chapter_idx, []).append((r.seg_pos, r.event_idx, r.kind, r.text, r.pause_ms, r.seg_pause_ms))
+        got.setdefault((r.chapter_idx, r.seg_pos), []).append(r)
     norms = {r.chapter_idx: r.norms for r in A.with_normalized(df).collect()}
-    for i in range(len(books)):
-        assert sorted(got.get(i, [])) == plain.plan(norms[i], "zzz", 12)
+    pause_of = {K.SCENE_BREAK_MARKER: 1500, K.CHAPTER_TITLE_MARKER: 1200}
+    for i, segments in norms.items():
+        cut = [plain.chunks(n, 12) for n in segments]
+        spoken = {at for at, c in enumerate(cut) if any(x not in pause_of for x in c)}
+        silent = {at for at, c in enumerate(cut) if c} - spoken
+        kept = {at for c, at in got if c == i}
+        # every segment with text is there; of segments in a row that only pause, the first one is
+        assert spoken <= kept <= spoken | silent
+        for at in silent:
+            earlier = [k for k in range(at) if k in spoken or k in silent]
+            assert (at in kept) == (not earlier or earlier[-1] in spoken)
+        for at in kept:
+            rows = sorted(got[i, at], key=lambda r: r.event_idx)
+            assert [r.event_idx for r in rows] == list(range(len(rows)))
+            assert [r.text for r in rows if r.kind == "text"] == [x for x in cut[at] if x not in pause_of]
+            assert all(a.kind == "text" or b.kind == "text" for a, b in zip(rows, rows[1:], strict=False))
+            # a pause is as long as the longest marker between its neighbours
+            groups = "".join("T" if x not in pause_of else "S" if pause_of[x] == 1500 else "C" for x in cut[at])
+            longest = [1500 if "S" in g else 1200 for g in groups.split("T") if g]
+            assert [r.pause_ms for r in rows if r.kind == "pause"] == longest
+            last = at == len(segments) - 1
+            assert {r.seg_pause_ms for r in rows} == {2500 if last else 0 if at in silent else 700}
 
 
 def test_segment_numbers_run_through_the_book(spark):
