@@ -154,6 +154,15 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     return out
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new shared folder for files of tasks; inside of ``scratch`` it goes at its end."""
+    folder = shared_folder(spark)
+    made = _MADE.get()
+    if made is not None:
+        made.add(folder)
+    return folder
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

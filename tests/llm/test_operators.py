@@ -444,6 +444,46 @@ def test_search_and_ties(spark, docs, monkeypatch):
     assert {r["query_id"] for r in got} == {10, 11, 1000} & {d for d, _ in rows}
 
 
+def test_search_shard_against_all_postings():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.4, rng.integers(0, 60)) % 300) for _ in range(200)]
+    texts += texts[:40] + [None, ""]
+    counts = [search.term_counts(t) for t in texts]
+    average = sum(n.sum() for _, n in counts) / len(texts)
+    shard = search.Shard.from_bytes(search.Shard.build([*range(len(texts) - 1), None], counts).to_bytes())
+    shard.weigh(average, 8)
+    asked = list(range(0, 240, 7))
+    terms = np.concatenate([counts[q][0] for q in asked])
+    number = np.repeat(np.arange(len(asked)), [len(counts[q][0]) for q in asked])
+    df = {t: sum(t in set(own.tolist()) for own, _ in counts) for t in set(terms.tolist())}
+    idf = np.array([np.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) for t in terms.tolist()])
+    for floor in (0, 4 * search.UNIT):
+        least = np.full(len(asked), float(floor))
+        query, place, units = shard.search(number, terms, idf, 5, least)
+        for i, _ in enumerate(asked):
+            weight = dict(zip(terms[number == i].tolist(), idf[number == i].tolist(), strict=True))
+            want = []
+            for own, n in counts:
+                part = n * (search.K1 + 1) / (n + search.K1 * (1 - search.B + search.B * (n.sum() / average)))
+                want.append(sum(int(np.floor(weight[t] * p * search.UNIT + 0.5)) for t, p in zip(own.tolist(), part.tolist(), strict=True) if t in weight))
+            kth = max(sorted(want)[-5], floor, 1)
+            assert {d: u for d, u in enumerate(want) if u >= kth} == dict(zip(place[query == i].tolist(), units[query == i].tolist(), strict=True))
+
+
+def test_search_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_DOCS", 3)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(search, "QUERY_TERMS", 3)
+    rows = [(d, f"alpha beta{i % 4} gamma{i % 3}", "x") for i, d in enumerate([None, 1, 1, 2, None, 5, 6, 7, 8, 9, 10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
+    asked = spark.createDataFrame([(1, "alpha"), (1, "beta1"), (2, "gamma0 beta0"), (3, ""), (None, "alpha"), (4, "alpha")], "query_id long, text string")
+    got = search.search(docs, asked, 4).collect()
+    assert {r["query_id"] for r in got} == {1, 2, 4}
+    assert all([r["rank"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [1, 2, 3, 4] for q in (1, 2, 4))
+    every = [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 4]
+    assert every == [None, None, 1, 1]  # all tie: null ids first, then smaller ones
+
+
 def test_quality_on_held_out_rows(spark):
     rows = queries.QUERIES["op2_quality"](spark, "/root/testdata/sf0.01").collect()
     labels = {r["doc_id"]: r["quality"] for r in common.table(spark, "/root/testdata/sf0.01", "labels").collect()}
