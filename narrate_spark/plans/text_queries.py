@@ -127,6 +127,21 @@ def q_missing(spark, sf_dir):
     return rows.select(*KEY, format_range(F.col("first"), F.col("last")).alias("available"))
 
 
+def q_selection_errors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    doc = F.col("doc_id").cast("string")
+    rule = F.col("doc_id") % 8
+    spec = (
+        F.when(rule == 0, F.lit("0-2000000000")).when(rule == 1, F.lit("1-4000000000")).when(rule == 2, F.lit("5-1"))
+        .when(rule == 3, F.lit("1,x")).when(rule == 4, F.concat(doc, F.lit(","), doc)).when(rule == 5, F.concat(F.lit(" 3 - 9 ,"), doc, F.lit(",4-12")))
+        .when(rule == 6, F.concat(doc, F.lit("-"), (F.col("doc_id") + 20).cast("string"))).otherwise(doc)
+    )
+    requests = docs.select(F.col("doc_id").alias("request_id"), F.col("source").alias("book_id"), spec.alias("spec"))
+    chapters = docs.select(F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_idx"))
+    rows = G.check_selections(chapters, requests)
+    return rows.select("request_id", "book_id", "ranges", F.col("named").cast("bigint").alias("named"), "available", F.coalesce("error", F.lit("")).alias("error"))
+
+
 def q_words_kept(spark, sf_dir):
     return A.word_check(segmented(spark, sf_dir)).groupBy("book_id").agg(
         F.count(F.lit(1)).alias("chapters"),
@@ -169,6 +184,7 @@ QUERIES = {
     "plan_size": q_plan_size,
     "chapter_selection": q_selected,
     "selection_missing": q_missing,
+    "selection_errors": q_selection_errors,
     "word_preservation": q_words_kept,
     "chunk_fingerprint": q_fingerprint,
 }
@@ -237,6 +253,19 @@ ORACLES = {
     "r AS (SELECT source AS book_id, min(doc_id) || '-' || max(doc_id) AS available FROM documents GROUP BY source) "
     "SELECT a.*, r.available FROM a JOIN r USING (book_id) WHERE (book_id, chapter_idx) NOT IN "
     "(SELECT (source, doc_id) FROM documents)",
+    "selection_errors": "WITH d AS (SELECT doc_id::BIGINT AS i, source AS book_id FROM documents), "
+    "r AS (SELECT i, book_id, unnest(CASE i % 8 WHEN 0 THEN [[0, 2000000000]] WHEN 1 THEN [[1, 4000000000]] WHEN 2 THEN [] WHEN 3 THEN [] "
+    "WHEN 5 THEN CASE WHEN i BETWEEN 3 AND 13 THEN [[3, greatest(i, 12)]] WHEN i = 2 THEN [[2, 12]] WHEN i < 2 THEN [[i, i], [3, 12]] "
+    "ELSE [[3, 12], [i, i]] END WHEN 6 THEN [[i, i + 20]] ELSE [[i, i]] END) AS p FROM d), "
+    "c AS (SELECT r.i, p, (SELECT count(DISTINCT d.i) FROM d WHERE d.book_id = r.book_id AND d.i BETWEEN p[1] AND p[2]) AS n FROM r), "
+    "s AS (SELECT i, string_agg(CASE WHEN p[1] = p[2] THEN p[1]::VARCHAR ELSE p[1] || '-' || p[2] END, ',' ORDER BY p[1]) AS ranges, "
+    "sum(p[2] - p[1] + 1)::BIGINT AS named, sum(n)::BIGINT AS available FROM c GROUP BY i), "
+    "b AS (SELECT book_id, min(i) || '-' || max(i) AS span FROM d GROUP BY book_id), "
+    "j AS (SELECT d.i, d.book_id, span, coalesce(ranges, '') AS ranges, coalesce(named, 0) AS named, coalesce(available, 0) AS available "
+    "FROM d JOIN b USING (book_id) LEFT JOIN s USING (i)) "
+    "SELECT i AS request_id, book_id, ranges, named, available, CASE WHEN i % 8 = 3 THEN 'Invalid chapter specification.' "
+    "WHEN named = 0 THEN 'Chapter selection is empty. Available indices: ' || span WHEN available < named THEN "
+    "'Chapter indices out of range: ' || (named - available) || '. Available indices: ' || span ELSE '' END AS error FROM j",
     "word_preservation": f"WITH {_COUNTS}, w AS (SELECT book_id, sum({sql.words('text')})::BIGINT AS words FROM chunk GROUP BY book_id) "
     "SELECT book_id, a.chapters, w.words, 0::BIGINT AS n_different FROM w JOIN "
     "(SELECT book_id, count(*) AS chapters FROM analysis GROUP BY book_id) a USING (book_id)",

@@ -6,6 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from narrate_spark.functions import normalize, units
+from narrate_spark.operators import segments
 from narrate_spark.sources import epub, wav
 
 
@@ -58,3 +59,24 @@ def test_abbreviation_with_any_number_of_marks(spark):
     rows = [("He said no" + "\u2014" * n + ". Yes he did. End",) for n in counts]
     found = spark.createDataFrame(rows, "t string").select(sentences.split_sentences(F.col("t")).alias("s")).collect()
     assert [r.s for r in found] == [[t.removesuffix(" End"), "End"] for (t,) in rows]
+
+
+def test_selections_stay_ranges(spark):
+    chapters = spark.createDataFrame([("a", i) for i in (0, 1, 2, 5, 5)] + [(None, 3)], "book_id string, chapter_idx long")
+    specs = [
+        (1, "a", "0-2000000000"), (2, "a", "5-1"), (3, "a", "x"), (4, "a", "2,0-1,5,5"), (5, "a", None), (6, "a", "0-9223372036854775807"),
+        (7, "b", "1"), (8, "a", "0-1,2"), (9, None, "3"), (10, "a", "4-6,1-2,9-8"),
+    ]
+    requests = spark.createDataFrame(specs, "request_id long, book_id string, spec string")
+    got = {r["request_id"]: r for r in segments.check_selections(chapters, requests).collect()}
+    assert len(got) == len(specs)
+    assert (got[1]["ranges"], int(got[1]["named"]), got[1]["available"]) == ("0-2000000000", 2_000_000_001, 4)
+    assert got[1]["error"] == "Chapter indices out of range: 1999999997. Available indices: 0-5"
+    assert got[2]["error"] == "Chapter selection is empty. Available indices: 0-5"
+    assert got[3]["error"] == got[5]["error"] == "Invalid chapter specification."
+    assert (got[4]["ranges"], got[4]["available"], got[4]["error"]) == ("0-2,5", 4, None)
+    assert int(got[6]["named"]) == 1 << 63 and got[6]["available"] == 4
+    assert got[7]["error"] == "Chapter indices out of range: 1. Available indices: (none)"
+    assert (got[8]["ranges"], got[8]["error"]) == ("0-2", None)
+    assert (got[10]["ranges"], got[10]["available"]) == ("1-2,4-6", 3)
+    assert segments.check_selections(chapters.limit(0), requests.limit(0)).count() == 0
