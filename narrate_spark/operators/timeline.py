@@ -9,6 +9,7 @@ from narrate_spark import constants as K
 from narrate_spark.functions.units import (
     chapter_dir,
     frames_to_ms,
+    index_from_name,
     ms_to_frames,
     segment_file,
 )
@@ -121,6 +122,24 @@ def concat_list(segments: DataFrame, root: str) -> DataFrame:
     )
 
 
+def assembly_manifest(files: DataFrame) -> DataFrame:
+    """Segment files of each book in the order they are joined: book_id, path, position.
+
+    ``files``: book_id, path (``.../<chapter>/<segment>.wav``; others are left out).  The
+    numbers in both names give the order; a name without one counts as 0, and equal numbers
+    go by name.  The same path twice is one file.  Positions come from an ordered scan, so
+    a book may have any number of files.
+    """
+    place = F.split("path", "/")
+    stem = F.regexp_extract("path", r"(?s)/(seg_[^/]*)\.wav\z", 1)
+    named = files.select("book_id", "path", F.element_at(F.slice(F.concat(F.array(F.lit("")), place), -2, 1), 1).alias("chapter"), stem.alias("stem"))
+    named = named.where("stem <> ''").distinct().withColumns(
+        {"chapter_no": index_from_name(F.col("chapter")), "segment_no": index_from_name(F.col("stem"))}
+    )
+    order = ["chapter_no", "chapter", "segment_no", "stem", "path"]
+    return sum_before(named, ["book_id"], order, F.lit(1), "position").select("book_id", "path", "position")
+
+
 def format_mismatches(parts: DataFrame) -> DataFrame:
     """Parts whose PCM format differs from the first part of their chapter."""
     fmt = F.struct("channels", "width", "rate")

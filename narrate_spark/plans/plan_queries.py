@@ -198,6 +198,15 @@ def q_order(spark, sf_dir):
     return docs.select("doc_id", name.alias("name"), index_from_name(name).alias("number"))
 
 
+def q_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").cast("bigint").alias("doc"))
+    number = F.col("doc").cast("string")
+    chapter = F.when(F.col("doc") % 7 == 3, F.lit("cover")).otherwise(F.concat(F.lit("ch_"), (F.col("doc") % 11).cast("string")))
+    name = F.when(F.col("doc") % 5 == 4, F.concat(F.lit("note_"), number)).otherwise(F.concat(F.lit("seg_"), number))
+    files = docs.select("book_id", F.concat(F.lit("out/"), chapter, F.lit("/"), name, F.lit(".wav")).alias("path"))
+    return T.assembly_manifest(files)
+
+
 QUERIES = {
     "title_anchor": q_anchor,
     "plan_events": q_events,
@@ -213,6 +222,7 @@ QUERIES = {
     "format_mismatch": q_mismatch,
     "merged_frames": q_merged,
     "assembly_order": q_order,
+    "assembly_manifest": q_manifest,
 }
 
 _FIRST = sql.strip("string_split(raw, chr(10))[1]")
@@ -305,4 +315,8 @@ ORACLES = {
     "(sum(frames) + (count(*) - 1) * 2400)::BIGINT AS frames FROM au GROUP BY book_id, chapter_idx",
     "assembly_order": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ch_' || lpad(doc_id::VARCHAR, 8, '0') WHEN 1 THEN 'seg_' || doc_id "
     "WHEN 2 THEN 'ch' || doc_id ELSE 'ch_x' || doc_id END AS name, CASE WHEN doc_id % 4 < 2 THEN doc_id ELSE 0 END AS number FROM documents",
+    "assembly_manifest": "WITH d AS (SELECT source AS book_id, doc_id AS n, CASE WHEN doc_id % 7 = 3 THEN 'cover' ELSE 'ch_' || doc_id % 11 END AS chapter, "
+    "CASE WHEN doc_id % 7 = 3 THEN 0 ELSE doc_id % 11 END AS c FROM documents WHERE doc_id % 5 <> 4) "
+    "SELECT book_id, 'out/' || chapter || '/seg_' || n || '.wav' AS path, "
+    "row_number() OVER (PARTITION BY book_id ORDER BY c, chapter, n) - 1 AS position FROM d",
 }

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from narrate_spark.functions import normalize, units
-from narrate_spark.operators import segments
+from narrate_spark.operators import segments, timeline
 from narrate_spark.sources import epub, wav
 
 
@@ -80,3 +80,11 @@ def test_selections_stay_ranges(spark):
     assert (got[8]["ranges"], got[8]["error"]) == ("0-2", None)
     assert (got[10]["ranges"], got[10]["available"]) == ("1-2,4-6", 3)
     assert segments.check_selections(chapters.limit(0), requests.limit(0)).count() == 0
+
+
+def test_manifest_order(spark):
+    names = ["w/ch_10/seg_2.wav", "w/ch_2/seg_10.wav", "w/ch_2/seg_9.wav", "w/ch_x/seg_1.wav", "w/ch_2/seg_9.wav", "w/ch_0/seg_0.wav", "w/ch_2/cover.jpg", "seg_1.wav", ""]
+    files = spark.createDataFrame([("a", n) for n in names] + [(None, "c/seg_.wav"), ("b", None)], "book_id string, path string")
+    got = {(r["book_id"], r["position"]): r["path"] for r in timeline.assembly_manifest(files).collect()}
+    want = ["w/ch_0/seg_0.wav", "w/ch_x/seg_1.wav", "w/ch_2/seg_9.wav", "w/ch_2/seg_10.wav", "w/ch_10/seg_2.wav"]
+    assert got == {("a", i): n for i, n in enumerate(want)} | {(None, 0): "c/seg_.wav"}
