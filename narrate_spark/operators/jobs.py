@@ -48,9 +48,14 @@ def can_resume(state: Column) -> Column:
 
 
 def progress_text(done: Column, total: Column) -> Column:
-    """``done/total (pct%)``; a total of 0 divides as 1."""
+    """``done/total (pct%)``; a total of 0 divides as 1.
+
+    The percentage is rounded from the double's exact value, ties to even.  The ``%.1f`` of
+    ``format_string`` rounds its shortest decimal form instead, ties up.
+    """
     pct = 100.0 * done / F.when(total == 0, 1).otherwise(total)
-    return F.format_string("%d/%d (%.1f%%)", done.cast("bigint"), total.cast("bigint"), pct)
+    shown = F.call_function("format_number", pct, F.lit("0.0"))
+    return F.format_string("%d/%d (%s%%)", done.cast("bigint"), total.cast("bigint"), shown)
 
 
 def job_listing(jobs: DataFrame) -> DataFrame:

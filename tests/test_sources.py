@@ -378,3 +378,9 @@ def test_tables_and_side_files(spark, tmp_path):
     sinks.write_side_files(rows, str(tmp_path / "s"), "text", ["chapter_idx"])
     parts = sorted((tmp_path / "s" / "book_id=b").glob("part-*"))
     assert "".join(p.read_text() for p in parts) == "one\ntwo\n"
+
+
+def test_progress_is_rounded_from_its_exact_value(spark):
+    df = spark.createDataFrame([(1, 16), (3, 16), (3, 2000), (16, 16), (30, 16), (0, 0)], "done bigint, total bigint")
+    got = [r.p for r in df.select(J.progress_text(F.col("done"), F.col("total")).alias("p")).collect()]
+    assert got == ["1/16 (6.2%)", "3/16 (18.8%)", "3/2000 (0.1%)", "16/16 (100.0%)", "30/16 (187.5%)", "0/0 (0.0%)"]
