@@ -50,11 +50,17 @@ def with_segments(
     return explode_rows(chapters, keep, held, "_pos", "segs").drop("_pos")
 
 
-def with_segment_offset(chapters: DataFrame) -> DataFrame:
-    """Add ``seg_offset``: segments in earlier chapters of the book."""
+def segment_offsets(chapters: DataFrame) -> DataFrame:
+    """Narrow rows of chapters: the key, ``seg_offset`` (segments in earlier chapters of the book), ``segments``."""
     counts = chapters.select(*CHAPTER_KEY, F.size("segs").alias("n"))
     offsets = sum_before(counts, ["book_id"], "chapter_idx", F.col("n"), "seg_offset")
-    return chapters.join(offsets.drop("value"), CHAPTER_KEY)
+    return offsets.select(*CHAPTER_KEY, "seg_offset", F.col("value").alias("segments"))
+
+
+def with_segment_offset(chapters: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
+    """Add ``seg_offset``; ``offsets`` are the chapters' ``segment_offsets`` where they are known already."""
+    offsets = segment_offsets(chapters) if offsets is None else offsets
+    return chapters.join(offsets.drop("segments"), CHAPTER_KEY)
 
 
 def explode_segments(chapters: DataFrame) -> DataFrame:

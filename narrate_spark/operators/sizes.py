@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 # A side up to this planned size is broadcast.
 BROADCAST_BYTES = 8 << 20
-# Below this many input bytes per core a scan is spread before text work.
-SPREAD_BYTES_PER_CORE = 64 << 20
-# Input bytes that make one partition of a spread scan.
-SPREAD_BYTES = 256 << 10
+# Input bytes of one partition of a spread scan: of a large input, and of a small one as
+# long as it has no more than ``SPREAD_TASKS`` partitions per core.
+SPREAD_BYTES = 4 << 20
+SPREAD_LEAST_BYTES = 256 << 10
+SPREAD_TASKS = 3
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -29,16 +30,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if planned_bytes(df) <= BROADCAST_BYTES else df
 
 
-def spread(df: DataFrame, key: str, like: DataFrame | None = None) -> DataFrame:
-    """Spread a small input over all cores.
+def spread_parts(size: int, cores: int, part_bytes: int = SPREAD_BYTES) -> int:
+    """Partitions of a spread scan of so many bytes."""
+    return max(size // part_bytes, min(cores * SPREAD_TASKS, size // SPREAD_LEAST_BYTES)) + 1
 
-    A file with one row group is read by one task, which is fine to read and
-    slow to analyse.  The shuffle is only added while the input is small; a
-    large input has enough row groups and stays where it is.  A stream is sized
-    by the table it replays (``like``).
+
+def spread(df: DataFrame, *keys: str, like: DataFrame | None = None, part_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Spread an input by its keys over partitions of a bounded size.
+
+    A scan gives tasks of whole row groups, several files at a time, which are fine to read
+    and slow to analyse: text work takes a hundred times as long as the exchange.  The number
+    of partitions follows the size of the input, so a larger one has more tasks, not longer
+    ones.  A stream is sized by the table it replays (``like``).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = input_bytes(like or df)
-    if size < cores * SPREAD_BYTES_PER_CORE:
-        return df.repartition(min(cores * 3, size // SPREAD_BYTES + 1), key)
-    return df
+    return df.repartition(spread_parts(input_bytes(like or df), cores, part_bytes), *keys)

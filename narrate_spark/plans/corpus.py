@@ -64,18 +64,18 @@ def chapter_title(doc: Column, text: Column) -> Column:
 
 def document_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source is a book, each document a chapter (indices have gaps)."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
-    return docs.select(
+    docs = table(spark, sf_dir, "documents").select(
         F.col("source").alias("book_id"),
         F.col("doc_id").alias("chapter_idx"),
         chapter_title(F.col("doc_id"), F.col("text")).alias("title"),
         "text",
     )
+    return spread(docs, "book_id", "chapter_idx")
 
 
 def narration_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document chapters with narration lines written into the text."""
-    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
+    docs = spread(table(spark, sf_dir, "documents"), "source", "doc_id")
     return docs.select(
         F.col("source").alias("book_id"),
         F.col("doc_id").alias("chapter_idx"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +20,13 @@ from narrate_spark.sources import markup as S
 from narrate_spark.sources.package_xml import ncx_entries
 
 KEY = ["book_id", "chapter_idx"]
+# Input bytes of one partition of pages; archives are made of them and read in Python.
+PAGE_BYTES = 1 << 20
 
 
 def pages(spark, sf_dir) -> DataFrame:
-    """Pages, spread over the cores while they are few."""
-    return spread(table(spark, sf_dir, "pages"), "page_id")
+    """Pages, spread over partitions of a bounded size."""
+    return spread(table(spark, sf_dir, "pages"), "page_id", part_bytes=PAGE_BYTES)
 
 
 def _varied(page: Column, html: Column) -> Column:
@@ -165,27 +167,35 @@ def _pictures(r: int) -> tuple[str, dict[str, str]]:
     return items, entries
 
 
+# Archives that are made and sent on together.
+_ARCHIVES = 256
+
+
 def _archives(batches):
-    for batch in batches:
-        made = []
-        for page_id, html in zip(batch["page_id"], batch["html"], strict=True):
-            buffer = io.BytesIO()
-            items, entries = _pictures(page_id % 7)
-            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("META-INF/container.xml", _BOX)
-                archive.writestr("OPS/book.opf", _OPF.format(_told(page_id), items))
-                archive.writestr("OPS/nav.xhtml", "<p>Contents</p>")
-                archive.writestr("OPS/text/page one.xhtml", html)
-                for name, text in entries.items():
-                    archive.writestr(f"OPS/{name}", text)
-            made.append((str(page_id), f"book-{page_id}", buffer.getvalue()))
-        yield pd.DataFrame(made, columns=["book_id", "stem", "content"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ARCHIVES):
+            batch = whole.slice(at, _ARCHIVES)
+            made = []
+            for page_id, html in zip(batch.column("page_id"), batch.column("html"), strict=True):
+                page = page_id.as_py()
+                buffer = io.BytesIO()
+                items, entries = _pictures(page % 7)
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+                    archive.writestr("META-INF/container.xml", _BOX)
+                    archive.writestr("OPS/book.opf", _OPF.format(_told(page), items))
+                    archive.writestr("OPS/nav.xhtml", "<p>Contents</p>")
+                    archive.writestr("OPS/text/page one.xhtml", html.as_py())
+                    for name, text in entries.items():
+                        archive.writestr(f"OPS/{name}", text)
+                made.append((str(page), f"book-{page}", buffer.getvalue()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["book_id", "stem", "content"])
 
 
 def epub_books(spark, sf_dir) -> DataFrame:
     """Each page as a small EPUB archive."""
     rows = pages(spark, sf_dir).select("page_id", "html")
-    return rows.mapInPandas(_archives, "book_id string, stem string, content binary")
+    return rows.mapInArrow(_archives, "book_id string, stem string, content binary")
 
 
 def _damaged_books(spark, sf_dir) -> DataFrame:

@@ -72,14 +72,20 @@ def markers(spark, sf_dir) -> DataFrame:
     return T.chapter_markers(T.chapter_durations(segments), titles.select(*KEY, "title"))
 
 
-def _done(spark, sf_dir) -> DataFrame:
-    """Artifacts that exist already: three per segment of the labelled documents."""
+def _plan_and_done(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The plan, and artifacts that exist already: three per segment of the labelled documents.
+
+    The segments of a chapter are counted once for both, and the artifacts need no text.
+    """
+    chapters = segmented(spark, sf_dir)
+    offsets = G.segment_offsets(chapters)
+    plan = P.synthesis_plan(G.with_segment_offset(chapters, offsets))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chapter_idx"))
-    chapters = G.with_segment_offset(segmented(spark, sf_dir))
-    rows = G.explode_segments(chapters.join(labels, "chapter_idx", "left_semi"))
+    numbers = F.sequence("seg_offset", F.col("seg_offset") + F.col("segments") - 1)
+    rows = offsets.join(labels, "chapter_idx", "left_semi").select(*KEY, F.explode(numbers).alias("seg_idx"))
     made = rows.select(*KEY, "seg_idx", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("event"))
     name = artifact_name(F.col("chapter_idx"), F.col("seg_idx"), F.col("event"))
-    return made.select("book_id", name.alias("artifact"))
+    return plan, made.select("book_id", name.alias("artifact"))
 
 
 def q_events(spark, sf_dir):
@@ -107,12 +113,11 @@ def q_anchor(spark, sf_dir):
 
 
 def q_pending(spark, sf_dir):
-    pending = P.pending_work(full_plan(spark, sf_dir), _done(spark, sf_dir))
-    return pending.select("book_id", "artifact", "kind")
+    return P.pending_work(*_plan_and_done(spark, sf_dir)).select("book_id", "artifact", "kind")
 
 
 def q_progress(spark, sf_dir):
-    return P.plan_progress(full_plan(spark, sf_dir), _done(spark, sf_dir))
+    return P.plan_progress(*_plan_and_done(spark, sf_dir))
 
 
 def q_pause_formats(spark, sf_dir):
