@@ -164,12 +164,22 @@ def member(record: bytes) -> bytes:
     return z.compress(record) + z.flush()
 
 
+# Compressed bytes that a record is read by; what is left of them behind its end is read again.
+READ_BYTES = 8 << 10
+
+
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and content block of each record of a compressed WARC archive."""
-    while data:
-        z = zlib.decompressobj(31)
-        record = z.decompress(data) + z.flush()
-        data = z.unused_data
+    view, at = memoryview(data), 0
+    while at < len(data):
+        z, pieces = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at : at + READ_BYTES]
+            if not piece:
+                raise ValueError("a damaged WARC record")
+            pieces.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        record = b"".join(pieces)
         head, _, rest = record.partition(b"\r\n\r\n")
         version, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         fields = dict(line.split(": ", 1) for line in lines)

@@ -532,3 +532,31 @@ def test_pipeline(spark):
         before = docs.count()
     placed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert placed.select("doc_id").distinct().count() == before
+
+
+def test_warc_archive_is_read_once(monkeypatch):
+    fields = {"URL": "http://a.org/", "IP-address": "0.0.0.0", "Archive-date": "20240101000000", "Content-type": "text/html"}
+    rng = random.Random(5)
+    blocks = [b"HTTP/1.1 200 OK\r\n\r\n" + rng.randbytes(n % 900) for n in range(3000)] + [b"x" * 100000 + rng.randbytes(50000)]
+    data = b"".join(warc.member(warc.warc_record(fields, b, i, None, False)) for i, b in enumerate(blocks))
+    handed = []
+
+    class Counting:
+        def __init__(self, *args):
+            self.z = real(*args)
+
+        def decompress(self, piece):
+            handed.append(len(piece))
+            return self.z.decompress(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.z, name)
+
+    real = warc.zlib.decompressobj
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    read = [(warc.record_number(f["WARC-Record-ID"]), b) for f, b in warc.warc_records(data)]
+    assert read == list(enumerate(blocks))
+    assert sum(handed) <= len(data) + (len(blocks) << 13)
+    for cut in (1, 40, len(data) // 2, len(data) - 1):
+        with pytest.raises(ValueError):
+            list(warc.warc_records(data[:cut]))
