@@ -108,6 +108,14 @@ def _headed(section: Column, index: Column) -> Column:
     return _section(section_title(head, index), body)
 
 
+def heading_rows(pages: DataFrame) -> DataFrame:
+    """Sections of pages (``markup``) by their headings: chapter_idx, title, markup; pages without headings have none."""
+    keep = [c for c in pages.columns if c not in ("markup", "toc")]
+    cut = F.transform(heading_sections(F.col("markup")), _headed)
+    rows = explode_rows(pages, keep, cut, "chapter_idx", "_s")
+    return rows.select(*keep, "chapter_idx", F.col("_s.title").alias("title"), F.col("_s.markup").alias("markup"))
+
+
 def html_chapters(pages: DataFrame) -> DataFrame:
     """Chapters of single-file books: by contents, else by headings, else one.
 
