@@ -12,6 +12,9 @@ BROADCAST_BYTES = 8 << 20
 SPREAD_BYTES = 4 << 20
 SPREAD_LEAST_BYTES = 256 << 10
 SPREAD_TASKS = 3
+# From so many input bytes per core on a scan is left as it lies: an exchange among that many
+# partitions costs more than uneven tasks, which are many for each core by then.
+SPREAD_BYTES_PER_CORE = 64 << 30
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -44,4 +47,7 @@ def spread(df: DataFrame, *keys: str, like: DataFrame | None = None, part_bytes:
     ones.  A stream is sized by the table it replays (``like``).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(spread_parts(input_bytes(like or df), cores, part_bytes), *keys)
+    size = input_bytes(like or df)
+    if size >= cores * SPREAD_BYTES_PER_CORE:
+        return df
+    return df.repartition(spread_parts(size, cores, part_bytes), *keys)
