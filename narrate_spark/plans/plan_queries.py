@@ -64,9 +64,18 @@ def audio_events(plan: DataFrame) -> DataFrame:
     )
 
 
+def chapter_audio(spark, sf_dir) -> DataFrame:
+    """Audio events whose segments are numbered inside their chapter.
+
+    Sums over a chapter need no book-wide numbers, so the text is read once.
+    """
+    plan = P.synthesis_plan(segmented(spark, sf_dir))
+    return audio_events(plan.withColumnRenamed("seg_pos", "seg_idx"))
+
+
 def markers(spark, sf_dir) -> DataFrame:
     """Chapter markers of the assumed audio."""
-    segments = T.segment_audio(audio_events(full_plan(spark, sf_dir)))
+    segments = T.segment_audio(chapter_audio(spark, sf_dir))
     # every fifth chapter has no stored title, to use the default
     titles = document_chapters(spark, sf_dir).where(F.col("chapter_idx") % 5 != 0)
     return T.chapter_markers(T.chapter_durations(segments), titles.select(*KEY, "title"))
@@ -187,8 +196,7 @@ def q_mismatch(spark, sf_dir):
 
 
 def q_merged(spark, sf_dir):
-    parts = audio_events(full_plan(spark, sf_dir))
-    return T.merged_frames(parts, 100)
+    return T.merged_frames(chapter_audio(spark, sf_dir), 100)
 
 
 def q_order(spark, sf_dir):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from narrate_spark.operators import segments as G
 from narrate_spark.operators import sizes
-from narrate_spark.plans import page_queries
+from narrate_spark.plans import page_queries, plan_queries
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_a_larger_input_has_more_partitions(spark, monkeypatch):
@@ -44,3 +46,12 @@ def test_archives_are_sent_on_in_bounded_batches():
     assert sum(b.num_rows for b in made) == n
     assert max(b.num_rows for b in made) <= 256
     assert made[1].column("book_id")[0].as_py() == "256"
+
+
+def test_sums_over_chapters_read_the_text_once(spark, monkeypatch):
+    def no_second_pass(chapters):
+        raise AssertionError("segments are counted in a pass of their own")
+
+    monkeypatch.setattr(G, "segment_offsets", no_second_pass)
+    for rows in (plan_queries.markers(spark, SMALL), plan_queries.q_merged(spark, SMALL)):
+        assert rows.count() > 0
