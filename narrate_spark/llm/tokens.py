@@ -1,23 +1,53 @@
 """Token ids of whole texts by a given tokenizer file, with a cache of words.
 
 Merges never cross the pieces that a pre-tokenizer cuts, so a text can be cut
-between pieces, and each distinct piece encoded once per worker.  New pieces of
-a batch are encoded together, with a separator between them that is a token of
-its own.  Texts that hold an added token, or characters on which white-space
-rules of pattern engines differ, are encoded whole, without the cache.
+between pieces, and each distinct piece encoded once per worker.  A byte-level
+tokenizer cuts a word of Latin letters and the marks behind it in two, so such a
+piece goes to the tokenizer's merges at once, without its search for pieces.
+Other new pieces of a batch are encoded together, with a separator between them
+that is a token of its own.  Texts that hold an added token, or characters on
+which white-space rules of pattern engines differ, are encoded whole, without the
+cache.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 # Characters that Python counts as white space and the tokenizers do not, and the marks used here.
 ODD = re.compile("[\x1c-\x1f\x00\x01]")
+# A piece of Latin letters, whose class no Unicode version changes, and ASCII marks but for the apostrophe.
+WORD = re.compile("(\x00 |[\x00\n]|)([A-Za-zªµºÀ-ÖØ-öø-ʯ]+)([!-&(-/:-@\\[-`{-~]*)\\Z")
+# Characters that stand for bytes in a byte-level vocabulary: printable ones for themselves.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_OTHERS = itertools.count(256)
+BYTE_CHARS = {b: chr(b if b in _PRINTED else next(_OTHERS)) for b in range(256)}
 # Pieces kept per worker; a full cache keeps the first quarter, in which frequent pieces are.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_000_000
+
+
+class _Pieces(dict):
+    """Ids of pieces; those of a missing one are made."""
+
+    def __init__(self, make: Callable[[str], bytes | None], kept=()):
+        super().__init__(kept)
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes | None:
+        return self.make(piece)
+
+
+def _cuts_words(tokenizer) -> bool:
+    """Whether a tokenizer is merges of bytes behind the usual byte-level pieces and nothing else."""
+    said = json.loads(tokenizer.to_str())
+    cut, model = said["pre_tokenizer"] or {}, said["model"]
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+    return bool(usual) and said["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout")
 
 
 class Encoder:
@@ -36,9 +66,40 @@ class Encoder:
         # a separator that is one id and stands in no piece
         self.between = "\n" if spaced else " \x01 "
         self.mark = self.plain(self.between)[0] if spaced else self.plain("\x01")[0]
-        self.cache: dict[str, bytes] = {}
+        self.line = np.array([self.mark], "<u4").tobytes()
+        self.model, self.words = self.tokenizer.model, spaced and _cuts_words(self.tokenizer)
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        self.marks: dict[str, bytes] = {"": b""}
+        self.later: dict[str, None] = {}  # pieces to learn together
+        self.cache = _Pieces(self.make)
         self.limit = limit
 
+    def merged(self, piece: str) -> bytes:
+        """Ids of one piece as the tokenizer cuts it, in the characters of its vocabulary."""
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(piece)])
+
+    def make(self, piece: str) -> bytes | None:
+        """Ids of a new word, which are kept; another piece is noted and gives none yet."""
+        if self.words and piece.isascii() and piece.isalpha():  # most pieces
+            self.cache[piece] = ids = self.merged(BYTE_CHARS[32] + piece)
+            return ids
+        found = WORD.match(piece) if self.words else None
+        if found is None:
+            self.later[piece] = None
+            return None
+        lead, letters, marks = found.groups()
+        ids = self.cache.get(letters) if marks and not lead else None
+        if ids is None:
+            said = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = self.merged(said if lead in ("\x00", "\n") else BYTE_CHARS[32] + said)
+        if marks not in self.marks:
+            if len(self.marks) >= self.limit:
+                self.marks = {"": b""}
+            self.marks[marks] = self.merged(marks)
+        ids += self.marks[marks]
+        self.cache[piece] = ids = self.line + ids if lead == "\n" else ids
+        return ids
+
     def plain(self, text: str) -> np.ndarray:
         """Ids of a text by the tokenizer itself."""
         # the batch form leaves out the places of tokens, which take half of the time
@@ -84,30 +145,38 @@ class Encoder:
             parts = [raw[a:b] for a, b in zip(starts, stops, strict=True)]
         else:  # a piece holds the separator's id
             parts = [self.plain(p).tobytes() for p in said]
-        line = np.array([self.mark], "<u4").tobytes()
         for piece, part in zip(pieces, parts, strict=True):
-            self.cache[piece] = line + part if self.spaced and piece[0] == "\n" else part
+            self.cache[piece] = self.line + part if self.spaced and piece[0] == "\n" else part
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text as bytes; a null is an empty text."""
         cut = [
             None if not t or ODD.search(t) or any(a in t for a in self.added) else self.cut(t) for t in texts
         ]
-        new = set().union(*(c for c in cut if c)).difference(self.cache)
-        if len(new) + len(self.cache) > self.limit:
-            self.cache = dict(itertools.islice(self.cache.items(), self.limit // 4))
-            new = set().union(*(c for c in cut if c)).difference(self.cache)
-        self.learn(list(new))
+        if len(self.cache) > self.limit:
+            self.cache = _Pieces(self.make, itertools.islice(self.cache.items(), self.limit // 4))
         get = self.cache.__getitem__
-        return [
-            (self.plain(t).tobytes() if t else b"") if c is None else b"".join(map(get, c))
-            for t, c in zip(texts, cut, strict=True)
-        ]
+        out: list[bytes] = []
+        again = []
+        for i, (t, c) in enumerate(zip(texts, cut, strict=True)):
+            if c is None:
+                out.append(self.plain(t).tobytes() if t else b"")
+                continue
+            ids = list(map(get, c))
+            if self.later and None in ids:
+                again.append(i)
+            out.append(b"" if again and again[-1] == i else b"".join(ids))
+        if again:
+            self.learn(list(self.later))
+            self.later.clear()
+        for i in again:
+            out[i] = b"".join(map(get, cut[i]))
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 # Texts are encoded in groups of at most so many characters (or one text).
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 
 
 def encoder(path: str, spaced: bool) -> Encoder:

@@ -149,6 +149,27 @@ def test_encoder_equals_the_tokenizer(name, spaced):
             assert raw == (e.plain(t).tobytes() if t else b""), repr(t)
 
 
+def test_words_and_marks_go_to_the_merges_at_once():
+    rnd = random.Random(6)
+    e = tokens.Encoder(tokens.public_path("byte_bpe_50k.json"), True, 3000)
+    letters = "etaoinshrETAX" + "ªµºÀÖØöøßéſǅʯ"
+    marks = ["", "", ".", ",", "###", "$$$", "...", "?!", "_", "-", "\\", "`~", '"', "[]"]
+    learnt, learn = [], e.learn
+    e.learn = lambda pieces: (learnt.extend(pieces), learn(pieces))
+
+    def word():
+        return "".join(rnd.choices(letters, k=rnd.randint(1, 9))) + rnd.choice(marks)
+
+    texts = [rnd.choice(["", " "]) + "".join(word() + rnd.choice([" ", " ", "\n"]) for _ in range(40)) + word() for _ in range(500)]
+    for at in range(0, len(texts), 25):
+        for t, raw in zip(texts[at : at + 25], e.encode(texts[at : at + 25]), strict=True):
+            assert raw == e.plain(t).tobytes(), repr(t)
+    assert all(p.strip("\x00").isspace() for p in learnt)
+    mixed = ["it's l'été, 12 an-ti", "über中 a1 x's", "ab\u0301 ×÷ ʰa b²"]
+    assert e.encode(mixed) == [e.plain(t).tobytes() for t in mixed]
+    assert "12" in learnt and "it's" not in e.later
+
+
 def test_elias_fano_selects():
     for values in ([], [0], [0, 0, 0], [5, 5, 900_000], sorted(random.Random(2).choices(range(10**7), k=3000))):
         own = token_files.EliasFano.of(np.array(values, np.int64))
