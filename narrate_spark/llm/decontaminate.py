@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from narrate_spark.llm import common
+from narrate_spark.llm import common, tokens
 
 SIZE = 5
 THRESHOLD = 80  # percent
@@ -165,6 +165,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOC
         sent = spark.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            tokens.forget()
             for b in batches:
                 keep = [not sent.value.find(text) for text in b.column("text").to_pylist()]
                 yield b.filter(pa.array(keep, pa.bool_()))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from narrate_spark.llm import common
+from narrate_spark.llm import common, tokens
 
 BITS = 18
 TRAIN_ROWS = 16_000
@@ -58,16 +58,16 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         count = lambda is_: np.diff(np.cumsum(is_[data])[np.stack((starts, ends - 1))], axis=0)[0] + is_[data[starts]]
         lower = np.where(_IS_UPPER[data], data + 32, data).astype(np.uint8)
-        tokens = common.hash_runs(lower, starts, ends)
+        hashes = common.hash_runs(lower, starts, ends)
         first, size = data[starts], ends - starts
         upper, small, digits = count(_IS_UPPER), count(_IS_LOWER), count(_IS_DIGIT)
         shape = np.where(digits > 0, 3, np.where((upper > 1) & (small == 0), 2, np.where(_IS_UPPER[first], 1, 0)))
         punct = _KIND[first] == 2
         shape = np.where(punct, 16 + 4 * first.astype(np.int64) + np.minimum(size, 4) - 1, shape).astype(np.uint64)
-        again = np.zeros(len(tokens), np.uint64)
-        again[1:] = tokens[1:] == tokens[:-1]
+        again = np.zeros(len(hashes), np.uint64)
+        again[1:] = hashes[1:] == hashes[:-1]
         shape = shape * np.uint64(2) + again
-        hashed = np.concatenate((_grams(tokens, 1, _SALTS[0]), _grams(tokens, 2, _SALTS[1]), _grams(shape, 3, _SALTS[2])))
+        hashed = np.concatenate((_grams(hashes, 1, _SALTS[0]), _grams(hashes, 2, _SALTS[1]), _grams(shape, 3, _SALTS[2])))
     index, tf = np.unique((hashed >> np.uint64(64 - BITS)).astype(np.int64), return_counts=True)
     return index, np.sqrt(tf / tf.sum()).astype(np.float32)
 
@@ -124,6 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
         return pa.RecordBatch.from_arrays([pa.array([weights]), pa.array([len(seen)], pa.int64())], ["weights", "rows"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         shard, seen = None, []
         for b in batches:
             for own, text, label in zip(*(b.column(c).to_pylist() for c in ("shard", "text", "quality")), strict=True):
@@ -165,6 +166,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for b in batches:
             scores = _scores(sent.value, b.column("text").to_pylist())
             yield common.batch({"doc_id": b.column("doc_id"), "score": scores}, SCORED)
@@ -177,6 +179,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, cut: float = CUT) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for b in batches:
             keep = [s >= cut for s in _scores(sent.value, b.column("text").to_pylist())]
             yield b.filter(pa.array(keep, pa.bool_()))

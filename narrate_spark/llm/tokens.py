@@ -187,6 +187,11 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _ENCODERS[key]
 
 
+def forget() -> None:
+    """Free the encoders of this worker process, which tasks without tokens would hold on to."""
+    _ENCODERS.clear()
+
+
 def encode_all(path: str, spaced: bool, texts: list[str | None]):
     """Yield the ids of each text in order, encoding a bounded group at a time."""
     group: list[str | None] = []

@@ -107,6 +107,40 @@ def test_near_dedup_of_pairs_at_the_threshold(spark, monkeypatch):
     assert missed == []
 
 
+def test_near_dedup_of_a_group_below_the_threshold_is_not_branched(spark, monkeypatch):
+    branch = near_dedup.branch
+
+    def first_levels_only(rows, levels, threshold, trees=range(0)):
+        assert "node" not in rows.columns  # nodes of this size are compared
+        return branch(rows, levels, threshold, trees)
+
+    monkeypatch.setattr(near_dedup, "branch", first_levels_only)
+    both = " ".join(f"s{k}" for k in range(82))  # any two share 82 of 118 words
+    rows = [(i, f"{both} " + " ".join(f"d{i}_{k}" for k in range(18))) for i in range(2000)]
+    rows += [(2000 + i, f"{text} more") for i, text in rows[:2]]
+    got = near_dedup.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i % 2000 for i in range(2002)}
+
+
+def test_ties_are_contracted_when_there_are_many(spark, monkeypatch):
+    sketch = bytes(64)
+    rows = [(node, doc, doc, False, 10, sketch) for node in (1, 2) for doc in range(40 * node, 40 * node + 30)]
+    df = spark.createDataFrame(rows, "node long, doc long, comp long, copied boolean, n long, sketch binary")
+    want = {(doc, 40 * node) for node, doc, *_ in rows if doc != 40 * node}
+    for most in (1 << 20, 5):
+        monkeypatch.setattr(near_dedup, "TIES", most)
+        assert {(r["a"], r["b"]) for r in near_dedup.candidate_ties(df, 80).collect()} == want
+
+
+def test_stages_without_tokens_free_the_encoders():
+    before = tokens._ENCODERS.copy()
+    try:
+        tokens._ENCODERS["a"] = object()
+        assert list(near_dedup.nodes_in(iter([]))) == [] and not tokens._ENCODERS
+    finally:
+        tokens._ENCODERS.update(before)
+
+
 def test_near_dedup_without_first_candidates(spark, monkeypatch):
     found = near_dedup.best_candidates
     monkeypatch.setattr(near_dedup, "best_candidates", lambda rows, threshold: found(rows, threshold).filter("a < 0"))
