@@ -525,6 +525,44 @@ def test_search_shard_against_all_postings():
             assert {d: u for d, u in enumerate(want) if u >= kth} == dict(zip(place[query == i].tolist(), units[query == i].tolist(), strict=True))
 
 
+@pytest.mark.parametrize("frequent", [0, 0.004, 2])
+def test_search_with_frequent_terms_as_a_matrix(monkeypatch, frequent):
+    monkeypatch.setattr(search, "FREQUENT", frequent)
+    monkeypatch.setattr(search, "STEP_PAIRS", 2000)
+    monkeypatch.setattr(search, "STEP_POSTINGS", 50)
+    monkeypatch.setattr(search, "STEP_EXACT", 7)
+    rng = np.random.default_rng(8)
+    counts = [search.term_counts(" ".join(f"w{w}" for w in rng.zipf(1.3, rng.integers(0, 80)) % 400)) for _ in range(301)]
+    shard = search.Shard.build([*range(len(counts))], counts)
+    average = float(np.mean(shard.length))
+    shard.weigh(average, 16)
+    picked = [*range(0, 300, 11)]
+    number = np.repeat(np.arange(len(picked)), [len(counts[i][0]) for i in picked])
+    terms = np.concatenate([counts[i][0] for i in picked])
+    df = np.diff(shard.first)[np.searchsorted(shard.terms, terms)]
+    idf = np.log(1 + (len(counts) - df + 0.5) / (df + 0.5))
+    asked = search.Asked(number, terms, idf, len(picked))
+    least = np.zeros(len(picked))
+    query, place, units = shard.search_all(asked, 10, least)
+    for i in range(len(picked)):
+        weight = dict(zip(terms[number == i].tolist(), idf[number == i].tolist(), strict=True))
+        every = []
+        for own, n in counts:
+            part = n * (search.K1 + 1) / (n + search.K1 * (1 - search.B + search.B * (n.sum() / average)))
+            every.append(sum(int(np.floor(weight[t] * p * search.UNIT + 0.5)) for t, p in zip(own.tolist(), part.tolist(), strict=True) if t in weight))
+        kth = max(sorted(every)[-10], 1)
+        assert {d: u for d, u in enumerate(every) if u >= kth} == dict(zip(place[query == i].tolist(), units[query == i].tolist(), strict=True))
+        assert least[i] == (kth if sum(u > 0 for u in every) >= 10 else 0)
+    # what a query has found before is not found again below it
+    query, place, units = shard.search_all(asked, 10, least)
+    assert (units >= least[query]).all()
+
+
+def test_search_weighs_a_shard_once_for_many_queries(spark):
+    asked = spark.range(300).selectExpr("id AS query_id", "transform(sequence(1, 200), i -> struct(id * 200 + i AS term, 1D AS idf)) AS terms")
+    assert search.query_files(asked, 1).count() == 1
+
+
 def test_search_repeated_and_null_ids(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 3)
     monkeypatch.setattr(search, "QUERY_BLOCK", 2)
