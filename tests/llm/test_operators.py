@@ -563,6 +563,13 @@ def test_search_weighs_a_shard_once_for_many_queries(spark):
     assert search.query_files(asked, 1).count() == 1
 
 
+def test_search_does_not_broadcast_the_vocabulary(spark):
+    asked = spark.createDataFrame([(1, "a b")], "query_id long, text string")
+    index = search.build_index(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    plan = search.query_terms(asked, search.document_frequencies(index), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_search_repeated_and_null_ids(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_DOCS", 3)
     monkeypatch.setattr(search, "QUERY_BLOCK", 2)
