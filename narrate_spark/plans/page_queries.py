@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 import io
 import zipfile
 
@@ -368,6 +370,66 @@ def _page_lines(x: str) -> str:
     )
 
 
+# What references stand for: HTML5's names, and numbers below 160, some of which stand for others.
+_REFERENCES = "refs(name, char) AS (VALUES " + ", ".join(
+    f"('{name}', '{char.replace("'", "''")}')"
+    for name, char in [*html.entities.html5.items(), *((f"#{n}", html.unescape(f"&#{n};")) for n in range(160))]
+) + ")"
+_OLD_NAMES = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True))
+
+
+def _readable(name: str, source: str, key: str) -> str:
+    """CTEs ending in ``name``: the key and ``t`` of a source's rows, ``t`` without tags, unescaped as in HTML5, stripped.
+
+    A reference is a number, else a whole name, else the longest old name (those
+    without a semicolon) that stands there.
+    """
+    return (
+        f"{name}_cut AS (SELECT {key}, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM "
+        f"(SELECT {key}, coalesce(string_split({sql.sub('t', '<[^>]+>', "''")}, '&'), [NULL]) AS ps FROM {source})), "
+        f"{name}_found AS (SELECT *, regexp_extract(part, '^#(?:[0-9]+|[xX][0-9a-fA-F]+);?') AS digits, "
+        r"regexp_extract(part, '^[^\t\n\f <&#;]{1,32};?') AS whole, "
+        f"regexp_extract(part, '^(?:{_OLD_NAMES})') AS old FROM {name}_cut), "
+        f"{name}_number AS (SELECT *, CASE WHEN digits <> '' THEN "
+        f"coalesce(try_cast(regexp_replace(rtrim(digits[2:], ';'), '^[xX]0*', '0x0') AS UBIGINT), 1114112) END AS n FROM {name}_found), "
+        f"{name} AS (SELECT {key}, {sql.strip("string_agg(CASE WHEN i = 1 THEN part "
+        "WHEN n < 160 THEN by_number.char || substr(part, length(digits) + 1) "
+        "WHEN n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) || substr(part, length(digits) + 1) "
+        "WHEN n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN substr(part, length(digits) + 1) "
+        "WHEN n IS NOT NULL THEN chr(n::INTEGER) || substr(part, length(digits) + 1) "
+        "WHEN by_name.char IS NOT NULL THEN by_name.char || substr(part, length(whole) + 1) "
+        "WHEN by_old.char IS NOT NULL THEN by_old.char || substr(part, length(old) + 1) "
+        "ELSE '&' || part END, '' ORDER BY i)")} AS t FROM {name}_number "
+        "LEFT JOIN refs AS by_number ON by_number.name = '#' || n LEFT JOIN refs AS by_name ON by_name.name = whole "
+        f"LEFT JOIN refs AS by_old ON by_old.name = old GROUP BY {key})"
+    )
+
+
+def _numbered(columns: str, source: str) -> str:
+    """CTE ``rows``: some columns of a source, and a number ``r`` of each row."""
+    return f"rows AS MATERIALIZED (SELECT row_number() OVER () AS r, {columns} FROM {source})"
+
+
+_HEADS = (
+    "levels AS (SELECT r, unnest([1, 2, 3, 4, 5, 6]) AS level, unnest(["
+    + ", ".join(f"regexp_extract(markup, '(?is)<h{n}[^>]*>(.*?)</h{n}>', 1)" for n in range(1, 7))
+    + f"]) AS t FROM rows), {_readable('level_texts', 'levels', 'r, level')}, "
+    "heads AS (SELECT r, coalesce(arg_min(t, level) FILTER (t <> ''), '') AS head FROM level_texts GROUP BY r)"
+)
+
+
+def _blocks(x: str) -> str:
+    """Markup with paragraphs on lines of their own and without headings."""
+    one = sql.sub(x, "(?is)<h[1-6][^>]*>.*?</h[1-6]>", "''")
+    return sql.sub(sql.sub(one, rf"(?i)<br{sql.B}*/?>", "chr(10)"), "(?i)<p[^>]*>|</p>", "chr(10)")
+
+
+_TEXTS = f"blocks AS (SELECT r, {_blocks('markup')} AS t FROM rows), {_readable('texts', 'blocks', 'r')}"
+_TITLES = (
+    "titles AS (SELECT r, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM rows), "
+    + _readable("clean", "titles", "r")
+)
+
 _HEADING = "coalesce(" + ", ".join(
     "nullif(" + _clean(f"regexp_extract(markup, '(?is)<h{n}[^>]*>(.*?)</h{n}>', 1)") + ", '')"
     for n in range(1, 7)
@@ -390,7 +452,8 @@ _SEC_TITLE = sql.strip(sql.sub("string_split(part, chr(2))[1]", "<[^>]+>", "''")
 _PARTS = "string_split(html, '<p>')"
 
 ORACLES = {
-    "page_titles": f"SELECT page_id, {_clean("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title FROM pages",
+    "page_titles": f"WITH {_REFERENCES}, {_numbered('page_id, html', 'pages')}, {_TITLES} "
+    "SELECT page_id, t AS title FROM rows JOIN clean USING (r)",
     "page_headings": f"WITH {_VARIED} SELECT page_id, {_HEADING} AS heading FROM varied",
     "page_text": f"WITH {_VARIED} SELECT page_id, {_page_text('markup')} AS text FROM varied",
     "page_segments": f"WITH {_VARIED}, h AS (SELECT host AS book_id, page_id AS chapter_idx, {_HEADING} AS head, "
