@@ -455,7 +455,8 @@ ORACLES = {
     "page_titles": f"WITH {_REFERENCES}, {_numbered('page_id, html', 'pages')}, {_TITLES} "
     "SELECT page_id, t AS title FROM rows JOIN clean USING (r)",
     "page_headings": f"WITH {_VARIED} SELECT page_id, {_HEADING} AS heading FROM varied",
-    "page_text": f"WITH {_VARIED} SELECT page_id, {_page_text('markup')} AS text FROM varied",
+    "page_text": f"WITH {_REFERENCES}, {_VARIED}, {_numbered('page_id, markup', 'varied')}, {_TEXTS} "
+    "SELECT page_id, t AS text FROM rows JOIN texts USING (r)",
     "page_segments": f"WITH {_VARIED}, h AS (SELECT host AS book_id, page_id AS chapter_idx, {_HEADING} AS head, "
     f"{_page_lines(_page_text('markup'))} AS ls FROM varied), ch AS (SELECT book_id, chapter_idx, "
     f"CASE WHEN head = '' THEN 'Section ' || (chapter_idx + 1) ELSE head END AS title, ls FROM h), {_EXPLODED} "
