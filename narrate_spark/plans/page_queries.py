@@ -457,8 +457,9 @@ ORACLES = {
     "page_headings": f"WITH {_VARIED} SELECT page_id, {_HEADING} AS heading FROM varied",
     "page_text": f"WITH {_REFERENCES}, {_VARIED}, {_numbered('page_id, markup', 'varied')}, {_TEXTS} "
     "SELECT page_id, t AS text FROM rows JOIN texts USING (r)",
-    "page_segments": f"WITH {_VARIED}, h AS (SELECT host AS book_id, page_id AS chapter_idx, {_HEADING} AS head, "
-    f"{_page_lines(_page_text('markup'))} AS ls FROM varied), ch AS (SELECT book_id, chapter_idx, "
+    "page_segments": f"WITH {_REFERENCES}, {_VARIED}, {_numbered('host, page_id, markup', 'varied')}, {_HEADS}, {_TEXTS}, "
+    f"h AS (SELECT host AS book_id, page_id AS chapter_idx, head, {_page_lines('t')} AS ls "
+    "FROM rows JOIN heads USING (r) JOIN texts USING (r)), ch AS (SELECT book_id, chapter_idx, "
     f"CASE WHEN head = '' THEN 'Section ' || (chapter_idx + 1) ELSE head END AS title, ls FROM h), {_EXPLODED} "
     "SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_idx, seg_pos) - 1 AS seg_idx FROM ex",
     "page_heading_chapters": f"WITH {_VARIED}, sp AS (SELECT page_id, markup, {_SECTIONS} AS ps FROM varied), "
