@@ -454,7 +454,8 @@ _PARTS = "string_split(html, '<p>')"
 ORACLES = {
     "page_titles": f"WITH {_REFERENCES}, {_numbered('page_id, html', 'pages')}, {_TITLES} "
     "SELECT page_id, t AS title FROM rows JOIN clean USING (r)",
-    "page_headings": f"WITH {_VARIED} SELECT page_id, {_HEADING} AS heading FROM varied",
+    "page_headings": f"WITH {_REFERENCES}, {_VARIED}, {_numbered('page_id, markup', 'varied')}, {_HEADS} "
+    "SELECT page_id, head AS heading FROM rows JOIN heads USING (r)",
     "page_text": f"WITH {_REFERENCES}, {_VARIED}, {_numbered('page_id, markup', 'varied')}, {_TEXTS} "
     "SELECT page_id, t AS text FROM rows JOIN texts USING (r)",
     "page_segments": f"WITH {_REFERENCES}, {_VARIED}, {_numbered('host, page_id, markup', 'varied')}, {_HEADS}, {_TEXTS}, "
