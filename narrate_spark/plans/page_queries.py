@@ -430,10 +430,6 @@ _TITLES = (
     + _readable("clean", "titles", "r")
 )
 
-_HEADING = "coalesce(" + ", ".join(
-    "nullif(" + _clean(f"regexp_extract(markup, '(?is)<h{n}[^>]*>(.*?)</h{n}>', 1)") + ", '')"
-    for n in range(1, 7)
-) + ", '')"
 _VARIED = (
     "varied AS (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, CASE page_id % 5 "
     "WHEN 1 THEN replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>') "
@@ -478,8 +474,9 @@ ORACLES = {
     "bd AS (SELECT page_id, n, CASE WHEN n = 3 AND total > 3 THEN t3.body ELSE part END AS body FROM pt LEFT JOIN t3 USING (page_id) WHERE n <> 4), "
     "ch AS (SELECT page_id::VARCHAR AS book_id, (n - 1)::BIGINT AS chapter_idx, CASE WHEN n % 2 = 0 THEN 'Part ' || n ELSE 'Section ' || n END AS title, "
     f"{_page_lines(_page_text("'<p>' || body"))} AS ls FROM bd), {_EXPLODED} SELECT * FROM ex",
-    "epub_chapters": f"WITH v AS (SELECT page_id, html AS markup FROM pages), h AS (SELECT page_id::VARCHAR AS book_id, 1::BIGINT AS chapter_idx, "
-    f"{_HEADING} AS head, {_page_lines(_page_text('markup'))} AS ls FROM v), ch AS (SELECT book_id, chapter_idx, "
+    "epub_chapters": f"WITH {_REFERENCES}, {_numbered('page_id, html AS markup', 'pages')}, {_HEADS}, {_TEXTS}, "
+    f"h AS (SELECT page_id::VARCHAR AS book_id, 1::BIGINT AS chapter_idx, head, {_page_lines('t')} AS ls "
+    "FROM rows JOIN heads USING (r) JOIN texts USING (r)), ch AS (SELECT book_id, chapter_idx, "
     f"CASE WHEN head = '' THEN 'Section 2' ELSE head END AS title, 'text/page%20one.xhtml' AS source_file, ls FROM h), {_EXPLODED} SELECT * FROM ex",
     "epub_metadata": "SELECT page_id::VARCHAR AS book_id, CASE WHEN page_id % 3 = 0 THEN 'book-' || page_id ELSE 'Page ' || page_id || ' & more' END AS title, "
     "CASE WHEN page_id % 4 = 0 THEN '' ELSE 'Writer ' || page_id % 10 END AS author, CASE page_id % 5 WHEN 0 THEN 'es' ELSE 'en' END AS language FROM pages",
