@@ -445,6 +445,8 @@ _SECTIONS = (
     r"chr(1) || '\1\2\3' || chr(2), 'g'), chr(1))"
 )
 _SEC_TITLE = sql.strip(sql.sub("string_split(part, chr(2))[1]", "<[^>]+>", "''"))
+_SECTION = "(?is)<h1[^>]*>.*?</h1>|<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>"
+_SECTION_TITLE = sql.strip(sql.sub("regexp_extract(element, '(?is)^<h[1-3][^>]*>(.*)</h[1-3]>$', 1)", "<[^>]+>", "''"))
 _PARTS = "string_split(html, '<p>')"
 
 ORACLES = {
@@ -459,12 +461,14 @@ ORACLES = {
     "FROM rows JOIN heads USING (r) JOIN texts USING (r)), ch AS (SELECT book_id, chapter_idx, "
     f"CASE WHEN head = '' THEN 'Section ' || (chapter_idx + 1) ELSE head END AS title, ls FROM h), {_EXPLODED} "
     "SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_idx, seg_pos) - 1 AS seg_idx FROM ex",
-    "page_heading_chapters": f"WITH {_VARIED}, sp AS (SELECT page_id, markup, {_SECTIONS} AS ps FROM varied), "
-    "pt AS (SELECT page_id, unnest(ps[2:]) AS part, generate_subscripts(ps[2:], 1) - 1 AS chapter_idx FROM sp WHERE len(ps) > 1), "
-    f"al AS (SELECT page_id, chapter_idx, {_SEC_TITLE} AS head, string_split(part, chr(2))[2] AS body FROM pt "
-    "UNION ALL SELECT page_id, 0, 'Chapter 1', markup FROM sp WHERE len(ps) = 1), "
+    "page_heading_chapters": f"WITH {_REFERENCES}, {_VARIED}, "
+    f"sp AS (SELECT page_id, markup, regexp_extract_all(markup, '{_SECTION}') AS hs, regexp_split_to_array(markup, '{_SECTION}') AS bs FROM varied), "
+    "pt AS (SELECT page_id, unnest(hs) AS element, unnest(bs[2:]) AS body, generate_subscripts(hs, 1) - 1 AS chapter_idx FROM sp WHERE len(hs) > 0), "
+    f"al AS (SELECT page_id, chapter_idx, {_SECTION_TITLE} AS head, body AS markup FROM pt "
+    "UNION ALL SELECT page_id, 0, 'Chapter 1', markup FROM sp WHERE len(hs) = 0), "
+    f"{_numbered('*', 'al')}, {_TEXTS}, "
     "ch AS (SELECT page_id::VARCHAR AS book_id, chapter_idx, CASE WHEN head = '' THEN 'Section ' || (chapter_idx + 1) ELSE head END AS title, "
-    f"{_page_lines(_page_text('body'))} AS ls FROM al), {_EXPLODED} SELECT book_id, chapter_idx::BIGINT AS chapter_idx, title, seg_pos, text FROM ex",
+    f"{_page_lines('t')} AS ls FROM rows JOIN texts USING (r)), {_EXPLODED} SELECT book_id, chapter_idx::BIGINT AS chapter_idx, title, seg_pos, text FROM ex",
     "page_toc_chapters": f"WITH sp AS (SELECT page_id, {_PARTS} AS ps FROM pages), "
     "pt AS (SELECT page_id, unnest(ps[2:]) AS part, generate_subscripts(ps[2:], 1) AS n, len(ps) - 1 AS total FROM sp WHERE len(ps) > 1), "
     # the entry of part 4 is skipped; part 3 has no following anchor and runs to the end of the page
