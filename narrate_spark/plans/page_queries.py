@@ -502,9 +502,9 @@ ORACLES = {
     "UNION ALL SELECT page_id, 0, 'Chapter 1', html FROM sec WHERE len(hs) = 1), "
     "ch AS (SELECT page_id::VARCHAR AS book_id, chapter_idx::BIGINT AS chapter_idx, CASE WHEN head = '' THEN 'Section ' || (chapter_idx + 1) ELSE head END AS title, "
     f"{_page_lines(_page_text('body'))} AS ls FROM al), {_EXPLODED} SELECT book_id, chapter_idx, title, seg_pos, text FROM ex",
-    "kindle_metadata": "SELECT page_id::VARCHAR AS book_id, CASE WHEN page_id % 5 <> 4 AND page_id % 3 > 0 THEN 'Kindle ' || page_id "
-    f"ELSE coalesce(nullif({_clean("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ''), page_id::VARCHAR) END AS title, "
-    "'' AS author, CASE page_id % 5 WHEN 4 THEN 'en' ELSE 'fr' END AS language FROM pages",
+    "kindle_metadata": f"WITH {_REFERENCES}, {_numbered('page_id, html', 'pages')}, {_TITLES} SELECT page_id::VARCHAR AS book_id, CASE WHEN page_id % 5 <> 4 AND page_id % 3 > 0 THEN 'Kindle ' || page_id "
+    "ELSE coalesce(nullif(t, ''), page_id::VARCHAR) END AS title, "
+    "'' AS author, CASE page_id % 5 WHEN 4 THEN 'en' ELSE 'fr' END AS language FROM rows JOIN clean USING (r)",
     "opf_cover": "SELECT page_id::VARCHAR AS book_id, 'front.gif' AS name, '.gif' AS suffix FROM pages WHERE page_id % 5 <> 4 AND page_id % 4 <> 1",
 }
 

@@ -10,7 +10,7 @@ import pytest
 from narrate_spark.plans import page_queries
 from tools.check import frame
 
-NAMES = ["page_titles", "page_text", "page_segments", "page_headings", "epub_chapters", "page_heading_chapters"]
+NAMES = ["page_titles", "page_text", "page_segments", "page_headings", "epub_chapters", "page_heading_chapters", "kindle_metadata"]
 ODD = [
     "cut &quot", "cut &lt", "cut &gt", "cut &amp", "cut &am", "cut &", "a &lt b &ampc &quotd", "&notit; &notin; &noti",
     "&eacute;&eacute &hellip; &hellip &mdash;", "&NotEqualTilde;&fjlig;&apos;&NewLine;x&Tab;y", "&amp;lt; &amp;amp; &ampamp; &#38;lt;",
